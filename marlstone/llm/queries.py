@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm import language, quality, toxicity, urls
 from marlstone.llm.mixing import mix
 from marlstone.llm.sharding import shard
+from marlstone.llm.topk import search
+from marlstone.llm.words import fold
 from marlstone.sources.tables import table
 
 
@@ -17,6 +20,44 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), (F.col("m_size") * F.col("m_copies")).alias("taken"), F.col("m_copies").alias("copies"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    got = toxicity.score(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("t_score").alias("score"), F.col("t_predicted").alias("predicted"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = quality.fit(docs, table(spark, sf_dir, "labels"))
+    got = quality.judge(docs.select("doc_id", "text"), field)
+    return got.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in (*quality.COUNTS, "base_failed", "content_share", "kept")])
+
+
+#: Rules of op5 (rule, verdict).
+URL_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
+#: Listed canonical urls of op5: roots of sites that are blocked with all that lies below them.
+URL_LIST = tuple(f"{site}.example.{top}/" for site in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
+RULE_ROWS = ", ".join(f"('{r}', '{v}')" for r, v in URL_RULES)
+LIST_ROWS = ", ".join(f"('{u}')" for u in URL_LIST)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM VALUES {RULE_ROWS} AS t(rule, verdict)")
+    listed = spark.sql(f"SELECT * FROM VALUES {LIST_ROWS} AS t(rule)")
+    return urls.judge(table(spark, sf_dir, "pages"), rules, listed)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = language.predict(docs.select("doc_id", "text"), language.train(docs))
+    return got.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("l_pred").alias("lang_pred"), F.col("l_score").alias("score"))
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=24)
 
@@ -25,9 +66,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_mix_sources,
+        op3_toxicity,
+        op4_quality_rules,
+        op5_url_filter,
+        op7_language_id,
+        op9_exact_topk,
         op10_histogram_shards,
     )
 }
 
 #: DuckDB SQL for those that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_url_filter": f"""
+        WITH rules(rule, verdict) AS (VALUES {RULE_ROWS}),
+        listed(rule) AS (VALUES {LIST_ROWS}),
+        p AS (
+            SELECT page_id,
+                coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages),
+        cut_rules AS (SELECT rule, verdict, split_part(rule, '/', 1) AS h, substr(rule, length(split_part(rule, '/', 1)) + 1) AS s FROM rules),
+        cut_listed AS (SELECT rule, split_part(rule, '/', 1) AS h, substr(rule, length(split_part(rule, '/', 1)) + 1) AS s FROM listed),
+        hosts AS (SELECT DISTINCT host, path FROM p),
+        by_rule AS (
+            SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+            FROM hosts JOIN cut_rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY host, path),
+        by_list AS (
+            SELECT host, path, arg_max(rule, length(rule)) AS listed
+            FROM hosts JOIN cut_listed ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY host, path)
+        SELECT p.page_id, p.host, p.path, by_rule.rule, by_list.listed,
+            coalesce(by_rule.verdict, CASE WHEN by_list.listed IS NOT NULL THEN 'block' END, 'allow') AS verdict
+        FROM p LEFT JOIN by_rule ON p.host = by_rule.host AND p.path = by_rule.path
+        LEFT JOIN by_list ON p.host = by_list.host AND p.path = by_list.path""",
+    "op9_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM pairs)
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 10""",
+}

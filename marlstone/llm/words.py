@@ -6,7 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than these: space and U+0009 to U+000D. bytes.split() splits on the same six.
@@ -43,3 +43,16 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = 4_000_000) -
             part = batch.slice(start, end - start)
             yield part, [x if x is not None else b"" for x in raw.slice(start, end - start).to_pylist()]
             start = end
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, learn: Column | None = None) -> list[tuple[str, int]]:
+    """(text, label) of up to ``per_class`` documents of each class 0 and 1, chosen by the hash of their id; learn: which rows of labels may be used.
+
+    The bound is on rows of each class; of repeated labels the greatest counts, of repeated documents the least text.
+    """
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+    known = (known if learn is None else known.filter(learn)).groupBy("doc_id").agg(F.max(label).alias("label"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = known.filter("label = 0").orderBy(*order).limit(per_class).unionByName(known.filter("label = 1").orderBy(*order).limit(per_class))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    return [(r["text"] or "", r["label"]) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
