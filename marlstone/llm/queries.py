@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import language, quality, toxicity, urls
 from marlstone.llm.mixing import mix
+from marlstone.llm.packing import pack
 from marlstone.llm.sharding import shard
 from marlstone.llm.topk import search
 from marlstone.llm.words import fold
 from marlstone.sources.tables import table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pack(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", *[F.col(f"p_{c}").alias(c) for c in ("piece", "start", "tokens", "bin", "capacity", "offset")])
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mix(table(spark, sf_dir, "documents"), keep=("doc_id",))
     return got.select("doc_id", F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), (F.col("m_size") * F.col("m_copies")).alias("taken"), F.col("m_copies").alias("copies"))
@@ -65,6 +71,7 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_best_fit_packing,
         op2_mix_sources,
         op3_toxicity,
         op4_quality_rules,
