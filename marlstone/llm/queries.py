@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import language, quality, toxicity, urls
+from marlstone.llm import language, neardup, quality, toxicity, urls
 from marlstone.llm.mixing import mix
 from marlstone.llm.packing import pack
 from marlstone.llm.sharding import shard
@@ -54,6 +54,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), rules, listed)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "rep_id", "n_links")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     got = language.predict(docs.select("doc_id", "text"), language.train(docs))
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_toxicity,
         op4_quality_rules,
         op5_url_filter,
+        op6_jaccard_join,
         op7_language_id,
         op9_exact_topk,
         op10_histogram_shards,
