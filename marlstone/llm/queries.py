@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import language, neardup, quality, toxicity, urls
+from marlstone.llm import language, neardup, pseudolikelihood, quality, toxicity, urls
 from marlstone.llm.mixing import mix
 from marlstone.llm.packing import pack
 from marlstone.llm.sharding import shard
@@ -64,6 +64,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("l_pred").alias("lang_pred"), F.col("l_score").alias("score"))
 
 
+def op8_pseudolikelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudolikelihood.score(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_url_filter,
         op6_jaccard_join,
         op7_language_id,
+        op8_pseudolikelihood,
         op9_exact_topk,
         op10_histogram_shards,
     )
