@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.words import chunks, fold, labelled_sample
 
 #: Words of a window; bytes of a gram; bytes of the dictionaries; the margin at which a window counts.
-WINDOW, GRAM, ORDINARY_BYTES, TOXIC_BYTES, STRONG = 8, 6, 16384, 4096, 3
+WINDOW, GRAM, ORDINARY_BYTES, TOXIC_BYTES, STRONG = 8, 6, 16384, 8192, 3
 #: A gram is toxic if it is in this share of the toxic texts at least, and so many times as common there as elsewhere.
 SHARE, CONTRAST = 0.03, 60.0
 
@@ -74,12 +74,20 @@ def toxic_segments(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Cou
     return found
 
 
-def dictionary(samples: list[bytes], size: int, **how: int) -> bytes:
-    """A trained dictionary; of samples that are too few to train on, their own bytes."""
+def ordinary_dictionary(samples: list[bytes]) -> bytes:
+    """A dictionary by the library's trainer; of samples that are too few to train on, their own bytes."""
     try:
-        return zstandard.train_dictionary(size, samples, **how).as_bytes()
+        return zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:]
+        return b"".join(dict.fromkeys(samples))[-ORDINARY_BYTES:]
+
+
+def toxic_dictionary(segments: Counter[bytes]) -> bytes:
+    """The segments themselves, the commonest last, where they are cheapest to refer to; zero bytes keep matches within one.
+
+    The library's trainer isn't used here: of so little text it keeps only what recurs most, some 200 bytes.
+    """
+    return b"\0".join(s for s, _ in sorted(segments.items(), key=lambda x: (x[1], x[0])))[-TOXIC_BYTES:]
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -138,9 +146,8 @@ def train(sample: list[tuple[str, int]]) -> Model:
     known = {y: ts[: max(1, len(ts) * 3 // 5)] for y, ts in by.items()}
     toxic, ordinary = ([words_of(t) for t in known[y]] for y in (1, 0))
     segments = toxic_segments(toxic, ordinary)
-    plain = dictionary([w for t in ordinary for w in windows(t)][:50_000], ORDINARY_BYTES)
-    marked = [s for s, n in sorted(segments.items()) for _ in range(min(n, 64))]
-    model = Model(plain, dictionary(marked, TOXIC_BYTES, k=16, d=6) if marked else b"", (0.0, 0.0, 0.0))
+    plain = ordinary_dictionary([w for t in ordinary for w in windows(t)][:50_000])
+    model = Model(plain, toxic_dictionary(segments), (0.0, 0.0, 0.0))
     rest = [(t, y) for y, ts in by.items() for t in (ts[len(known[y]) :] or ts)]
     x = Scorer(model).features([t for t, _ in rest])
     w = calibrate(x, np.array([y for _, y in rest]))
