@@ -104,13 +104,13 @@ ORACLES: dict[str, str] = {
             FROM pages),
         cut_rules AS (SELECT rule, verdict, split_part(rule, '/', 1) AS h, substr(rule, length(split_part(rule, '/', 1)) + 1) AS s FROM rules),
         cut_listed AS (SELECT rule, split_part(rule, '/', 1) AS h, substr(rule, length(split_part(rule, '/', 1)) + 1) AS s FROM listed),
-        hosts AS (SELECT DISTINCT host, path FROM p),
+        hosts AS (SELECT DISTINCT host, path, CASE WHEN host <> '' AND path = '' THEN '/' ELSE path END AS canonical FROM p),
         by_rule AS (
             SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
             FROM hosts JOIN cut_rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY host, path),
         by_list AS (
             SELECT host, path, arg_max(rule, length(rule)) AS listed
-            FROM hosts JOIN cut_listed ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY host, path)
+            FROM hosts JOIN cut_listed ON (host = h OR ends_with(host, '.' || h)) AND starts_with(canonical, s) GROUP BY host, path)
         SELECT p.page_id, p.host, p.path, by_rule.rule, by_list.listed,
             coalesce(by_rule.verdict, CASE WHEN by_list.listed IS NOT NULL THEN 'block' END, 'allow') AS verdict
         FROM p LEFT JOIN by_rule ON p.host = by_rule.host AND p.path = by_rule.path

@@ -87,8 +87,9 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url
     """
     rows = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     both = entries(rules).withColumn("kind", F.lit("rule")).unionByName(entries(listed.select("rule", F.lit("block").alias("verdict"))).withColumn("kind", F.lit("list")))
-    found = rows
+    # The canonical path of a bare host is its root; rules take paths as they stand.
+    found = rows.withColumn("list_path", F.when((F.col("host") != "") & (F.col("path") == ""), "/").otherwise(F.col("path"))).withColumn("rule_path", F.col("path"))
     for kind in ("rule", "list"):
-        hits = match(rows, both.filter(F.col("kind") == kind).drop("kind"))
-        found = found.join(hits.select("host", "path", F.col("rule").alias(f"{kind}_rule"), F.col("verdict").alias(f"{kind}_verdict")), ["host", "path"], "left")
+        hits = match(found.select("host", F.col(f"{kind}_path").alias("path")), both.filter(F.col("kind") == kind).drop("kind"))
+        found = found.join(hits.select("host", F.col("path").alias(f"{kind}_path"), F.col("rule").alias(f"{kind}_rule"), F.col("verdict").alias(f"{kind}_verdict")), ["host", f"{kind}_path"], "left")
     return found.select(*keep, "host", "path", F.col("rule_rule").alias("rule"), F.col("list_rule").alias("listed"), F.coalesce("rule_verdict", "list_verdict", F.lit("allow")).alias("verdict"))
