@@ -24,16 +24,16 @@ from marlstone.llm.words import chunks, fold, labelled_sample
 #: Words of a window; bytes of a gram; bytes of the dictionaries; the margin at which a window counts.
 WINDOW, GRAM, ORDINARY_BYTES, TOXIC_BYTES, STRONG = 8, 6, 16384, 8192, 3
 #: A gram is toxic if it is in this share of the toxic texts at least, and so many times as common there as elsewhere.
-SHARE, CONTRAST = 0.03, 60.0
+SHARE, CONTRAST = 0.03, 15.0
 
 
 @dataclass(frozen=True)
 class Model:
-    """Contents of the dictionaries and the logistic weights of (1, largest margin, log(1 + strong windows))."""
+    """Contents of the dictionaries and the logistic weights of (1, largest margin, log(1 + strong windows), log of all windows)."""
 
     ordinary: bytes
     toxic: bytes
-    weights: tuple[float, float, float]
+    weights: tuple[float, ...]
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -61,7 +61,8 @@ def toxic_segments(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Cou
     for t in ordinary:
         theirs.update(grams(t))
     least = max(3, SHARE * len(toxic))
-    marked = {g for g, n in ours.items() if n >= least and n / len(toxic) >= CONTRAST * (theirs[g] + 0.5) / len(ordinary)}
+    # A count of few texts may be chance: it is taken less its standard deviation.
+    marked = {g for g, n in ours.items() if n >= least and (n - n**0.5) / len(toxic) >= CONTRAST * (theirs[g] + 0.5) / len(ordinary)}
     if not marked:  # too few texts for that contrast
         marked = {g for g, n in ours.items() if n >= 3 and not theirs[g]}
     found = Counter[bytes]()
@@ -113,7 +114,7 @@ class Scorer:
         plain, both = ([len(x) for x in c.multi_compress_to_buffer(flat, threads=1)] for c in self.pair)
         margin = np.array(plain) - np.array(both)
         strong = np.add.reduceat((margin >= STRONG).astype(np.int64), starts)
-        return np.stack([np.ones(len(texts)), np.maximum.reduceat(margin, starts), np.log1p(strong)], 1)
+        return np.stack([np.ones(len(texts)), np.maximum.reduceat(margin, starts), np.log1p(strong), np.log([len(w) for w in own])], 1)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         return logistic(self.features(texts) @ np.array(self.model.weights))
@@ -125,13 +126,13 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 def calibrate(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, steps: int = 50) -> np.ndarray:
     """Logistic regression with a ridge around a threshold of STRONG; classes weigh alike."""
-    centre = np.array([-STRONG + 0.5, 1.0, 1.0])
+    centre = np.array([-STRONG + 0.5, 1.0, 1.0, 0.0])
     w = centre.copy()
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     for _ in range(steps):
         p = logistic(x @ w)
         slope = x.T @ (weight * (p - y)) + penalty * (w - centre)
-        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty * np.eye(3)
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(centre))
         step = np.linalg.solve(curve, slope)
         w = w - step * min(1, 2 / max(1e-9, np.abs(step).max()))
     return w
@@ -142,12 +143,12 @@ def train(sample: list[tuple[str, int]]) -> Model:
     texts = [(t.encode(errors="replace"), y) for t, y in sample]
     by = {y: [t for t, own in texts if own == y] for y in (0, 1)}
     if not by[0] or not by[1]:
-        return Model(b"", b"", (-30.0, 0.0, 0.0))
+        return Model(b"", b"", (-30.0, 0.0, 0.0, 0.0))
     known = {y: ts[: max(1, len(ts) * 3 // 5)] for y, ts in by.items()}
     toxic, ordinary = ([words_of(t) for t in known[y]] for y in (1, 0))
     segments = toxic_segments(toxic, ordinary)
     plain = ordinary_dictionary([w for t in ordinary for w in windows(t)][:50_000])
-    model = Model(plain, toxic_dictionary(segments), (0.0, 0.0, 0.0))
+    model = Model(plain, toxic_dictionary(segments), ())
     rest = [(t, y) for y, ts in by.items() for t in (ts[len(known[y]) :] or ts)]
     x = Scorer(model).features([t for t, _ in rest])
     w = calibrate(x, np.array([y for _, y in rest]))
