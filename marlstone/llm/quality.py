@@ -191,7 +191,7 @@ def expectations(x: np.ndarray, mask: np.ndarray, field: Field) -> tuple[np.ndar
     return p, moves
 
 
-def train(sample: list[tuple[str, int]], rounds: int = 3, steps: int = 120, penalty: float = 0.01, length: int = 64) -> Field:
+def train(sample: list[tuple[str, int]], rounds: int = 3, steps: int = 80, penalty: float = 0.01, length: int = 64) -> Field:
     """Fit the field to texts labelled 1 (content) and 0 (holding boilerplate), by ascent on the penalised likelihood.
 
     Lines of good texts are content. Lines of bad texts begin as boilerplate; after each round those that the field takes for
@@ -235,7 +235,7 @@ def train(sample: list[tuple[str, int]], rounds: int = 3, steps: int = 120, pena
     return field
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Field:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> Field:
     """Train on at most ``per_class`` documents of each value of ``labels.quality``; everything else covers all rows."""
     return train(labelled_sample(docs, labels, "quality", per_class))
 
@@ -253,7 +253,7 @@ def judge(docs: DataFrame, field: Field, text: str = "text", share: float = 0.5,
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in chunks(batch, text):
+            for part, texts in chunks(batch, text, 1_000_000):
                 m = measure(texts)
                 found = content_share(m, field)
                 c = m.counts

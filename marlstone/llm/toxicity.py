@@ -58,13 +58,14 @@ def toxic_segments(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Cou
     ours, theirs = Counter[bytes](), Counter[bytes]()
     for t in toxic:
         ours.update(grams(t))
-    for t in ordinary:
-        theirs.update(grams(t))
     least = max(3, SHARE * len(toxic))
+    ours = Counter({g: n for g, n in ours.items() if n >= least})
+    for t in ordinary:
+        theirs.update(grams(t) & ours.keys())
     # A count of few texts may be chance: it is taken less its standard deviation.
-    marked = {g for g, n in ours.items() if n >= least and (n - n**0.5) / len(toxic) >= CONTRAST * (theirs[g] + 0.5) / len(ordinary)}
+    marked = {g for g, n in ours.items() if (n - n**0.5) / len(toxic) >= CONTRAST * (theirs[g] + 0.5) / len(ordinary)}
     if not marked:  # too few texts for that contrast
-        marked = {g for g, n in ours.items() if n >= 3 and not theirs[g]}
+        marked = {g for g in ours if not theirs[g]}
     found = Counter[bytes]()
     for t in toxic:
         for w in t:
