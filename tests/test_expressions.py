@@ -174,3 +174,10 @@ def test_stream(spark, tmp_path):
     assert put(0, b"x") == ["added"]
     assert put(1, b"x") == ["unchanged"]
     assert put(2, b"y") == ["changed"]
+
+
+def test_contexts():
+    assert code.context_of({"a": [1, (2,)]}) == "dict {'a': [1, (2,)]}"
+    assert code.context_of([[[[[[[1]]]]]]]) == "list [[[[[[list(len=1)]]]]]]"
+    assert code.context_of("x" * 1300).startswith("str str(len=1300) xxx")
+    assert code.context_of(list(range(300))).endswith("199, ...]")
