@@ -10,16 +10,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Setting of the session that holds the folder made where spark.checkpoint.dir is unset.
+OWN_DIR = "spark.marlstone.scratch"
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; only where that is unset (tests on one machine) a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR, None)
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
-        spark.conf.set("spark.marlstone.scratch", found) if not spark.conf.get("spark.marlstone.scratch", None) else None
-        found = spark.conf.get("spark.marlstone.scratch")
+        spark.conf.set(OWN_DIR, found)
     return found.rstrip("/")
 
 
