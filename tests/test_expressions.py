@@ -181,3 +181,15 @@ def test_contexts():
     assert code.context_of([[[[[[[1]]]]]]]) == "list [[[[[[list(len=1)]]]]]]"
     assert code.context_of("x" * 1300).startswith("str str(len=1300) xxx")
     assert code.context_of(list(range(300))).endswith("199, ...]")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from marlstone import cli
+
+    rows = [{"run_id": "a", "step": 1, "phase": "synthesis", "prompt": "p", "response": "x = 1", "llm_calls": 1}, {"run_id": "a", "step": 2, "phase": "synthesis", "prompt": "p", "response": "x = 2", "llm_calls": 1, "result": "{}"}]
+    (tmp_path / "log.json").write_text("\n".join(map(json.dumps, rows)))
+    assert cli.main(["replay", str(tmp_path / "log.json"), "--fail-on-nonfinished"]) == 0
+    assert json.loads(capsys.readouterr().out)["status"] == "finished"
+    assert cli.main(["replay", str(tmp_path / "log.json"), "--max-steps", "1", "--fail-on-nonfinished"]) == 1
