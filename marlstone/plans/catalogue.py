@@ -153,12 +153,13 @@ def q_duplicate_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FILES}
-    SELECT path, size AS size_bytes, CASE WHEN NOT bin THEN CASE WHEN content = '' THEN 0 ELSE length(content) - length(replace(content, chr(10), '')) + 1 END END AS line_count,
-        CASE WHEN NOT bin THEN CAST(length(content) AS BIGINT) END AS char_count,
+    SELECT path, size AS size_bytes, CAST(CASE WHEN bin THEN -1 WHEN content = '' THEN 0 ELSE length(content) - length(replace(content, chr(10), '')) + 1 END AS BIGINT) AS line_count,
+        CASE WHEN bin THEN -1 ELSE CAST(length(content) AS BIGINT) END AS char_count,
         CAST(ceil((CASE WHEN bin THEN size ELSE length(content) END) / 4) AS BIGINT) AS approx_tokens,
         nullif(language, 'unknown') AS language, bin AS "binary" FROM files""")
 def q_file_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.file_info(corpus_files(spark, sf_dir)).select("path", "size_bytes", "line_count", "char_count", "approx_tokens", "language", "binary")
+    absent = lambda c: F.coalesce(c, F.lit(-1).cast("long")).alias(c)
+    return inventory.file_info(corpus_files(spark, sf_dir)).select("path", "size_bytes", absent("line_count"), absent("char_count"), "approx_tokens", "language", "binary")
 
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)licen[sc]e')) AS INTEGER) AS markers FROM documents")
