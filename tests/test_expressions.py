@@ -12,7 +12,7 @@ def one(spark, *columns):
 
 
 def test_kinds(spark):
-    want = {"src/test_helpers.py": "source", "src/auth_tester.py": "source", "kuroko/test_utils.py": "source", "src/a_test.go": "test", "test_x/a.py": "test", "docs/a.py": "doc", "a.pdf": "doc", "a.png": "other", "LICENSE": "doc", "x/conftest.py": "config", "a.xyz": "source"}
+    want = {"src/test_helpers.py": "source", "src/auth_tester.py": "source", "pkg/test_utils.py": "source", "src/a_test.go": "test", "test_x/a.py": "test", "docs/a.py": "doc", "a.pdf": "doc", "a.png": "other", "LICENSE": "doc", "x/conftest.py": "config", "a.xyz": "source"}
     rows = spark.createDataFrame([(p,) for p in want], "path string").select("path", paths.kind(F.col("path")).alias("kind"))
     assert {r["path"]: r["kind"] for r in rows.collect()} == want
 
