@@ -1,9 +1,9 @@
 """Scores by masked pseudo-likelihood: a window network predicts each token from both sides.
 
-The vocabulary is counted over all documents: the commonest words have a slot of their own, all others share hashed slots.
-Slots are cut into classes of near equal mass. The network maps the words on both sides of a token to a distribution over
-classes; within a class a slot has its share of the class's count, and within a shared slot each of its words the same part.
-The sum of log-probabilities of a document's tokens, each with all others given, is its pseudo-log-likelihood.
+The vocabulary is counted over all documents: the commonest words have a slot of their own, all others share hashed slots,
+whose number grows as the root of the distinct words. Slots are cut into classes of near equal mass. The network maps the
+words on both sides of a token to a distribution over classes and to one over the slots of each class (a softmax of two
+levels); within a shared slot each word has its own share of the slot's count. The sum of log-probabilities of a document's tokens, each with all others given, is its pseudo-log-likelihood.
 
 Training is data-parallel: each task runs mini-batches over its own documents, starting from the common weights, and the
 weights are averaged by the number of tokens. Every document takes part in every round with one in STRIDE of its tokens.
@@ -11,9 +11,11 @@ weights are averaged by the number of tokens. Every document takes part in every
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,41 +26,83 @@ from pyspark.sql import functions as F
 from marlstone.llm.words import chunks
 from marlstone.plans.scratch import cut
 
-#: Slots of single words and shared slots; classes; words on each side; sizes of the network; tokens between two that train.
+#: Slots of single words; the least number of shared slots and of classes; words on each side; sizes of the network; tokens between two that train.
 OWN, SHARED, CLASSES, SIDE, EMBED, HIDDEN, STRIDE = 3000, 1000, 64, 2, 16, 32, 8
 PAD = OWN + SHARED
 RATE, BATCH, ROUNDS = 0.15, 1024, 2
+#: Shared slots for each root of the distinct words.
+GROWTH = 8
 #: Words that a task counts before it sends them on; pieces in which weights are averaged.
 HELD_WORDS, PIECES = 200_000, 16
+#: Words without a slot of their own whose counts are sent to the tasks; those of all others are joined.
+SENT_WORDS = 200_000
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Slots: of each word with its own; class of each slot; log-probability of a word of the slot within its class."""
+    """Slots: of each word with its own; class of each slot; log-probability of the slot within its class by its count.
+
+    total: log of the count of each slot; sent: log of the count of the commonest words of shared slots.
+    """
 
     own: dict[bytes, int]
     class_of: np.ndarray
     within: np.ndarray
     class_share: np.ndarray
+    total: np.ndarray | None = None
+    sent: dict[bytes, float] = field(default_factory=dict)
+
+    @cached_property
+    def order(self) -> np.ndarray:
+        """Slots by class."""
+        return np.argsort(self.class_of, kind="stable")
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        """Place of each slot in ``order``."""
+        place = np.empty(len(self.order), np.int64)
+        place[self.order] = np.arange(len(self.order))
+        return place
+
+    @cached_property
+    def begin(self) -> np.ndarray:
+        """Where each class begins in ``order``, and the end."""
+        return np.searchsorted(self.class_of[self.order], np.arange(len(self.class_share) + 1))
 
     def slots(self, words: list[bytes]) -> np.ndarray:
-        get = self.own.get
-        return np.fromiter((s if (s := get(w)) is not None else shared_slot(w) for w in words), np.uint16, count=len(words))
+        get, shared = self.own.get, len(self.class_of) - OWN
+        return np.fromiter((s if (s := get(w)) is not None else shared_slot(w, shared) for w in words), np.int32, count=len(words))
+
+    def shares(self, words: list[bytes], slots: np.ndarray) -> tuple[float, list[bytes]]:
+        """Sum of the logs of the words' shares of their shared slots, still without the counts of the words that are returned."""
+        at = np.flatnonzero(slots >= OWN)
+        known, rare = -float(self.total[slots[at]].sum()), []
+        for i in at.tolist():
+            n = self.sent.get(words[i])
+            if n is None:
+                rare.append(words[i])
+            else:
+                known += n
+        return known, rare
+
 
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) >> 1
 
-def shared_slot(word: bytes) -> int:
-    return OWN + xxhash.xxh3_64_intdigest(word) % SHARED
+
+def shared_slot(word: bytes, shared: int = SHARED) -> int:
+    return OWN + word_hash(word) % shared
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, slot, n) over all documents; tasks send partial counts of bounded size."""
+    """(word, hash, n) over all documents; tasks send partial counts of bounded size."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Counter[bytes]()
 
         def lines() -> pa.RecordBatch:
             words = list(held)
-            return pa.record_batch({"word": pa.array(words, pa.binary()), "slot": pa.array([shared_slot(w) for w in words], pa.int32()), "n": pa.array(list(held.values()), pa.int64())})
+            return pa.record_batch({"word": pa.array(words, pa.binary()), "hash": pa.array([word_hash(w) for w in words], pa.int64()), "n": pa.array(list(held.values()), pa.int64())})
 
         for batch in batches:
             for _, texts in chunks(batch, "text", 1_000_000):
@@ -69,49 +113,67 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
                     held.clear()
         yield lines()
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(task, "word binary, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text).alias("text")).mapInArrow(task, "word binary, hash long, n long").groupBy("word", "hash").agg(F.sum("n").alias("n"))
+
 
+def vocabulary(counts: DataFrame, held: int = SENT_WORDS) -> tuple[Vocabulary, DataFrame]:
+    """The OWN commonest words (ties: the lesser bytes), and count of each shared slot over all others; (word, log_n) of words that aren't sent.
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The OWN commonest words (ties: the lesser bytes), and count and distinct words of each shared slot over all others."""
+    Up to ``held`` of the others are sent with their counts. Words that are neither sent nor in the frame were counted once.
+    """
     top = counts.orderBy(F.desc("n"), "word").limit(OWN).collect()
     own = {bytes(r["word"]): i for i, r in enumerate(top)}
     last = (top[-1]["n"], bytes(top[-1]["word"])) if top else (0, b"")
     rest = counts.filter((F.col("n") < last[0]) | ((F.col("n") == last[0]) & (F.col("word") > F.lit(last[1])))) if len(top) == OWN else counts.filter(F.lit(False))
-    n, distinct = np.zeros(PAD), np.ones(PAD)
+    times = sorted(((r["n"], r["words"]) for r in rest.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
+    shared = max(SHARED, math.ceil(GROWTH * math.sqrt(sum(w for _, w in times))))
+    least, room = last[0] + 1, held
+    for n_, words in times:
+        room -= words
+        if room < 0:
+            break
+        least = n_
+    sent = {bytes(r["word"]): math.log(r["n"]) for r in rest.filter(F.col("n") >= least).select("word", "n").collect()}
+    size = OWN + shared
+    n, classes = np.zeros(size), max(CLASSES, math.ceil(math.sqrt(size)))
     n[: len(top)] = [r["n"] for r in top]
-    for r in rest.groupBy("slot").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
-        n[r["slot"]], distinct[r["slot"]] = r["n"], r["words"]
+    for r in rest.groupBy((F.col("hash") % shared + OWN).alias("slot")).agg(F.sum("n").alias("n")).collect():
+        n[r["slot"]] = r["n"]
+    total = np.log(np.maximum(n, 1))
     n += 0.5  # for words that were not counted
     order = np.argsort(-n, kind="stable")
-    class_of = np.zeros(PAD, np.int64)
-    class_of[order] = np.minimum((np.cumsum(n[order]) - n[order] / 2) / n.sum() * CLASSES, CLASSES - 1).astype(np.int64)
-    mass = np.bincount(class_of, n, CLASSES)
-    return Vocabulary(own, class_of.astype(np.uint8), (np.log(n) - np.log(mass[class_of]) - np.log(distinct)).astype(np.float32), (mass / mass.sum()).astype(np.float32))
+    class_of = np.zeros(size, np.int64)
+    class_of[order] = np.minimum((np.cumsum(n[order]) - n[order] / 2) / n.sum() * classes, classes - 1).astype(np.int64)
+    mass = np.bincount(class_of, n, classes)
+    v = Vocabulary(own, class_of.astype(np.uint16), (np.log(n) - np.log(mass[class_of])).astype(np.float32), (mass / mass.sum()).astype(np.float32), total, sent)
+    return v, rest.filter((F.col("n") > 1) & (F.col("n") < least)).select("word", F.log(F.col("n").cast("double")).alias("log_n"))
 
 
 @dataclass
 class Network:
-    """embed (slots + pad, EMBED), mix (2 * SIDE * EMBED, HIDDEN), bias, out (HIDDEN, classes), out_bias."""
+    """embed (slots + pad, EMBED), mix (2 * SIDE * EMBED, HIDDEN), bias, out (HIDDEN, classes), out_bias, inner (slots by class, HIDDEN)."""
 
     embed: np.ndarray
     mix: np.ndarray
     bias: np.ndarray
     out: np.ndarray
     out_bias: np.ndarray
+    inner: np.ndarray
 
     @staticmethod
     def start(v: Vocabulary) -> Network:
         draw = np.random.default_rng(7)
         normal = lambda *shape: draw.normal(0, 0.1, shape).astype(np.float32)
-        return Network(normal(PAD + 1, EMBED), normal(2 * SIDE * EMBED, HIDDEN), np.zeros(HIDDEN, np.float32), normal(HIDDEN, CLASSES), np.log(v.class_share + 1e-6))
+        size, classes = len(v.class_of), len(v.class_share)
+        return Network(normal(size + 1, EMBED), normal(2 * SIDE * EMBED, HIDDEN), np.zeros(HIDDEN, np.float32), normal(HIDDEN, classes), np.log(v.class_share + 1e-6), np.zeros((size, HIDDEN), np.float32))
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.embed, self.mix, self.bias, self.out, self.out_bias)]).astype(np.float32)
+        return np.concatenate([x.ravel() for x in (self.embed, self.mix, self.bias, self.out, self.out_bias, self.inner)]).astype(np.float32)
 
     @staticmethod
-    def of(flat: np.ndarray) -> Network:
-        shapes = ((PAD + 1, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
+    def of(flat: np.ndarray, v: Vocabulary) -> Network:
+        size, classes = len(v.class_of), len(v.class_share)
+        shapes = ((size + 1, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,), (size, HIDDEN))
         ends = np.cumsum([int(np.prod(s)) for s in shapes])
         return Network(*(part.reshape(s).copy() for part, s in zip(np.split(flat, ends[:-1]), shapes, strict=True)))
 
@@ -120,34 +182,63 @@ class Network:
         h = np.tanh(x @ self.mix + self.bias)
         return x, h, h @ self.out + self.out_bias
 
-    def learn(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One step of gradient descent on the cross-entropy of the class."""
+    def by_class(self, v: Vocabulary, h: np.ndarray, slots: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each class: its part of ``inner``, its rows of h, the places of their slots in the class, the slots' logits."""
+        wanted = v.class_of[slots]
+        order = np.argsort(wanted, kind="stable")
+        cuts = np.searchsorted(wanted[order], np.arange(len(v.class_share) + 1))
+        prior, place = v.within[v.order], v.place[slots]
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            rows, part = order[cuts[c] : cuts[c + 1]], slice(v.begin[c], v.begin[c + 1])
+            yield part, rows, place[rows] - part.start, h[rows] @ self.inner[part].T + prior[part]
+
+    def learn(self, context: np.ndarray, target: np.ndarray, rate: float, v: Vocabulary | None = None, slots: np.ndarray | None = None) -> None:
+        """One step of gradient descent on the cross-entropy of the class, and of the slot within it where slots are given."""
         x, h, z = self.logits(context)
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(target)), target] -= 1
         p /= len(target)
-        dh = (p @ self.out.T) * (1 - h * h)
-        dx = (dh @ self.mix.T).reshape(-1, EMBED)
+        dh = p @ self.out.T
         scale = rate * 10
+        if slots is not None:
+            for part, rows, at, z in self.by_class(v, h, slots):
+                q = np.exp(z - z.max(axis=1, keepdims=True))
+                q /= q.sum(axis=1, keepdims=True)
+                q[np.arange(len(at)), at] -= 1
+                q /= len(target)
+                dh[rows] += q @ self.inner[part]
+                # The mean over a class of few tokens would be a step too long.
+                self.inner[part] -= scale * len(target) / max(len(rows), len(target) ** 0.5) * (q.T @ h[rows])
+        dh *= 1 - h * h
+        dx = (dh @ self.mix.T).reshape(-1, EMBED)
         self.out -= scale * (h.T @ p)
         self.out_bias -= scale * p.sum(axis=0)
         self.mix -= scale * (x.T @ dh)
         self.bias -= scale * dh.sum(axis=0)
         np.add.at(self.embed, context.ravel(), -scale * dx * len(target) ** 0.5)
 
-    def log_classes(self, context: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        z = self.logits(context)[2]
-        top = z.max(axis=1)
-        return z[np.arange(len(z)), wanted] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+    def log_slots(self, v: Vocabulary, context: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the slots: of the class, and of the slot within it."""
+        _, h, z = self.logits(context)
+        found = picked(z, v.class_of[slots])
+        for _, rows, at, z in self.by_class(v, h, slots):
+            found[rows] += picked(z, at)
+        return found
+
+
+def picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-softmax of each row at one place."""
+    top = z.max(axis=1)
+    return z[np.arange(len(z)), at] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
 
 
 def padded(slots: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts one after the other with SIDE pads around each, and the place of each token; starts: of the texts, in tokens."""
+    """Texts one after the other with SIDE pads (-1, the last row of embed) around each, and the place of each token; starts: of the texts, in tokens."""
     lengths = np.diff(np.r_[starts, len(slots)])
     text = np.repeat(np.arange(len(starts)), lengths)
     at = np.arange(len(slots)) + SIDE * (text + 1)
-    line = np.full(len(slots) + SIDE * (len(starts) + 1), PAD, np.uint16)
+    line = np.full(len(slots) + SIDE * (len(starts) + 1), -1, np.int32)
     line[at] = slots
     return line, at
 
@@ -159,31 +250,39 @@ def contexts(line: np.ndarray, at: np.ndarray) -> np.ndarray:
 def sums(v: Vocabulary, net: Network, texts: list[np.ndarray], block: int = 32_768) -> np.ndarray:
     """The pseudo-log-likelihood of each text, given as slots."""
     lengths = np.array([len(t) for t in texts])
-    slots = np.concatenate([*texts, np.zeros(0, np.uint16)]).astype(np.uint16)
+    slots = np.concatenate([*texts, np.zeros(0, np.int32)]).astype(np.int32)
     line, at = padded(slots, np.cumsum(lengths) - lengths)
     score = np.zeros(len(slots), np.float64)
     for i in range(0, len(slots), block):
         own = slots[i : i + block]
-        score[i : i + block] = net.log_classes(contexts(line, at[i : i + block]), v.class_of[own].astype(np.int64)) + v.within[own]
+        score[i : i + block] = net.log_slots(v, contexts(line, at[i : i + block]), own)
     return np.bincount(np.repeat(np.arange(len(texts)), lengths), score, len(texts))
 
 
 def tokens(docs: DataFrame, v: Vocabulary, text: str = "text") -> DataFrame:
-    """(doc_id, slots): the slots of all words of each row as 16-bit numbers."""
+    """(row, doc_id, slots, known, rare): the slots of all words of each row as 32-bit numbers, and what ``shares`` gives."""
     sent = docs.sparkSession.sparkContext.broadcast(v)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = sent.value
         for batch in batches:
             for part, texts in chunks(batch, "text", 2_000_000):
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "slots": pa.array([sent.value.slots(t.split()).tobytes() for t in texts], pa.binary())})
+                slots, known, rare = [], [], []
+                for t in texts:
+                    words = t.split()
+                    slots.append(v.slots(words))
+                    share, others = v.shares(words, slots[-1])
+                    known.append(share)
+                    rare.append(others)
+                yield pa.record_batch({"row": part.column("row"), "doc_id": part.column("doc_id"), "slots": pa.array([x.tobytes() for x in slots], pa.binary()), "known": pa.array(known, pa.float64()), "rare": pa.array(rare, pa.list_(pa.binary()))})
 
-    return docs.select(F.col("doc_id"), F.col(text).alias("text")).mapInArrow(task, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, slots binary")
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col(text).alias("text")).mapInArrow(task, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, slots binary, known double, rare array<binary>")
 
 
 def slots_in(batch: pa.RecordBatch, most: int = 512) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for i in range(0, batch.num_rows, most):
         part = batch.slice(i, most)
-        yield part, [np.frombuffer(x, np.uint16) for x in part.column("slots").to_pylist()]
+        yield part, [np.frombuffer(x, np.int32) for x in part.column("slots").to_pylist()]
 
 
 def train(rows: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Network:
@@ -194,7 +293,7 @@ def train(rows: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Network:
 
         def task(batches: Iterator[pa.RecordBatch], sent=sent, round_=round_) -> Iterator[pa.RecordBatch]:
             flat, v = sent.value
-            own, seen, waiting = Network.of(flat), 0, []
+            own, seen, waiting = Network.of(flat, v), 0, []
             for batch in batches:
                 for _, texts in slots_in(batch):
                     lengths = np.array([len(t) for t in texts])
@@ -205,28 +304,30 @@ def train(rows: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Network:
                     shift = np.repeat((np.array([int(t[:8].sum()) for t in texts]) + 3 * round_) % np.minimum(np.maximum(lengths, 1), STRIDE), lengths)
                     use = np.flatnonzero(place % STRIDE == shift)
                     if len(use):
-                        waiting.append((contexts(line, at[use]), v.class_of[slots[use]].astype(np.int64)))
+                        waiting.append((contexts(line, at[use]), slots[use]))
                     if sum(len(y) for _, y in waiting) >= 16 * BATCH:
-                        seen += run(own, waiting)
+                        seen += run(own, v, waiting)
                         waiting = []
-            seen += run(own, waiting)
+            seen += run(own, v, waiting)
             if seen:
                 pieces = np.array_split(own.flat(), PIECES)
                 key = int(own.flat().view(np.uint32)[:64].sum() % 32)
-                yield pa.record_batch({"piece": pa.array(range(PIECES), pa.int32()), "part": pa.array([key] * PIECES, pa.int32()), "n": pa.array([float(seen)] * PIECES), "w": pa.array([(p.astype(np.float64) * seen).tobytes() for p in pieces], pa.binary())})
+                yield pa.record_batch({"piece": pa.array(range(PIECES), pa.int32()), "part": pa.array([key] * PIECES, pa.int32()), "n": pa.array([float(seen)] * PIECES), "w": pa.array([p.tobytes() for p in pieces], pa.binary())})
 
-        def run(own: Network, waiting: list[tuple[np.ndarray, np.ndarray]]) -> int:
+        def run(own: Network, v: Vocabulary, waiting: list[tuple[np.ndarray, np.ndarray]]) -> int:
             if not waiting:
                 return 0
             x, y = np.concatenate([c for c, _ in waiting]), np.concatenate([t for _, t in waiting])
             order = np.random.default_rng(len(y)).permutation(len(y))
             for i in range(0, len(y), BATCH):
-                own.learn(x[order[i : i + BATCH]], y[order[i : i + BATCH]], RATE)
+                slots = y[order[i : i + BATCH]]
+                own.learn(x[order[i : i + BATCH]], v.class_of[slots].astype(np.int64), RATE, v, slots)
             return len(y)
 
         def add(part: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x, np.float64) for x in part.column("w").to_pylist())
-            return pa.table({"piece": part.column("piece")[:1], "n": pa.array([sum(part.column("n").to_pylist())]), "w": pa.array([total.tobytes()], pa.binary())})
+            n = part.column("n").to_pylist()
+            mean = sum(np.frombuffer(x.as_buffer(), np.float32) * (k / sum(n)) for x, k in zip(part.column("w"), n, strict=True))
+            return pa.table({"piece": part.column("piece")[:1], "n": pa.array([sum(n)]), "w": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
 
         schema = "piece int, n double, w binary"
         sent_on = rows.select("slots").mapInArrow(task, "piece int, part int, n double, w binary")
@@ -234,17 +335,17 @@ def train(rows: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Network:
         whole = sorted(half.groupBy("piece").applyInArrow(add, schema).collect(), key=lambda r: r["piece"])
         if not whole:
             break
-        net = Network.of(np.concatenate([np.frombuffer(r["w"], np.float64) / r["n"] for r in whole]).astype(np.float32))
+        net = Network.of(np.concatenate([np.frombuffer(r["w"], np.float32) for r in whole]), v)
     return net
 
 
-def score(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, held: int = SENT_WORDS) -> DataFrame:
     """doc_id, n_tokens, logprob (sum over all tokens of a text) and mean_logprob (null for texts without words).
 
     Counts, training and scores cover all rows. Null and empty texts have no tokens and logprob 0; null ids and repeated rows
     are scored like others; an empty table gives no rows. Columns but doc_id and the text are not looked at.
     """
-    v = vocabulary(cut(count_words(docs, text), "lm-counts"))
+    v, others = vocabulary(cut(count_words(docs, text), "lm-counts"), held)
     rows = cut(tokens(docs, v, text), "lm-tokens")
     net = train(rows, v, rounds)
     sent = docs.sparkSession.sparkContext.broadcast((v, net))
@@ -253,8 +354,9 @@ def score(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFram
         v, net = sent.value
         for batch in batches:
             for part, texts in slots_in(batch):
-                n = np.array([len(t) for t in texts])
-                total = sums(v, net, texts)
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "logprob": pa.array(total), "mean_logprob": pa.array(total / np.maximum(n, 1), mask=n == 0)})
+                yield pa.record_batch({"row": part.column("row"), "doc_id": part.column("doc_id"), "n_tokens": pa.array([len(t) for t in texts], pa.int64()), "part": pa.array(sums(v, net, texts) + part.column("known").to_numpy())})
 
-    return rows.mapInArrow(task, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, logprob double, mean_logprob double")
+    scored = rows.select("row", "doc_id", "slots", "known").mapInArrow(task, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, part double")
+    rare = rows.select("row", F.explode("rare").alias("word")).join(others, "word").groupBy("row").agg(F.sum("log_n").alias("rare"))
+    total = F.col("part") + F.coalesce("rare", F.lit(0.0))
+    return scored.join(rare, "row", "left").select("doc_id", "n_tokens", total.alias("logprob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_logprob"))

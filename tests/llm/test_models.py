@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import language, pseudolikelihood, quality, toxicity
 from marlstone.llm.words import held_out
@@ -177,3 +178,39 @@ def test_training_beats_unigrams():
         net.learn(pseudolikelihood.contexts(line, at[i : i + 1024]), v.class_of[slots[i : i + 1024]].astype(np.int64), pseudolikelihood.RATE)
     after = pseudolikelihood.sums(v, net, [slots])[0]
     assert after > before + 0.5 * len(slots)
+
+
+def test_shared_slots_keep_counts(spark):
+    """Two words of one shared slot, one counted three times and one twice, alone in their texts: log 3/2 apart, by either way of the counts."""
+    lm = pseudolikelihood
+    others = [f"r{i}" for i in range(2000)]
+    slots = {}
+    a, b = next((slots[s], w) for w in others if slots.setdefault(s := lm.shared_slot(w.encode()), w) != w)
+    text = " ".join([f"c{i}" for i in range(lm.OWN)] * 5 + others + [a])
+    docs = spark.createDataFrame([(0, text), (1, a), (2, b)], "doc_id long, text string")
+    for held in (lm.SENT_WORDS, 0):
+        got = {r["doc_id"]: r["logprob"] for r in lm.score(docs, held=held).collect()}
+        assert got[1] - got[2] == pytest.approx(np.log(3 / 2), abs=1e-5)
+
+
+def test_slots_grow_with_words(spark):
+    lm = pseudolikelihood
+    words = spark.range(lm.OWN + 40_000).select(F.col("id").cast("string").cast("binary").alias("word"), F.shiftrightunsigned(F.xxhash64("id"), 1).alias("hash"), F.lit(1).cast("long").alias("n"))
+    v, _ = lm.vocabulary(words)
+    assert len(v.class_of) - lm.OWN == lm.GROWTH * 200
+    assert np.exp(v.within.astype(float)).sum() == pytest.approx(np.count_nonzero(np.bincount(v.class_of)), rel=1e-4)
+
+
+def test_slots_within_a_class_depend_on_context():
+    """All words in one class, each told by its neighbours: only the second level can learn them."""
+    lm = pseudolikelihood
+    share = np.where(np.arange(lm.PAD) < 24, 1 / 24, 1e-9)
+    v = lm.Vocabulary({}, np.zeros(lm.PAD, np.uint16), np.log(share / share.sum()).astype(np.float32), np.ones(1, np.float32))
+    start = np.random.default_rng(5).integers(0, 8, 20_000)
+    slots = np.stack([start, start + 8, start + 16], 1).ravel().astype(np.int32)
+    net = lm.Network.start(v)
+    before = lm.sums(v, net, [slots])[0]
+    line, at = lm.padded(slots, np.array([0]))
+    for i in range(0, len(slots) - 1024, 1024):
+        net.learn(lm.contexts(line, at[i : i + 1024]), np.zeros(1024, np.int64), lm.RATE, v, slots[i : i + 1024])
+    assert lm.sums(v, net, [slots])[0] > before + 0.5 * len(slots)
