@@ -254,3 +254,15 @@ def test_search(spark):
 def test_search_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.search(empty, F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_depth_is_chosen_at_the_threshold(monkeypatch, spark):
+    """A large group of close copies doesn't end the search before the depth that borderline links need."""
+    text = [f"w{i}" for i in range(60)]
+    near = [(i, " ".join(text[:40] + [f"x{i}"] + text[40:])) for i in range(100)]
+    levels, compared = [], neardup.compared
+    monkeypatch.setattr(neardup, "compared", lambda rows, level, threshold: levels.append(level) or compared(rows, level, threshold))
+    line = [f"y{i}" for i in range(61)]
+    neardup.join(spark.createDataFrame([*near, (200, " ".join(line)), (201, " ".join([*line[:55], *(f"z{i}" for i in range(6))]))], "doc_id long, text string")).collect()
+    assert neardup.DEPTHS[neardup.last_level(0.8, 0.9999)] == 4
+    assert max(levels) > 0
