@@ -6,7 +6,7 @@ words on both sides of a token to a distribution over classes and to one over th
 levels); within a shared slot each word has its own share of the slot's count. The sum of log-probabilities of a document's tokens, each with all others given, is its pseudo-log-likelihood.
 
 Training is data-parallel: each task runs mini-batches over its own documents, starting from the common weights, and the
-weights are averaged by the number of tokens. Every document takes part in every round with one in STRIDE of its tokens.
+weights are averaged by the number of tokens. Each token is a target in one of the rounds, which take turns.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from marlstone.llm.words import chunks
 from marlstone.plans.scratch import cut
 
-#: Slots of single words; the least number of shared slots and of classes; words on each side; sizes of the network; tokens between two that train.
-OWN, SHARED, CLASSES, SIDE, EMBED, HIDDEN, STRIDE = 3000, 1000, 64, 2, 16, 32, 8
+#: Slots of single words; the least number of shared slots and of classes; words on each side; sizes of the network.
+OWN, SHARED, CLASSES, SIDE, EMBED, HIDDEN = 3000, 1000, 64, 2, 16, 32
 PAD = OWN + SHARED
 RATE, BATCH, ROUNDS = 0.15, 1024, 2
 #: Shared slots for each root of the distinct words.
@@ -285,6 +285,14 @@ def slots_in(batch: pa.RecordBatch, most: int = 512) -> Iterator[tuple[pa.Record
         yield part, [np.frombuffer(x, np.int32) for x in part.column("slots").to_pylist()]
 
 
+def targets(texts: list[np.ndarray], round_: int, rounds: int) -> np.ndarray:
+    """Places of the tokens that train in a round: each token in one of the rounds. Texts begin elsewhere, so that short ones are spread."""
+    lengths = np.array([len(t) for t in texts])
+    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    first = np.repeat(np.array([int(t[:8].sum()) for t in texts]), lengths)
+    return np.flatnonzero((place + first) % rounds == round_)
+
+
 def train(rows: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Network:
     """Local gradient descent in each task, averaged after each round; weights are summed in two steps in the shuffle."""
     spark, net = rows.sparkSession, Network.start(v)
@@ -299,10 +307,7 @@ def train(rows: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Network:
                     lengths = np.array([len(t) for t in texts])
                     slots = np.concatenate(texts)
                     line, at = padded(slots, np.cumsum(lengths) - lengths)
-                    # Each text begins elsewhere, so that short ones take part and rounds differ.
-                    place = np.arange(len(slots)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                    shift = np.repeat((np.array([int(t[:8].sum()) for t in texts]) + 3 * round_) % np.minimum(np.maximum(lengths, 1), STRIDE), lengths)
-                    use = np.flatnonzero(place % STRIDE == shift)
+                    use = targets(texts, round_, rounds)
                     if len(use):
                         waiting.append((contexts(line, at[use]), slots[use]))
                     if sum(len(y) for _, y in waiting) >= 16 * BATCH:

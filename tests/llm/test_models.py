@@ -214,3 +214,9 @@ def test_slots_within_a_class_depend_on_context():
     for i in range(0, len(slots) - 1024, 1024):
         net.learn(lm.contexts(line, at[i : i + 1024]), np.zeros(1024, np.int64), lm.RATE, v, slots[i : i + 1024])
     assert lm.sums(v, net, [slots])[0] > before + 0.5 * len(slots)
+
+
+def test_every_token_is_a_target():
+    texts = [np.arange(n, dtype=np.int32) for n in (1, 0, 2, 7, 100)]
+    got = np.concatenate([pseudolikelihood.targets(texts, r, pseudolikelihood.ROUNDS) for r in range(pseudolikelihood.ROUNDS)])
+    assert sorted(got.tolist()) == list(range(110))
