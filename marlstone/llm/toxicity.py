@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.words import chunks, fold, labelled_sample
 
-#: Words of a window; bytes of a gram; bytes of the dictionaries; the margin at which a window counts.
-WINDOW, GRAM, ORDINARY_BYTES, TOXIC_BYTES, STRONG = 8, 6, 16384, 8192, 3
+#: Words of a window; bytes of a gram; bytes of the ordinary dictionary; the margin at which a window counts.
+WINDOW, GRAM, ORDINARY_BYTES, STRONG = 8, 6, 16384, 3
 #: A gram is toxic if it is in this share of the toxic texts at least, and so many times as common there as elsewhere.
 SHARE, CONTRAST = 0.03, 15.0
 
@@ -89,12 +89,13 @@ def toxic_dictionary(segments: Counter[bytes]) -> bytes:
 
     The library's trainer isn't used here: of so little text it keeps only what recurs most, some 200 bytes.
     """
-    return b"\0".join(s for s, _ in sorted(segments.items(), key=lambda x: (x[1], x[0])))[-TOXIC_BYTES:]
+    return b"\0".join(s for s, _ in sorted(segments.items(), key=lambda x: (x[1], x[0])))
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     # Large tables keep every position of the dictionary; matches under 6 bytes would be chance.
-    how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=17, chain_log=17, search_log=6, min_match=6, target_length=1, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
+    log = max(17, len(content).bit_length() + 1)  # all of the dictionary stays in reach
+    how = zstandard.ZstdCompressionParameters(window_log=log, hash_log=log, chain_log=log, search_log=6, min_match=6, target_length=1, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
     if not content:
         return zstandard.ZstdCompressor(compression_params=how)
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -148,7 +149,7 @@ def train(sample: list[tuple[str, int]]) -> Model:
     known = {y: ts[: max(1, len(ts) * 3 // 5)] for y, ts in by.items()}
     toxic, ordinary = ([words_of(t) for t in known[y]] for y in (1, 0))
     segments = toxic_segments(toxic, ordinary)
-    plain = ordinary_dictionary([w for t in ordinary for w in windows(t)][:50_000])
+    plain = ordinary_dictionary([w for t in ordinary for w in windows(t)])
     model = Model(plain, toxic_dictionary(segments), ())
     rest = [(t, y) for y, ts in by.items() for t in (ts[len(known[y]) :] or ts)]
     x = Scorer(model).features([t for t, _ in rest])

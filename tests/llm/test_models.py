@@ -220,3 +220,16 @@ def test_every_token_is_a_target():
     texts = [np.arange(n, dtype=np.int32) for n in (1, 0, 2, 7, 100)]
     got = np.concatenate([pseudolikelihood.targets(texts, r, pseudolikelihood.ROUNDS) for r in range(pseudolikelihood.ROUNDS)])
     assert sorted(got.tolist()) == list(range(110))
+
+
+def test_toxic_training_has_no_prefix(monkeypatch):
+    """All windows reach the ordinary dictionary, and all segments stay in the toxic one."""
+    seen = []
+    monkeypatch.setattr(toxicity, "ordinary_dictionary", lambda samples: seen.append(len(samples)) or b"")
+    toxicity.train([("a " * 8 * 60_000, 0), ("bad text", 1)])
+    assert seen == [60_000]
+    segments = Counter({f" segment{i:05d} ".encode(): i + 1 for i in range(20_000)})
+    held = toxicity.toxic_dictionary(segments)
+    assert set(held.split(b"\0")) == set(segments)
+    plain, both = (len(toxicity.compressor(c).compress(b" segment00000 segment00001 segment00002 ")) for c in (b"", held))
+    assert both < plain
