@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,23 @@ def result_errors(result: Column) -> Column:
     return F.concat(_errors(top, of_summary, of_documents), F.when(is_object & listed, F.coalesce(of_items, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
 
 
+def _phase_errors(result: Column, of_summary: Callable[[Column], Column]) -> Column:
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(result), "$.summary", "variant"))
+    shaped = F.coalesce(kind == "STRING", F.lit(False))
+    error = F.when(~shaped, "Expected finish(value) to receive a dict with 'summary' key.").otherwise(of_summary(F.get_json_object(result, "$.summary")))
+    return _errors(error)
+
+
+def phase1_errors(result: Column) -> Column:
+    """What is wrong with the result of phase 1 given as JSON."""
+    return _phase_errors(result, lambda s: F.when(~s.contains("## Major directories"), "Expected 'summary' to include '## Major directories'."))
+
+
+def phase2_errors(result: Column) -> Column:
+    """What is wrong with the result of phase 2 given as JSON."""
+    return _phase_errors(result, lambda s: F.when(~s.contains("## Relationships"), "Expected 'summary' to include '## Relationships'.").when(~s.contains("```mermaid"), "Expected 'summary' to include a Mermaid diagram (```mermaid)."))
+
+
 def _item_errors(item: Column, at: Column) -> Column:
     where = F.concat(F.lit("Expected documents["), at.cast("string"), F.lit("]"))
     kind = lambda p: F.schema_of_variant(F.try_variant_get(F.try_parse_json(item), p, "variant"))

@@ -193,3 +193,19 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["replay", str(tmp_path / "log.json"), "--fail-on-nonfinished"]) == 0
     assert json.loads(capsys.readouterr().out)["status"] == "finished"
     assert cli.main(["replay", str(tmp_path / "log.json"), "--max-steps", "1", "--fail-on-nonfinished"]) == 1
+
+
+def test_phase_errors(spark):
+    shape = ["Expected finish(value) to receive a dict with 'summary' key."]
+    cases = [
+        ("no json", shape, shape),
+        (None, shape, shape),
+        ('{"other": 1}', shape, shape),
+        ('{"summary": 1}', shape, shape),
+        ('{"summary": ""}', ["Expected 'summary' to include '## Major directories'."], ["Expected 'summary' to include '## Relationships'."]),
+        ('{"summary": "## Major directories\\n## Relationships"}', [], ["Expected 'summary' to include a Mermaid diagram (```mermaid)."]),
+        ('{"summary": "## Relationships ```mermaid"}', ["Expected 'summary' to include '## Major directories'."], []),
+    ]
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, r string")
+    got = rows.select("i", validate.phase1_errors(F.col("r")).alias("a"), validate.phase2_errors(F.col("r")).alias("b")).orderBy("i").collect()
+    assert [(r["a"], r["b"]) for r in got] == [c[1:] for c in cases]
