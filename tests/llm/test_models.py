@@ -228,8 +228,8 @@ def test_toxic_training_has_no_prefix(monkeypatch):
     monkeypatch.setattr(toxicity, "ordinary_dictionary", lambda samples: seen.append(len(samples)) or b"")
     toxicity.train([("a " * 8 * 60_000, 0), ("bad text", 1)])
     assert seen == [60_000]
-    segments = Counter({f" segment{i:05d} ".encode(): i + 1 for i in range(20_000)})
+    segments = Counter({f" {zlib.crc32(b'%d' % i):08x}{zlib.crc32(b'x%d' % i):08x} ".encode(): i + 1 for i in range(20_000)})
     held = toxicity.toxic_dictionary(segments)
     assert set(held.split(b"\0")) == set(segments)
-    plain, both = (len(toxicity.compressor(c).compress(b" segment00000 segment00001 segment00002 ")) for c in (b"", held))
+    plain, both = (len(toxicity.compressor(c).compress(min(segments, key=segments.get))) for c in (b"", held))
     assert both < plain
