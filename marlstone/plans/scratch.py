@@ -12,34 +12,53 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Setting of the session that holds the folder made where spark.checkpoint.dir is unset.
 OWN_DIR = "spark.marlstone.scratch"
-_written: list[tuple[SparkSession, str]] = []
+#: Attribute of a frame that :func:`cut` returns: where its files lie.
+PATH = "_marlstone_scratch"
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where that is unset (tests on one machine) a temporary folder."""
+    """``spark.checkpoint.dir`` of the session. Where that is unset, a temporary folder if all runs on one machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR, None)
     if not found:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
         spark.conf.set(OWN_DIR, found)
     return found.rstrip("/")
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` as Parquet below :func:`shared_dir` and read it back. Files go when the driver ends or :func:`clear` is called."""
+    """Write ``df`` as Parquet below :func:`shared_dir` and read it back. Files go with :func:`free`, :func:`clear` or the driver."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    frame = spark.read.schema(df.schema).parquet(path)
+    setattr(frame, PATH, path)
+    return frame
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free(*frames: DataFrame | None) -> None:
+    """Delete the files of cut frames that nothing reads any more; other frames and None are left alone."""
+    for frame in frames:
+        path = getattr(frame, PATH, None)
+        if path in _written:
+            delete(_written.pop(path), path)
 
 
 def clear() -> None:
     """Delete all that :func:`cut` has written in this process; frames that read it can't be used any more."""
     while _written:
-        spark, path = _written.pop()
-        with contextlib.suppress(Exception):
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        path, spark = _written.popitem()
+        delete(spark, path)
 
 
 atexit.register(clear)
