@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain, count
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +48,56 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = 4_000_000) -
             start = end
 
 
+def pieces(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """A text in parts of about ``most`` bytes that end at white space, so that no word is cut; a longer word stays whole."""
+    at = 0
+    while len(text) - at > most:
+        end = max(text.rfind(c, at, at + most) for c in (b" ", b"\n", b"\t"))
+        if end <= at:
+            end = min((e for c in (b" ", b"\n", b"\t") if (e := text.find(c, at + most)) >= 0), default=len(text))
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts, one after the other, and the number of words of each text.
+
+    Words are split a megabyte at a time, so that a very long text needs 8 bytes a word, not an object for each.
+    """
+    lengths: list[int] = []
+
+    def lists() -> Iterator[list[bytes]]:
+        for t in texts:
+            n = 0
+            for p in pieces(t):
+                found = p.split()
+                n += len(found)
+                yield found
+            lengths.append(n)
+
+    seen: dict[bytes, int] = {}
+    at = np.fromiter(map(seen.setdefault, chain.from_iterable(lists()), count()), np.int64)
+    hashes = np.zeros(len(at), np.uint64)
+    hashes[np.fromiter(seen.values(), np.int64, count=len(seen))] = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, count=len(seen))
+    return hashes[at], np.array(lengths, np.int64)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores at its end as it takes to clash with none of the names ``taken`` (upper and lower case alike)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def must_be_free(names: list[str], taken: list[str], operator: str) -> None:
+    """Raise if a column that an operator adds is there already: passing both on would make each ambiguous."""
+    clash = sorted({n.lower() for n in names} & {t.lower() for t in taken})
+    if clash:
+        raise ValueError(f"{operator} adds the columns {', '.join(names)}; the input already has {', '.join(clash)}")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, learn: Column | None = None) -> list[tuple[str, int]]:
     """(text, label) of up to ``per_class`` documents of each class 0 and 1, chosen by the hash of their id; learn: which rows of labels may be used.
 

@@ -3,6 +3,8 @@
 import zlib
 from collections import Counter, defaultdict
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -12,6 +14,11 @@ from pyspark.sql import functions as F
 from marlstone.llm import mixing, neardup, packing, sharding, topk, urls
 
 
+def words(n, seed):
+    draw = random.Random(seed)
+    return ["".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 6))) for _ in range(n)]
+
+
 def tokens(text):
     return (text or "").encode().split()
 
@@ -158,10 +165,10 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def test_join(docs, rows):
-    got = neardup.join(docs).collect()
+def brute(rows, threshold=0.8):
+    """Of rows (id, text): classes by their least id, links of each row, and the sets."""
     sets = [shingles(r[1]) for r in rows]
-    alike = lambda a, b: (not a and not b) or (a and b and len(a & b) >= 0.8 * len(a | b))
+    alike = lambda a, b: (not a and not b) or (a and b and len(a & b) >= threshold * len(a | b))
     root = list(range(len(rows)))
 
     def top(i):
@@ -182,12 +189,57 @@ def test_join(docs, rows):
         if r[0] is not None:
             known = least[top(i)]
             least[top(i)] = r[0] if known is None else min(known, r[0])
-    want = Counter((r[0], least[top(i)], links[i]) for i, r in enumerate(rows))
+    return [least[top(i)] for i in range(len(rows))], links, sets
+
+
+def test_join(docs, rows):
+    classes, links, _ = brute(rows)
+    got = neardup.join(docs, count_all=True).collect()
+    want = Counter((r[0], classes[i], links[i]) for i, r in enumerate(rows))
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == want
     stay = neardup.one_of_each(docs)
     assert stay.columns == docs.columns
     kept = Counter(r["doc_id"] for r in stay.collect())
-    assert kept == Counter(set(least.values()) | {None})
+    assert kept == Counter({c for c in classes if c is not None} | {None})
+
+
+def check_listed(got, rows):
+    """Classes are those of the brute force; listed links are true, exact, and hold every class together."""
+    classes, links, sets = brute(rows)
+    assert Counter((r["doc_id"], r["class_id"]) for r in got) == Counter((r[0], c) for r, c in zip(rows, classes, strict=True))
+    of = {r[0]: s for r, s in zip(rows, sets, strict=True)}
+    for r in got:
+        if r["link_id"] is not None and r["doc_id"] is not None:
+            a, b = of[r["doc_id"]], of[r["link_id"]]
+            assert r["similarity"] == pytest.approx(len(a & b) / len(a | b)) and r["similarity"] >= 0.8 and a != b
+    most = {r[0]: links[i] for i, r in enumerate(rows)}
+    assert all(r["n_links"] <= most[r["doc_id"]] and (r["n_links"] > 0) == (most[r["doc_id"]] > 0) for r in got if r["doc_id"] is not None)
+
+
+def test_listed_links(docs, rows):
+    alone = [r for r in rows if r[0] != 304]
+    check_listed(neardup.join(docs.filter("doc_id is null or doc_id <> 304")).collect(), alone)
+
+
+def test_links_of_a_table(spark):
+    """Whole documents of sf0.01 against brute force: every linked pair of texts is in one class (recall 1)."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    check_listed(neardup.join(docs).collect(), [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+
+
+@pytest.mark.parametrize("block", [3, 7])
+def test_chains_in_blocks(spark, monkeypatch, block):
+    """Families of texts that are not all linked: what pivots leave is compared in blocks of both kinds."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "HOT", 5)
+    monkeypatch.setattr(neardup, "SALTS", 3)
+    rows, i = [], 0
+    for family in range(3):
+        base = words(60, 4000 + family)
+        for step in range(0, 40, 2):
+            rows.append((i, " ".join([*base[:step], *(f"y{family}z{k}" for k in range(step)), *base[step:]][:60] if step % 3 else [f"v{step}x{k}" for k in range(step // 4)] + base)))
+            i += 1
+    check_listed(neardup.join(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
 
 
 def test_join_nothing(nothing):
@@ -200,10 +252,10 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     base = [f"w{i}" for i in range(100)]
     near = [[*base[: i + 1], f"x{i}", *base[i + 2 :]] for i in range(40)]
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(near)], "doc_id long, text string")
-    got = neardup.join(docs).collect()
+    got = neardup.join(docs, count_all=True).collect()
     sets = [shingles(" ".join(w)) for w in near]
     want = [sum(len(a & b) >= 0.8 * len(a | b) for b in sets) - 1 for a in sets]
-    assert {r["class_id"] for r in got} == {0} and sum(r["n_links"] for r in got) >= 0.99 * sum(want)
+    assert {r["class_id"] for r in got} == {0} and {r["doc_id"]: r["n_links"] for r in got} == dict(enumerate(want))
 
 
 # URLs
@@ -256,13 +308,8 @@ def test_search_nothing(spark):
     assert topk.search(empty, F.col("vec_id") % 100 == 0).count() == 0
 
 
-def test_depth_is_chosen_at_the_threshold(monkeypatch, spark):
-    """A large group of close copies doesn't end the search before the depth that borderline links need."""
-    text = [f"w{i}" for i in range(60)]
-    near = [(i, " ".join(text[:40] + [f"x{i}"] + text[40:])) for i in range(100)]
-    levels, compared = [], neardup.compared
-    monkeypatch.setattr(neardup, "compared", lambda rows, level, threshold: levels.append(level) or compared(rows, level, threshold))
-    line = [f"y{i}" for i in range(61)]
-    neardup.join(spark.createDataFrame([*near, (200, " ".join(line)), (201, " ".join([*line[:55], *(f"z{i}" for i in range(6))]))], "doc_id long, text string")).collect()
-    assert neardup.DEPTHS[neardup.last_level(0.8, 0.9999)] == 4
-    assert max(levels) > 0
+def test_depth_is_chosen_at_the_threshold():
+    """How many close links there are plays no part; what can't be reached is an error."""
+    assert neardup.depths_for(0.8, 0.9999) == (6, 4) and neardup.depths_for(0.95, 0.999) == (6,)
+    with pytest.raises(ValueError, match="don't find"):
+        neardup.depths_for(0.2, 0.9999)
