@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -76,11 +76,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                 yield found
             lengths.append(n)
 
-    seen: dict[bytes, int] = {}
-    at = np.fromiter(map(seen.setdefault, chain.from_iterable(lists()), count()), np.int64)
-    hashes = np.zeros(len(at), np.uint64)
-    hashes[np.fromiter(seen.values(), np.int64, count=len(seen))] = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, count=len(seen))
-    return hashes[at], np.array(lengths, np.int64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(lists())), np.uint64)
+    return hashes, np.array(lengths, np.int64)
 
 
 def free_name(name: str, taken: list[str]) -> str:
