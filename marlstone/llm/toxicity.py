@@ -1,10 +1,11 @@
 """Toxicity by compression distance: windows compress shorter with a dictionary of toxic text than without it.
 
-Two zstandard dictionaries are trained: one on ordinary text and one on what toxic documents hold far more often than
-ordinary ones. A window of words is compressed twice, with the ordinary dictionary and with both; the margin is the
-difference of the lengths. As both compressors share the ordinary part, ordinary text has a margin near 0 in any language
-that the sample holds. The largest margin and the number of windows over a threshold give the score, by a logistic curve
-calibrated on labelled documents that the dictionaries haven't seen.
+Two zstandard dictionaries are trained apart by the library's trainer: one on the windows of ordinary texts, and one on toxic
+texts, of which it is given the stretches that ordinary text doesn't explain (those of grams that are far commoner in toxic
+texts). A window of words is compressed twice, with the ordinary dictionary, and with the toxic one put before it; the margin
+is the difference of the lengths. As both compressors share the ordinary part, ordinary text has a margin near 0 in any
+language that the sample holds. Windows over two thresholds, the largest and the summed margin give the score by a logistic
+curve. The curve and the threshold of the score are calibrated on labelled texts that the dictionaries haven't seen.
 """
 
 from __future__ import annotations
@@ -19,17 +20,23 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.words import chunks, fold, labelled_sample
+from marlstone.llm.words import chunks, fold, labelled_sample, must_be_free, pieces
 
-#: Words of a window; bytes of a gram; bytes of the ordinary dictionary; the margin at which a window counts.
-WINDOW, GRAM, ORDINARY_BYTES, STRONG = 8, 6, 16384, 3
-#: A gram is toxic if it is in this share of the toxic texts at least, and so many times as common there as elsewhere.
-SHARE, CONTRAST = 0.03, 15.0
+#: Words of a window; bytes of the grams; bytes of the ordinary dictionary; margins at which a window counts.
+WINDOW, GRAMS, ORDINARY_BYTES, STRONG = 10, (6, 7, 8, 9, 10), 65536, (3, 6)
+#: A gram is toxic if it is in so many toxic texts at least, and in this share of them, and so many times as common there as elsewhere.
+LEAST, SHARE, CONTRAST = 4, 0.02, 15.0
+#: Segment and gram of the library's trainer, for either dictionary.
+ORDINARY_SEGMENT, TOXIC_SEGMENT = (64, 8), (32, 6)
+#: Share of the sample that trains the dictionaries; share of the other ordinary texts that the threshold may flag.
+KNOWN, FLAGGED = 0.75, 0.015
+#: Windows that are compressed at once.
+WINDOWS = 50_000
 
 
 @dataclass(frozen=True)
 class Model:
-    """Contents of the dictionaries and the logistic weights of (1, largest margin, log(1 + strong windows), log of all windows)."""
+    """Contents of the dictionaries and the logistic weights of :meth:`Scorer.features`."""
 
     ordinary: bytes
     toxic: bytes
@@ -45,57 +52,85 @@ def windows(words: list[bytes]) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)] or [b" "]
 
 
-def grams(words: list[bytes]) -> set[bytes]:
-    found: set[bytes] = set()
-    for w in set(words):
-        w = b" " + w + b" "
-        found.update(w[i : i + GRAM] for i in range(len(w) - GRAM + 1))
-    return found
-
-
-def toxic_segments(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Counter[bytes]:
-    """Stretches of words made of toxic grams, with their counts in the toxic texts."""
-    ours, theirs = Counter[bytes](), Counter[bytes]()
-    for t in toxic:
-        ours.update(grams(t))
-    least = max(3, SHARE * len(toxic))
-    ours = Counter({g: n for g, n in ours.items() if n >= least})
-    for t in ordinary:
-        theirs.update(grams(t) & ours.keys())
-    # A count of few texts may be chance: it is taken less its standard deviation.
-    marked = {g for g, n in ours.items() if (n - n**0.5) / len(toxic) >= CONTRAST * (theirs[g] + 0.5) / len(ordinary)}
-    if not marked:  # too few texts for that contrast
-        marked = {g for g in ours if not theirs[g]}
-    found = Counter[bytes]()
-    for t in toxic:
-        for w in t:
-            w = b" " + w + b" "
-            at = [i for i in range(len(w) - GRAM + 1) if w[i : i + GRAM] in marked]
-            if at:
-                found[w[at[0] : at[-1] + GRAM]] += 1
-    return found
-
-
-def ordinary_dictionary(samples: list[bytes]) -> bytes:
-    """A dictionary by the library's trainer; of samples that are too few to train on, their own bytes."""
+class Contrast:
+    """Grams of labelled texts: windows of bytes that lie in a word and the spaces around it, as hashes."""
+
+    def __init__(self, texts: list[list[bytes]], toxic: list[bool]) -> None:
+        parts = [b" " + b" ".join(w) + b" " for w in texts]
+        self.joined, self.toxic = b"".join(parts), np.array(toxic)
+        self.raw = np.frombuffer(self.joined, np.uint8)
+        self.text = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        spaces = np.flatnonzero(self.raw == 32)
+        # Where the next space after each byte lies, and the word of each byte (that of a space is the word behind it).
+        behind = np.searchsorted(spaces, np.arange(len(self.raw)), "right")
+        self.next_space = np.r_[spaces, len(self.raw)][behind]
+        self.word = behind
+
+    def windows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each size: the starts of the windows and their hashes."""
+        code = np.zeros(len(self.raw), np.uint64)
+        for size in range(1, max(GRAMS) + 1):
+            last = len(self.raw) - size + 1
+            code = code[:last] * np.uint64(0x9E3779B97F4A7C15) + self.raw[size - 1 :] + np.uint64(1)
+            if size in GRAMS:
+                at = np.flatnonzero(self.next_space[:last] >= np.arange(last) + size - 1)
+                yield size, at, code[at]
+
+    def stretches(self) -> list[list[bytes]]:
+        """For each toxic text: of each word with toxic grams, what lies from the first to the end of the last."""
+        n, others = int(self.toxic.sum()), int((~self.toxic).sum())
+        least = max(LEAST, SHARE * n)
+        start, end = np.full(self.word[-1] + 1, len(self.raw)), np.zeros(self.word[-1] + 1, np.int64)
+        for size, at, code in self.windows():
+            ours = self.toxic[self.text[at]]
+            names, times = np.unique(distinct(self.text[at[ours]], code[ours])[1], return_counts=True)
+            names, times = names[times >= least], times[times >= least]
+            if not len(names):
+                continue
+            place = np.minimum(np.searchsorted(names, code), len(names) - 1)
+            known = names[place] == code
+            theirs = np.bincount(distinct(self.text[at[known & ~ours]], place[known & ~ours])[1], minlength=len(names))
+            # A count of few texts may be chance: it is taken less its standard deviation.
+            marked = (times - times**0.5) / n >= CONTRAST * (theirs + 0.5) / others
+            hit = at[known & ours & marked[place]]
+            np.minimum.at(start, self.word[hit], hit)
+            np.maximum.at(end, self.word[hit], hit + size)
+        found: list[list[bytes]] = [[] for _ in self.toxic]
+        for w in np.flatnonzero(end).tolist():
+            found[self.text[start[w]]].append(self.joined[start[w] : end[w]])
+        return [f for f, y in zip(found, self.toxic, strict=True) if y]
+
+
+def distinct(text: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs."""
+    order = np.lexsort((name, text))
+    text, name = text[order], name[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (name[1:] != name[:-1])
+    return text[new], name[new]
+
+
+def trained(samples: list[bytes], size: int, segment: tuple[int, int]) -> bytes:
+    """A dictionary by the library's trainer; of samples that are too few to train on, their own bytes, the commonest last."""
     try:
-        return zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=segment[0], d=segment[1], f=20, accel=1).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-ORDINARY_BYTES:]
+        return b"".join(s for s, _ in sorted(Counter(samples).items(), key=lambda x: (x[1], x[0])))[-size:]
 
 
-def toxic_dictionary(segments: Counter[bytes]) -> bytes:
-    """The segments themselves, the commonest last, where they are cheapest to refer to; zero bytes keep matches within one.
-
-    The library's trainer isn't used here: of so little text it keeps only what recurs most, some 200 bytes.
-    """
-    return b"\0".join(s for s, _ in sorted(segments.items(), key=lambda x: (x[1], x[0])))
+def dictionaries(texts: list[list[bytes]], toxic: list[bool]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary; the toxic one has room for all its stretches twice."""
+    own_of = Contrast(texts, toxic).stretches()
+    found = [b"".join(own) for own in own_of if own]
+    size = sum(map(len, {s for own in own_of for s in own}))
+    ordinary = trained([w for t, y in zip(texts, toxic, strict=True) if not y for w in windows(t)], ORDINARY_BYTES, ORDINARY_SEGMENT)
+    return ordinary, trained(found, max(256, 2 * size), TOXIC_SEGMENT) if found else b""
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
-    # Large tables keep every position of the dictionary; matches under 6 bytes would be chance.
+    # Large tables keep every position of the dictionary; matches under 5 bytes would be chance.
     log = max(17, len(content).bit_length() + 1)  # all of the dictionary stays in reach
-    how = zstandard.ZstdCompressionParameters(window_log=log, hash_log=log, chain_log=log, search_log=6, min_match=6, target_length=1, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
+    how = zstandard.ZstdCompressionParameters(window_log=log, hash_log=log, chain_log=log, search_log=6, min_match=5, target_length=8, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
     if not content:
         return zstandard.ZstdCompressor(compression_params=how)
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -109,14 +144,41 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.model, self.pair = model, (compressor(model.ordinary), compressor(model.toxic + model.ordinary))
 
+    def margins(self, found: list[bytes]) -> np.ndarray:
+        plain, both = (np.array([len(x) for x in c.multi_compress_to_buffer(found, threads=1)], float) for c in self.pair)
+        return plain - both
+
     def features(self, texts: list[bytes]) -> np.ndarray:
-        own = [windows(words_of(t)) for t in texts]
-        starts = np.cumsum([0, *(len(w) for w in own[:-1])])
-        flat = [w for ws in own for w in ws]
-        plain, both = ([len(x) for x in c.multi_compress_to_buffer(flat, threads=1)] for c in self.pair)
-        margin = np.array(plain) - np.array(both)
-        strong = np.add.reduceat((margin >= STRONG).astype(np.int64), starts)
-        return np.stack([np.ones(len(texts)), np.maximum.reduceat(margin, starts), np.log1p(strong), np.log([len(w) for w in own])], 1)
+        """1, log of the windows, largest margin, log of the summed margins over 1, logs of the windows over each threshold, mean margin.
+
+        Texts are read a megabyte at a time, where windows begin anew.
+        """
+        n, total, over, top = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts)), np.full(len(texts), -np.inf)
+        strong = np.zeros((len(STRONG), len(texts)))
+        held: list[bytes] = []
+        of: list[int] = []
+
+        def flush() -> None:
+            m, at = self.margins(held), np.array(of)
+            np.add.at(n, at, 1)
+            np.add.at(total, at, m)
+            np.add.at(over, at, np.maximum(m - 1, 0))
+            np.maximum.at(top, at, m)
+            for own, least in zip(strong, STRONG, strict=True):
+                np.add.at(own, at, m >= least)
+            held.clear()
+            of.clear()
+
+        for i, t in enumerate(texts):
+            for p in pieces(t):
+                own = windows(words_of(p))
+                held += own
+                of += [i] * len(own)
+                if len(held) >= WINDOWS:
+                    flush()
+        if held:
+            flush()
+        return np.stack([np.ones(len(texts)), np.log(n), np.clip(top, -20, 20) / 5, np.log1p(over), *np.log1p(strong), np.clip(total / n, -3, 3)], 1)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         return logistic(self.features(texts) @ np.array(self.model.weights))
@@ -126,35 +188,32 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, steps: int = 50) -> np.ndarray:
-    """Logistic regression with a ridge around a threshold of STRONG; classes weigh alike."""
-    centre = np.array([-STRONG + 0.5, 1.0, 1.0, 0.0])
-    w = centre.copy()
+def calibrate(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, steps: int = 60) -> np.ndarray:
+    """Logistic regression with a ridge, classes alike in weight; the threshold is moved to where FLAGGED of the ordinary texts lie above."""
+    w = np.zeros(x.shape[1])
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     for _ in range(steps):
         p = logistic(x @ w)
-        slope = x.T @ (weight * (p - y)) + penalty * (w - centre)
-        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(centre))
+        slope = x.T @ (weight * (p - y)) + penalty * w
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w))
         step = np.linalg.solve(curve, slope)
         w = w - step * min(1, 2 / max(1e-9, np.abs(step).max()))
+    w[0] -= np.quantile(x[y == 0] @ w, 1 - FLAGGED) + 1e-6
     return w
 
 
 def train(sample: list[tuple[str, int]]) -> Model:
-    """Dictionaries from three fifths of the texts, calibration on the others; without texts of both classes all score near 0."""
-    texts = [(t.encode(errors="replace"), y) for t, y in sample]
-    by = {y: [t for t, own in texts if own == y] for y in (0, 1)}
+    """Dictionaries from KNOWN of the texts of each class, the curve from the others; without texts of both classes all score near 0."""
+    sample = list(dict.fromkeys(sample))  # copies would make any word of theirs look common
+    by = {own: [t.encode(errors="replace") for t, y in sample if y == own] for own in (0, 1)}
     if not by[0] or not by[1]:
-        return Model(b"", b"", (-30.0, 0.0, 0.0, 0.0))
-    known = {y: ts[: max(1, len(ts) * 3 // 5)] for y, ts in by.items()}
-    toxic, ordinary = ([words_of(t) for t in known[y]] for y in (1, 0))
-    segments = toxic_segments(toxic, ordinary)
-    plain = ordinary_dictionary([w for t in ordinary for w in windows(t)])
-    model = Model(plain, toxic_dictionary(segments), ())
-    rest = [(t, y) for y, ts in by.items() for t in (ts[len(known[y]) :] or ts)]
-    x = Scorer(model).features([t for t, _ in rest])
-    w = calibrate(x, np.array([y for _, y in rest]))
-    return Model(model.ordinary, model.toxic, tuple(map(float, w)))
+        return Model(b"", b"", (-30.0, *[0.0] * (4 + len(STRONG))))
+    ends = {own: max(1, int(len(ts) * KNOWN)) for own, ts in by.items()}
+    known = [(words_of(t), bool(own)) for own, ts in by.items() for t in ts[: ends[own]]]
+    rest = [(t, own) for own, ts in by.items() for t in (ts[ends[own] :] or ts)]
+    pair = dictionaries([w for w, _ in known], [y for _, y in known])
+    x = Scorer(Model(*pair, ())).features([t for t, _ in rest])
+    return Model(*pair, tuple(map(float, calibrate(x, np.array([y for _, y in rest])))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
@@ -162,18 +221,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
     return train(labelled_sample(docs, labels, "toxic", per_class, learn=fold(F.col("doc_id")) != 0))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add t_score (0 to 1) and t_predicted (1 if at least 0.5) from every window of each whole text.
+def score(docs: DataFrame, model: Model, text: str = "text", prefix: str = "t_") -> DataFrame:
+    """Add ``prefix``score (0 to 1) and ``prefix``predicted (1 if at least 0.5) from every window of each whole text.
 
-    Null and empty texts have one empty window, and so a low score. All columns are passed on; no other is looked at.
+    Null and empty texts have one empty window, and so a low score. All columns are passed on and no other is looked at, so any
+    may be null; if one has a name that is added, a ValueError says so, and another prefix helps. A score depends on the
+    text alone: repeated rows score alike, there are no ties to break, and an empty table gives no rows. Very long texts are
+    read a megabyte at a time.
     """
+    names = [f"{prefix}score", f"{prefix}predicted"]
+    must_be_free(names, docs.columns, "toxicity.score")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
             for part, texts in chunks(batch, text, 1_000_000):
                 found = scorer.score(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=[*part.schema.names, "t_score", "t_predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=[*part.schema.names, *names])
 
-    schema = docs.select("*", F.lit(0.0).alias("t_score"), F.lit(0).alias("t_predicted")).schema
+    schema = docs.select("*", F.lit(0.0).alias(names[0]), F.lit(0).alias(names[1])).schema
     return docs.mapInArrow(task, schema)

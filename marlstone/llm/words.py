@@ -88,6 +88,13 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
+def free_prefix(prefix: str, taken: list[str]) -> str:
+    """``prefix``, with as many underscores before it as it takes for none of the names ``taken`` to begin with it."""
+    while any(t.lower().startswith(prefix) for t in taken):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def must_be_free(names: list[str], taken: list[str], operator: str) -> None:
     """Raise if a column that an operator adds is there already: passing both on would make each ambiguous."""
     clash = sorted({n.lower() for n in names} & {t.lower() for t in taken})
@@ -95,14 +102,15 @@ def must_be_free(names: list[str], taken: list[str], operator: str) -> None:
         raise ValueError(f"{operator} adds the columns {', '.join(names)}; the input already has {', '.join(clash)}")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, learn: Column | None = None) -> list[tuple[str, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, learn: Column | None = None, most_bytes: int = 200_000) -> list[tuple[str, int]]:
     """(text, label) of up to ``per_class`` documents of each class 0 and 1, chosen by the hash of their id; learn: which rows of labels may be used.
 
-    The bound is on rows of each class; of repeated labels the greatest counts, of repeated documents the least text.
+    The bounds are on rows of each class and on the bytes of a text (longer ones don't train), so the driver gets at most
+    ``2 * per_class * most_bytes`` bytes; of repeated labels the greatest counts, of repeated documents the least text.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     known = (known if learn is None else known.filter(learn)).groupBy("doc_id").agg(F.max(label).alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.filter("label = 0").orderBy(*order).limit(per_class).unionByName(known.filter("label = 1").orderBy(*order).limit(per_class))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    rows = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
     return [(r["text"] or "", r["label"]) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
