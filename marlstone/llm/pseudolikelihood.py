@@ -3,10 +3,13 @@
 The vocabulary is counted over all documents: the commonest words have a slot of their own, all others share hashed slots,
 whose number grows as the root of the distinct words. Slots are cut into classes of near equal mass. The network maps the
 words on both sides of a token to a distribution over classes and to one over the slots of each class (a softmax of two
-levels); within a shared slot each word has its own share of the slot's count. The sum of log-probabilities of a document's tokens, each with all others given, is its pseudo-log-likelihood.
+levels); within a shared slot each word has its own share of the slot's count. The sum of log-probabilities of a document's
+tokens, each with all others given, is its pseudo-log-likelihood.
 
-Training is data-parallel: each task runs mini-batches over its own documents, starting from the common weights, and the
-weights are averaged by the number of tokens. Each token is a target in one of the rounds, which take turns.
+Training is data-parallel over shards of documents: a document's shard and its place in it follow from its words and id, so they
+don't depend on how the input is split. Each shard runs mini-batches from the common weights on; the changes of the weights
+are averaged by the number of tokens, summed as whole numbers, so that the order of arrival plays no part. Each token is a
+target in one of the rounds, which take turns.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +31,14 @@ from marlstone.llm.words import chunks
 from marlstone.plans.scratch import cut
 
 #: Slots of single words; the least number of shared slots and of classes; words on each side; sizes of the network.
-OWN, SHARED, CLASSES, SIDE, EMBED, HIDDEN = 3000, 1000, 64, 2, 16, 32
+OWN, SHARED, CLASSES, SIDE, EMBED, HIDDEN = 3000, 1000, 40, 2, 12, 16
 PAD = OWN + SHARED
-RATE, BATCH, ROUNDS = 0.15, 1024, 2
+RATE, BATCH, ROUNDS = 0.3, 2048, 2
+#: Tokens of a shard, about; parts of one in the whole numbers that changes are summed in.
+SHARD_TOKENS, UNIT = 500_000, 1 << 24
 #: Shared slots for each root of the distinct words.
 GROWTH = 8
-#: Words that a task counts before it sends them on; pieces in which weights are averaged.
+#: Words that a task counts before it sends them on; pieces in which changes of weights are summed.
 HELD_WORDS, PIECES = 200_000, 16
 #: Words without a slot of their own whose counts are sent to the tasks; those of all others are joined.
 SENT_WORDS = 200_000
@@ -135,7 +141,7 @@ def vocabulary(counts: DataFrame, held: int = SENT_WORDS) -> tuple[Vocabulary, D
         least = n_
     sent = {bytes(r["word"]): math.log(r["n"]) for r in rest.filter(F.col("n") >= least).select("word", "n").collect()}
     size = OWN + shared
-    n, classes = np.zeros(size), max(CLASSES, math.ceil(math.sqrt(size)))
+    n, classes = np.zeros(size), max(CLASSES, math.ceil(math.sqrt(size) / 2))
     n[: len(top)] = [r["n"] for r in top]
     for r in rest.groupBy((F.col("hash") % shared + OWN).alias("slot")).agg(F.sum("n").alias("n")).collect():
         n[r["slot"]] = r["n"]
@@ -216,7 +222,10 @@ class Network:
         self.out_bias -= scale * p.sum(axis=0)
         self.mix -= scale * (x.T @ dh)
         self.bias -= scale * dh.sum(axis=0)
-        np.add.at(self.embed, context.ravel(), -scale * dx * len(target) ** 0.5)
+        order = np.argsort(context, axis=None, kind="stable")
+        at = context.ravel()[order]
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        self.embed[at[starts]] -= scale * len(target) ** 0.5 * np.add.reduceat(dx[order], starts)
 
     def log_slots(self, v: Vocabulary, context: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """Log-probabilities of the slots: of the class, and of the slot within it."""
@@ -259,8 +268,9 @@ def sums(v: Vocabulary, net: Network, texts: list[np.ndarray], block: int = 32_7
     return np.bincount(np.repeat(np.arange(len(texts)), lengths), score, len(texts))
 
 
-def tokens(docs: DataFrame, v: Vocabulary, text: str = "text") -> DataFrame:
+def tokens(docs: DataFrame, v: Vocabulary, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(row, doc_id, slots, known, rare): the slots of all words of each row as 32-bit numbers, and what ``shares`` gives."""
+    kind = docs.schema[doc_id].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(v)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +286,8 @@ def tokens(docs: DataFrame, v: Vocabulary, text: str = "text") -> DataFrame:
                     rare.append(others)
                 yield pa.record_batch({"row": part.column("row"), "doc_id": part.column("doc_id"), "slots": pa.array([x.tobytes() for x in slots], pa.binary()), "known": pa.array(known, pa.float64()), "rare": pa.array(rare, pa.list_(pa.binary()))})
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col(text).alias("text")).mapInArrow(task, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, slots binary, known double, rare array<binary>")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(task, f"row long, doc_id {kind}, slots binary, known double, rare array<binary>")
 
 
 def slots_in(batch: pa.RecordBatch, most: int = 512) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -293,75 +304,106 @@ def targets(texts: list[np.ndarray], round_: int, rounds: int) -> np.ndarray:
     return np.flatnonzero((place + first) % rounds == round_)
 
 
-def train(rows: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Network:
-    """Local gradient descent in each task, averaged after each round; weights are summed in two steps in the shuffle."""
+def run(own: Network, v: Vocabulary, waiting: list[tuple[np.ndarray, np.ndarray]]) -> int:
+    """Mini-batches over contexts and slots, in an order that depends on their number alone; returns the tokens."""
+    if not waiting:
+        return 0
+    x, y = np.concatenate([c for c, _ in waiting]), np.concatenate([t for _, t in waiting])
+    order = np.random.default_rng(len(y)).permutation(len(y))
+    for i in range(0, len(y), BATCH):
+        slots = y[order[i : i + BATCH]]
+        own.learn(x[order[i : i + BATCH]], v.class_of[slots].astype(np.int64), RATE, v, slots)
+    return len(y)
+
+
+def shard_change(start: np.ndarray, v: Vocabulary, texts: Iterator[np.ndarray], round_: int, rounds: int) -> tuple[int, np.ndarray]:
+    """Tokens and change of the weights, times the tokens, that the texts of one shard give from the weights ``start`` on."""
+    own, seen, held, waiting, many = Network.of(start, v), 0, [], [], 0
+
+    def take() -> None:
+        nonlocal many
+        lengths = np.array([len(t) for t in held])
+        slots = np.concatenate(held)
+        line, at = padded(slots, np.cumsum(lengths) - lengths)
+        use = targets(held, round_, rounds)
+        if len(use):
+            waiting.append((contexts(line, at[use]), slots[use]))
+        held.clear()
+        many = 0
+
+    for t in texts:
+        held.append(t)
+        many += len(t)
+        if many >= 16 * BATCH * rounds:
+            take()
+            seen += run(own, v, waiting)
+            waiting.clear()
+    if held:
+        take()
+    seen += run(own, v, waiting)
+    return seen, (own.flat().astype(np.float64) - start) * seen
+
+
+def train(rows: DataFrame, v: Vocabulary, all_tokens: int, rounds: int = ROUNDS) -> Network:
+    """Local gradient descent in each shard, averaged after each round; a task sends one sum for all of its shards."""
     spark, net = rows.sparkSession, Network.start(v)
+    shards = max(1, math.ceil(all_tokens / SHARD_TOKENS))
+    mark = F.xxhash64("slots", "doc_id")
+    placed = rows.select(F.pmod(mark, F.lit(shards)).alias("shard"), F.xxhash64("slots", "doc_id", F.lit(1)).alias("mark"), "slots")
     for round_ in range(rounds):
         sent = spark.sparkContext.broadcast((net.flat(), v))
 
         def task(batches: Iterator[pa.RecordBatch], sent=sent, round_=round_) -> Iterator[pa.RecordBatch]:
             flat, v = sent.value
-            own, seen, waiting = Network.of(flat, v), 0, []
-            for batch in batches:
-                for _, texts in slots_in(batch):
-                    lengths = np.array([len(t) for t in texts])
-                    slots = np.concatenate(texts)
-                    line, at = padded(slots, np.cumsum(lengths) - lengths)
-                    use = targets(texts, round_, rounds)
-                    if len(use):
-                        waiting.append((contexts(line, at[use]), slots[use]))
-                    if sum(len(y) for _, y in waiting) >= 16 * BATCH:
-                        seen += run(own, v, waiting)
-                        waiting = []
-            seen += run(own, v, waiting)
+            total, seen = np.zeros(len(flat), np.int64), 0
+            lines = ((s, np.frombuffer(x, np.int32)) for b in batches for k in range(0, b.num_rows, 256) for s, x in zip(b.column("shard")[k : k + 256].to_pylist(), b.column("slots")[k : k + 256].to_pylist(), strict=True))
+            for _, own in groupby(lines, lambda line: line[0]):
+                n, change = shard_change(flat, v, (x for _, x in own), round_, rounds)
+                total += np.rint(np.clip(change, -1e9, 1e9) * UNIT / SHARD_TOKENS).astype(np.int64)
+                seen += n
             if seen:
-                pieces = np.array_split(own.flat(), PIECES)
-                key = int(own.flat().view(np.uint32)[:64].sum() % 32)
-                yield pa.record_batch({"piece": pa.array(range(PIECES), pa.int32()), "part": pa.array([key] * PIECES, pa.int32()), "n": pa.array([float(seen)] * PIECES), "w": pa.array([p.tobytes() for p in pieces], pa.binary())})
-
-        def run(own: Network, v: Vocabulary, waiting: list[tuple[np.ndarray, np.ndarray]]) -> int:
-            if not waiting:
-                return 0
-            x, y = np.concatenate([c for c, _ in waiting]), np.concatenate([t for _, t in waiting])
-            order = np.random.default_rng(len(y)).permutation(len(y))
-            for i in range(0, len(y), BATCH):
-                slots = y[order[i : i + BATCH]]
-                own.learn(x[order[i : i + BATCH]], v.class_of[slots].astype(np.int64), RATE, v, slots)
-            return len(y)
+                yield pa.record_batch({"piece": pa.array(range(PIECES), pa.int32()), "part": pa.array([seen % 32] * PIECES, pa.int32()), "n": pa.array([seen] * PIECES, pa.int64()), "w": pa.array([p.tobytes() for p in np.array_split(total, PIECES)], pa.binary())})
 
         def add(part: pa.Table) -> pa.Table:
-            n = part.column("n").to_pylist()
-            mean = sum(np.frombuffer(x.as_buffer(), np.float32) * (k / sum(n)) for x, k in zip(part.column("w"), n, strict=True))
-            return pa.table({"piece": part.column("piece")[:1], "n": pa.array([sum(n)]), "w": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+            whole = sum(np.frombuffer(x.as_buffer(), np.int64) for x in part.column("w"))
+            return pa.table({"piece": part.column("piece")[:1], "n": pa.array([sum(part.column("n").to_pylist())]), "w": pa.array([whole.tobytes()], pa.binary())})
 
-        schema = "piece int, n double, w binary"
-        sent_on = rows.select("slots").mapInArrow(task, "piece int, part int, n double, w binary")
-        half = sent_on.groupBy("piece", "part").applyInArrow(add, schema)
+        schema = "piece int, n long, w binary"
+        dealt = placed.repartition("shard").sortWithinPartitions("shard", "mark").select("shard", "slots")
+        half = dealt.mapInArrow(task, "piece int, part int, n long, w binary").groupBy("piece", "part").applyInArrow(add, schema)
         whole = sorted(half.groupBy("piece").applyInArrow(add, schema).collect(), key=lambda r: r["piece"])
+        sent.unpersist()
         if not whole:
             break
-        net = Network.of(np.concatenate([np.frombuffer(r["w"], np.float32) for r in whole]), v)
+        change = np.concatenate([np.frombuffer(r["w"], np.int64) for r in whole]) / UNIT * SHARD_TOKENS / whole[0]["n"]
+        net = Network.of((net.flat() + change).astype(np.float32), v)
     return net
 
 
-def score(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, held: int = SENT_WORDS) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, held: int = SENT_WORDS, doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, logprob (sum over all tokens of a text) and mean_logprob (null for texts without words).
 
     Counts, training and scores cover all rows. Null and empty texts have no tokens and logprob 0; null ids and repeated rows
-    are scored like others; an empty table gives no rows. Columns but doc_id and the text are not looked at.
+    are scored like others; an empty table gives no rows. Of words that are equally common the lesser bytes come first. A very
+    long text is scored whole, in blocks of words. Columns but the id and the text are not looked at, so they may have any
+    names. Scores don't depend on the order of the rows or on how they are split into tasks.
     """
-    v, others = vocabulary(cut(count_words(docs, text), "lm-counts"), held)
-    rows = cut(tokens(docs, v, text), "lm-tokens")
-    net = train(rows, v, rounds)
+    counts = cut(count_words(docs, text), "lm-counts")
+    all_tokens = counts.agg(F.sum("n")).first()[0] or 0
+    v, others = vocabulary(counts, held)
+    rows = cut(tokens(docs, v, text, doc_id), "lm-tokens")
+    net = train(rows, v, all_tokens, rounds)
     sent = docs.sparkSession.sparkContext.broadcast((v, net))
+    kind = docs.schema[doc_id].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, net = sent.value
         for batch in batches:
             for part, texts in slots_in(batch):
-                yield pa.record_batch({"row": part.column("row"), "doc_id": part.column("doc_id"), "n_tokens": pa.array([len(t) for t in texts], pa.int64()), "part": pa.array(sums(v, net, texts) + part.column("known").to_numpy())})
+                found = sums(v, net, texts) + part.column("known").to_numpy()
+                yield pa.record_batch({"row": part.column("row"), "doc_id": part.column("doc_id"), "n_tokens": pa.array([len(t) for t in texts], pa.int64()), "part": pa.array(found)})
 
-    scored = rows.select("row", "doc_id", "slots", "known").mapInArrow(task, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, part double")
-    rare = rows.select("row", F.explode("rare").alias("word")).join(others, "word").groupBy("row").agg(F.sum("log_n").alias("rare"))
+    scored = rows.select("row", "doc_id", "slots", "known").mapInArrow(task, f"row long, doc_id {kind}, n_tokens long, part double")
+    rare = rows.select("row", F.explode("rare").alias("word")).join(others, "word").groupBy("row").agg(F.sum(F.col("log_n").cast("decimal(30,12)")).cast("double").alias("rare"))
     total = F.col("part") + F.coalesce("rare", F.lit(0.0))
     return scored.join(rare, "row", "left").select("doc_id", "n_tokens", total.alias("logprob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_logprob"))
