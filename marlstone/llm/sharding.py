@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.llm.words import must_be_free
 from marlstone.plans.scratch import cut
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
@@ -65,18 +66,15 @@ def between(low: Key, high: Key, probes: int) -> list[Key]:
     return sorted({(low[0], low[1] + step * i // (probes + 1)) for i in range(1, probes + 1)} - {low, high})
 
 
-def splitters(rows: DataFrame, parts: int, total_rows: int, total_bytes: int, tolerance: float, span: tuple[int, int]) -> tuple[list[Key], list[int]]:
-    """Keys that cut ``rows`` into ``parts`` ranges of near equal bytes, and the rows below each.
+def splitters(rows: DataFrame, goals: list[int], total_rows: int, total_bytes: int, near: int, slack: int, span: tuple[int, int]) -> tuple[list[Key], list[tuple[int, int]]]:
+    """For each goal, a number of bytes, the key with about so many bytes below it; and the rows and bytes below each.
 
-    A boundary is settled when the bytes below a probe are within ``tolerance`` of a part's share, or no key lies between
-    the probes around it. A boundary inside a group of equal texts moves to that group's edge if that is within the
-    tolerance, as edges are probed first.
+    The edge of a group of equal texts that is nearest to the goal is taken if it is within ``slack`` of it. Else the goal lies
+    deep inside a group larger than that, which is cut at the key nearest to the goal, within ``near`` or at the next document.
     """
-    goals = [total_bytes * i // parts for i in range(1, parts)]
-    near = max(1, int(tolerance * total_bytes / parts))
     known: dict[Key, tuple[int, int]] = {(LOW, LOW): (0, 0), (HIGH, HIGH): (total_rows, total_bytes)}
     low, high = [(LOW, LOW)] * len(goals), [(HIGH, HIGH)] * len(goals)
-    best: list[Key | None] = [None] * len(goals)
+    best: list[Key] = [(LOW, LOW)] * len(goals)
     open_ = list(range(len(goals)))
     probes = max(2, min(PROBES, ALL_PROBES // max(1, len(goals))))
     while open_:
@@ -94,30 +92,55 @@ def splitters(rows: DataFrame, parts: int, total_rows: int, total_bytes: int, to
             known.update({k: (int(x), int(y)) for k, x, y in zip(keys, n, size, strict=True)})
         order = sorted(known)
         sizes = [known[k][1] for k in order]
+        edges = [k for k in order if k[1] == LOW or k == (HIGH, HIGH)]
+        edge_sizes = [known[k][1] for k in edges]
         still = []
         for i in open_:
+            off = lambda k, i=i: (abs(known[k][1] - goals[i]), k)
+            at = bisect.bisect_right(edge_sizes, goals[i])
+            left, right = edges[at - 1], edges[min(at, len(edges) - 1)]
+            edge = min((left, right), key=off)
+            if known[right][0] - known[left][0] <= 1 or off(edge)[0] <= near:
+                # No group lies between, or the edge is as near as anyone could wish.
+                best[i] = edge
+                continue
+            if right[0] - left[0] > 1:
+                if (left, right) == (low[i], high[i]):  # nothing between was left to ask
+                    best[i] = edge
+                    continue
+                low[i], high[i] = left, right
+                still.append(i)
+                continue
+            # One group lies between the two edges.
+            if off(edge)[0] <= slack:
+                best[i] = edge
+                continue
             at = bisect.bisect_right(sizes, goals[i])
             a, b = order[at - 1], order[min(at, len(order) - 1)]
-            best[i] = min((a, b), key=lambda k: (abs(known[k][1] - goals[i]), k))
-            done = abs(known[best[i]][1] - goals[i]) <= near or known[b][0] - known[a][0] <= 1 or (a, b) == (low[i], high[i])
+            best[i] = min((a, b), key=off)
+            done = off(best[i])[0] <= near or known[b][0] - known[a][0] <= 1 or (a, b) == (low[i], high[i])
             low[i], high[i] = a, b
             if not done:
                 still.append(i)
         open_ = still
-    found = sorted(b for b in best if b is not None)
-    return found, [known[k][0] for k in found]
+    found = sorted(best)
+    return found, [known[k] for k in found]
 
 
-def shard(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text", size: Column | None = None, tolerance: float = 0.002, keep: tuple[str, ...] = ()) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text", size: Column | None = None, tolerance: float = 0.002, slack: float = 0.05, keep: tuple[str, ...] = ()) -> DataFrame:
     """Deal all rows into ``shards`` ranges of near equal bytes of the key (64-bit hash of the text, id).
 
-    Equal texts are neighbours in that order, so they share a shard unless a boundary must cut their group to keep the
-    sizes near equal. Returns doc_id, size, text_crc32, law ('bytes'), shard, slot (from 0 in key order, without gaps in a
+    Equal texts are neighbours in that order. Boundaries lie at edges of their groups, moved by up to ``slack`` of a shard; so a
+    group of up to twice that size is never cut. A larger one may be, where no edge is that near to a boundary; there the
+    boundary comes within ``tolerance`` of its goal, or to the next document. Returns doc_id, size, text_crc32, law ('bytes'), shard, slot (from 0 in key order, without gaps in a
     shard), grown_shard (null) and the columns of ``keep``.
 
     Null text counts as no bytes (crc32 0) and null ids sort first. Rows alike in text and id have one key: they go to one
-    shard, in any order among themselves. An empty table gives no rows. Other columns are dropped unless in ``keep``.
+    shard, in any order among themselves. An empty table gives no rows. Other columns are dropped unless in ``keep``, and none may
+    have the name of a returned one (ValueError). Of a text only its hash and size are kept, so very long ones do no harm; a
+    shard is as uneven as its largest document.
     """
+    must_be_free(["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"], [c for c in keep if c != doc_id], "sharding.shard")
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 8 if size is None else size
     meta = cut(
@@ -133,9 +156,17 @@ def shard(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str =
     )
     n, total, first, last = meta.agg(F.count("*"), F.sum("size"), F.min("d"), F.max("d")).first()
     per_shard = max(1, -(-n // (shards * PIECE_ROWS)))
-    parts = shards * per_shard
-    keys, below = splitters(meta, parts, n, total, tolerance, (first, last)) if n else ([], [])
-    below = [0, *below, *[n] * (parts - 1 - len(below))]
+    share = (total or 0) / shards
+    near, most = max(1, int(tolerance * share)), int(slack * share)
+    keys, below = splitters(meta, [total * i // shards for i in range(1, shards)], n, total, near, most, (first, last)) if n else ([], [])
+    if n and per_shard > 1:  # pieces of a shard may cut any group
+        ends = [0, *(size for _, size in below), total]
+        goals = [a + (b - a) * j // per_shard for a, b in zip(ends[:-1], ends[1:], strict=True) for j in range(1, per_shard)]
+        inner, inner_below = splitters(meta, goals, n, total, near, 0, (first, last))
+        step = per_shard - 1
+        cut_at = lambda own, outer: [x for i in range(shards) for x in (*own[i * step : (i + 1) * step], *outer[i : i + 1])]
+        keys, below = cut_at(inner, keys), cut_at(inner_below, below)
+    below = [0, *(rows_ for rows_, _ in below), *[n] * (shards * per_shard - 1 - len(below))]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
