@@ -1,13 +1,23 @@
-"""URL filters: a blocked Bloom filter passes possible hits to an exact hash join; DataFrame functions only."""
+"""URL filters: a blocked Bloom filter passes possible hits to an exact hash join; DataFrame functions only.
+
+The filter has at most BLOCKS_MOST blocks of 64 bits, so it may be sent to every task, and a url's tries are tested where the
+url is read. Only what passes is shuffled to the exact join.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.words import must_be_free
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits of a block, bits set for a key, keys a block is meant for (false positives stay near 1 in 1,000).
 BLOCK_BITS, KEY_BITS, BLOCK_KEYS = 64, 4, 5
+#: Blocks at most (16 MB with their numbers). Beyond five times as many entries more tries pass, and the exact join removes them.
+BLOCKS_MOST = 1 << 20
+#: Places over which the rows of one url are spread in the last join.
+SALTS = 64
 
 
 def host_of(url: Column) -> Column:
@@ -46,27 +56,32 @@ def bloom(keys: DataFrame, key: str, blocks: int) -> DataFrame:
 
 
 def match(urls: DataFrame, listed: DataFrame) -> DataFrame:
-    """For each distinct (host, path) of ``urls``, the listed entry that fits it best.
+    """For each distinct (host, path) of ``urls`` that an entry fits: the best rule and its verdict, and the best listed entry.
 
-    ``listed``: rule (host and path in one string), r_host, r_path, verdict. An entry fits its host and all subdomains, for
-    paths that start with its own. The longest wins; of equally long ones, that with the longer host, then the greater in
-    code points.
+    ``listed``: kind ('rule' or 'list'), rule (host and path in one string), r_host, r_path, verdict. An entry fits its host and
+    all subdomains, for paths that start with its own; the path of a bare host counts as its root for kind 'list'. The longest
+    wins; of equally long ones, that with the longer host, then the greater in code points.
 
-    A (host, path) is tried as each suffix of its host with each prefix of its path that is as long as some entry's path.
-    The filter drops nearly all of those before the exact join, which removes the false positives. Lengths of paths come
-    from the list, so the number of tries for a url is bounded by its host's labels times the list's distinct lengths.
+    A url is tried as each suffix of its host with each prefix of its path that is as long as some entry's path. The filter
+    drops nearly all of those where they arise; the exact join removes its false positives. Lengths of paths come from the
+    list, so the number of tries for a url is bounded by its host's labels times the list's distinct lengths.
     """
     n, lengths = listed.agg(F.count("*"), F.array_sort(F.collect_set(F.length("r_path")))).first()
-    blocks = max(1, n // BLOCK_KEYS)
-    distinct = urls.select("host", "path").filter("host <> ''").distinct()
-    prefixes = F.transform(F.filter(F.array(*[F.lit(x) for x in lengths]).cast("array<int>"), lambda k: k <= F.length("path")), lambda k: F.substr(F.col("path"), F.lit(1), k))
-    tried = distinct.withColumn("s", F.explode(host_suffixes(F.col("host")))).withColumn("p", F.explode(prefixes)).select("host", "path", F.concat("s", "p").alias("try"), F.length("s").alias("s_len"))
-    filters = bloom(listed, "rule", blocks)
+    blocks = min(BLOCKS_MOST, max(1, n // BLOCK_KEYS))
+    root = F.when(F.col("path") == "", "/").otherwise(F.col("path"))
+    prefixes = F.transform(F.filter(F.array(*[F.lit(x) for x in lengths]).cast("array<int>"), lambda k: k <= F.length(root)), lambda k: F.substr(root, F.lit(1), k))
+    tried = urls.select("host", "path").filter("host <> ''").withColumn("s", F.explode(host_suffixes(F.col("host")))).withColumn("p", F.explode(prefixes))
+    tried = tried.select("host", "path", F.concat("s", "p").alias("try"), F.length("s").alias("s_len"))
+    # At most BLOCKS_MOST rows.
+    filters = F.broadcast(bloom(listed, "rule", blocks))
     possible = tried.join(filters, block(F.col("try"), blocks) == F.col("b_block")).filter(F.col("b_bits").bitwiseAND(mask(F.col("try"))) == mask(F.col("try")))
-    # Host and path are compared apart: a joined string alone could cut them elsewhere.
-    exact = possible.join(listed, (F.col("try") == F.col("rule")) & (F.col("s_len") == F.length("r_host")))
-    best = F.max(F.struct(F.length("rule").alias("length"), F.length("r_host").alias("host_length"), F.col("rule"), F.col("verdict"))).alias("best")
-    return exact.groupBy("host", "path").agg(best).select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
+    # Host and path are compared apart: a joined string alone could cut them elsewhere. Rules take paths as they stand.
+    own = (F.col("try") == F.col("rule")) & (F.col("s_len") == F.length("r_host")) & ((F.col("kind") == "list") | (F.col("path") != "") | (F.col("r_path") == ""))
+    exact = possible.select("host", "path", "try", "s_len").distinct().join(listed, own)
+    order = F.struct(F.length("rule").alias("length"), F.length("r_host").alias("host_length"), F.col("rule"), F.col("verdict"))
+    best = {kind: F.max(F.when(F.col("kind") == kind, order)) for kind in ("rule", "list")}
+    found = exact.groupBy("host", "path").agg(best["rule"].alias("r"), best["list"].alias("l"))
+    return found.select("host", "path", F.col("r.rule").alias("rule_rule"), F.col("r.verdict").alias("rule_verdict"), F.col("l.rule").alias("list_rule"), F.col("l.verdict").alias("list_verdict"))
 
 
 def entries(listed: DataFrame, rule: str = "rule", verdict: str = "verdict") -> DataFrame:
@@ -83,13 +98,14 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url
     exact join. Returns ``keep``, host, path, rule (null if no rule fits), listed (the entry that fits, or null), verdict.
 
     A null url, or one without ``://``, has an empty host and path and is allowed. Every row is judged, alike rows alike; an
-    empty table gives no rows; an empty list blocks nothing. Further columns of ``pages`` are dropped unless in ``keep``.
+    empty table gives no rows; an empty list blocks nothing. Further columns of ``pages`` are dropped unless in ``keep``; a kept
+    column that has the name of a returned one is a ValueError. Very long urls are tried whole.
     """
-    rows = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    must_be_free(["host", "path", "rule", "listed", "verdict"], list(keep), "urls.judge")
+    rows = pages.select(*[F.col(c) for c in keep], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     both = entries(rules).withColumn("kind", F.lit("rule")).unionByName(entries(listed.select("rule", F.lit("block").alias("verdict"))).withColumn("kind", F.lit("list")))
-    # The canonical path of a bare host is its root; rules take paths as they stand.
-    found = rows.withColumn("list_path", F.when((F.col("host") != "") & (F.col("path") == ""), "/").otherwise(F.col("path"))).withColumn("rule_path", F.col("path"))
-    for kind in ("rule", "list"):
-        hits = match(found.select("host", F.col(f"{kind}_path").alias("path")), both.filter(F.col("kind") == kind).drop("kind"))
-        found = found.join(hits.select("host", F.col("path").alias(f"{kind}_path"), F.col("rule").alias(f"{kind}_rule"), F.col("verdict").alias(f"{kind}_verdict")), ["host", f"{kind}_path"], "left")
+    # Rows of one url are dealt over places, so that a popular one, or the null ones, don't meet in one task.
+    place = F.pmod(F.xxhash64(*keep), F.lit(SALTS)) if keep else F.lit(0).cast("long")
+    hits = match(rows, both).withColumn("u_place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1 if keep else 0).cast("long"))))
+    found = rows.withColumn("u_place", place).join(hits, ["host", "path", "u_place"], "left")
     return found.select(*keep, "host", "path", F.col("rule_rule").alias("rule"), F.col("list_rule").alias("listed"), F.coalesce("rule_verdict", "list_verdict", F.lit("allow")).alias("verdict"))
