@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.words import chunks, fold
+from marlstone.llm.words import chunks, fold, must_be_free, pieces
 
 #: Bytes of a gram, slots of the filters (a power of 2), slots that a gram sets, grams learnt for each language.
 GRAM, SLOTS, HASHES, GRAMS = 4, 1 << 18, 3, 6000
@@ -118,18 +118,30 @@ def hits(texts: list[bytes], filters: Filters) -> tuple[np.ndarray, np.ndarray]:
     return n, np.maximum((found - n[:, None] * filters.false) / np.maximum(1 - filters.false, 1e-9), 0)
 
 
-def predict(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
-    """Add l_pred and l_score from every n-gram of each whole text.
+def summed(texts: list[bytes], filters: Filters) -> np.ndarray:
+    """The corrected hits of :func:`hits`, of texts that are read a megabyte at a time."""
+    cuts = [list(pieces(t)) for t in texts]
+    if all(len(c) == 1 for c in cuts):
+        return hits(texts, filters)[1]
+    return np.stack([sum(hits([p], filters)[1][0] for p in c) for c in cuts])
 
-    l_pred is the language with most corrected hits (ties: the first in code points); ``und`` if the text is null or has no
-    letter, or no language was learnt. l_score is that language's share of the corrected hits of all, 0 for ``und``; a text
-    with letters but without hits gets the first language and score 0. Other columns may be null and are passed on.
+
+def predict(docs: DataFrame, filters: Filters, text: str = "text", prefix: str = "l_") -> DataFrame:
+    """Add ``prefix``pred and ``prefix``score from every n-gram of each whole text.
+
+    pred is the language with most corrected hits (ties: the first in code points); ``und`` if the text is null or has no
+    letter, or no language was learnt. score is that language's share of the corrected hits of all, 0 for ``und``; a text
+    with letters but without hits gets the first language and score 0. Other columns may be null and are passed on; if one has
+    a name that is added, a ValueError says so, and another prefix helps. Repeated rows are judged alike, an empty table gives
+    no rows, and very long texts are read a megabyte at a time.
     """
+    added = [f"{prefix}pred", f"{prefix}score"]
+    must_be_free(added, docs.columns, "language.predict")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch, text, 1_000_000):
-                _, found = hits(texts, filters)
+                found = summed(texts, filters)
                 lettered = [any(map(str.isalpha, t.decode(errors="replace"))) for t in texts]
                 if filters.langs:
                     best = found.argmax(axis=1)
@@ -138,7 +150,7 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
                 else:
                     score, names = np.zeros(len(texts)), ["und"] * len(texts)
                 score = np.where([x != "und" for x in names], score, 0.0)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], names=[*part.schema.names, "l_pred", "l_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], names=[*part.schema.names, *added])
 
-    schema = docs.select("*", F.lit("").alias("l_pred"), F.lit(0.0).alias("l_score")).schema
+    schema = docs.select("*", F.lit("").alias(added[0]), F.lit(0.0).alias(added[1])).schema
     return docs.mapInArrow(task, schema)

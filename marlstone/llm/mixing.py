@@ -18,9 +18,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.words import n_words
+from marlstone.llm.words import must_be_free, n_words
 from marlstone.plans.scratch import cut
 
+#: Columns that are added or used inside, after ``m_``.
+OWN = ("size", "source_size", "target", "rate", "copies", "skey", "hash", "band", "salt", "tilt", "u", "c", "before", "start")
 #: Units of a rate of 1, starting points of the rounding, salts of a band at least.
 ONE, STARTS, SALTS = 1 << 20, 32, 16
 #: Rows of a chunk at most, about, if one size in one source holds all: with more rows there are more salts.
@@ -68,14 +70,22 @@ def solve(hist: DataFrame, goals: DataFrame, most: int, rounds: int, tolerance:
         over = F.col("g") > F.col("target")
         moved = open_.join(got, "skey", "left").withColumn("high", F.when(over, F.col("tilt")).otherwise(F.col("high"))).withColumn("low", F.when(~over, F.col("tilt")).otherwise(F.col("low")))
         step = F.col("tilt") - F.col("g") / F.col("h") * F.log(F.col("g") / F.col("target"))
-        middle = F.when((F.col("low") > 0) & (F.col("high") > 0), F.sqrt(F.col("low") * F.col("high"))).when(F.col("low") == 0, F.col("high") / 64).when(F.col("low") < -1e299, F.least(F.lit(-1e-6), F.col("high") * 4)).when(F.col("high") < 0, -F.sqrt(F.col("low") * F.col("high"))).otherwise((F.col("low") + F.col("high")) / 2)
+        middle = (
+            F.when((F.col("low") > 0) & (F.col("high") > 0), F.sqrt(F.col("low") * F.col("high")))
+            .when(F.col("low") == 0, F.col("high") / 64)
+            .when(F.col("low") < -1e299, F.least(F.lit(-1e-6), F.col("high") * 4))
+            .when(F.col("high") < 0, -F.sqrt(F.col("low") * F.col("high")))
+            .otherwise((F.col("low") + F.col("high")) / 2)
+        )
+        # Where the bracket has shrunk to nothing, no tilt comes nearer.
+        tight = (F.col("low") > -1e299) & (F.col("high") - F.col("low") <= F.lit(1e-15) * F.greatest(F.abs("low"), F.abs("high")))
         inside = F.coalesce((step > F.col("low")) & (step < F.col("high")), F.lit(False))
-        done = F.coalesce(F.abs(F.col("g") - F.col("target")) <= F.lit(tolerance) * F.col("target"), F.lit(True))
+        done = F.coalesce(F.abs(F.col("g") - F.col("target")) <= F.lit(tolerance) * F.col("target"), F.lit(True)) | tight
         moved = moved.withColumn("done", done).withColumn("tilt", F.when(done, F.col("tilt")).when(inside, step).otherwise(middle)).select(state.columns)
         state = cut(state.filter("done").unionByName(moved), "mix-state")
         if state.filter(~F.col("done")).isEmpty():
-            break
-    return state.select("skey", "tilt")
+            return state.select("skey", "tilt")
+    raise RuntimeError(f"the tilts of {state.filter(~F.col('done')).count()} sources haven't converged after {rounds} rounds")
 
 
 def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", weights: tuple[float, ...] = (1, 2, 3), most: int = 3, rounds: int = 60, tolerance: float = 1e-7, sizes: Column | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -90,11 +100,15 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
     """
     size = n_words(F.col(text)) if sizes is None else sizes
     keep = tuple(docs.columns) if keep is None else keep
+    must_be_free([f"m_{c}" for c in OWN], list(keep), "mixing.mix")
     skey = F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source)))
     rows = docs.select(*keep, skey.alias("m_skey"), size.alias("m_size"), F.xxhash64(F.col(doc_id), F.col(text)).alias("m_hash"))
-    slim = cut(rows.select("m_skey", "m_size", "m_hash"), "mix-sizes")
-    salts = SALTS
-    while salts * SALT_ROWS < slim.count():
+    if text in keep:
+        slim = cut(rows.select("m_skey", "m_size", "m_hash"), "mix-sizes")
+    else:  # without the text, rows are short enough to be written, and texts are read once
+        rows = slim = cut(rows, "mix-sizes")
+    salts, n_rows = SALTS, slim.count()
+    while salts * SALT_ROWS < n_rows:
         salts *= 4
     band = F.floor(F.log2(F.greatest(F.col("m_size"), F.lit(1))) * 8).cast("int").alias("m_band")
     salt = F.pmod(F.col("m_hash"), F.lit(salts)).cast("int").alias("m_salt")
@@ -135,6 +149,9 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
 
 
 def mixed(docs: DataFrame, **how: object) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as :func:`mix` takes it, with the columns of ``docs``."""
+    """The mix itself: each row of ``docs`` as often as :func:`mix` takes it, with the columns of ``docs``, whatever their names."""
+    names = {c: f"k{i}_{c}" for i, c in enumerate(docs.columns)}  # no name of the input meets one that is used inside
+    how = {"source": "source", "text": "text", "doc_id": "doc_id", **how}
+    found = mix(docs.withColumnsRenamed(names), **{k: names.get(v, v) if k in ("source", "text", "doc_id") else v for k, v in how.items()})
     copies = F.explode(F.array_repeat(F.lit(1), F.col("m_copies")))
-    return mix(docs, **how).filter("m_copies > 0").withColumn("m_copy", copies).select(docs.columns)
+    return found.filter("m_copies > 0").withColumn("m_copy", copies).select([F.col(names[c]).alias(c) for c in docs.columns])

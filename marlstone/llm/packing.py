@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.words import n_words
+from marlstone.llm.words import must_be_free, n_words
 from marlstone.plans.scratch import cut
 
 #: Permitted lengths of a sequence, in tokens.
 CAPACITIES = (512, 1024, 2048, 4096)
+#: Columns that are added or used inside, after ``p_``.
+OWN = ("piece", "start", "tokens", "bin", "capacity", "offset", "size", "hash", "bucket", "before", "within", "rank")
 #: Ranks are counted in buckets of items, of about this many.
 BUCKET_ROWS = 500_000
 
@@ -123,11 +125,13 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, quadratic: f
     ``tokens`` is the number of tokens of a row (words by default). A row longer than the largest length is cut into pieces
     of that length and a rest, so nothing is dropped. Adds to ``keep``: p_piece and p_start (of the row's tokens), p_tokens,
     p_bin, p_capacity, p_offset (in the bin). Rows without tokens give one line with p_tokens 0 and nulls for the bin.
-    Null ids and texts are allowed, alike rows are packed each on their own, an empty table gives no rows, and columns of
-    ``docs`` may have any names that don't begin with ``p_``.
+    Null ids and texts are allowed, alike rows are packed each on their own, items of one length are ordered by a hash of id and
+    text, and an empty table gives no rows. A kept column that has the name of one that is added or used inside (p_...) is a
+    ValueError. Texts are only counted, so very long ones are taken whole.
 
     The driver gets the histogram (at most ``capacities[-1]`` lines) and sends the segments, whose number is bounded by it.
     """
+    must_be_free([f"p_{c}" for c in OWN], list(keep), "packing.pack")
     spark, most = docs.sparkSession, capacities[-1]
     size = n_words(F.col(text)) if tokens is None else tokens
     rows = docs.select(*keep, size.alias("p_size"), F.xxhash64(F.col(doc_id), F.col(text)).alias("p_hash"))

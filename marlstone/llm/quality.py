@@ -11,11 +11,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.words import chunks, labelled_sample
+from marlstone.llm.words import chunks, labelled_sample, must_be_free, pieces
 
 SPACE, LATER, SYMBOL, UPPER, LETTER, DIGIT, BANG, BAR = (1 << i for i in range(8))
 KIND = np.zeros(256, np.uint8)
-for chars, flag in ((b" \t\n\r\x0b\x0c", SPACE), (bytes(range(0x80, 0xC0)), LATER), (b"#*$%&|<>", SYMBOL), (bytes(range(65, 91)), UPPER), (bytes([*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]), LETTER), (b"0123456789", DIGIT), (b"!?", BANG), (b"|", BAR)):
+for chars, flag in (
+    (b" \t\n\r\x0b\x0c", SPACE),
+    (bytes(range(0x80, 0xC0)), LATER),
+    (b"#*$%&|<>", SYMBOL),
+    (bytes(range(65, 91)), UPPER),
+    (bytes([*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]), LETTER),
+    (b"0123456789", DIGIT),
+    (b"!?", BANG),
+    (b"|", BAR),
+):
     KIND[list(chars)] |= flag
 
 #: What is known of a line, each from 0 to 1.
@@ -76,20 +85,29 @@ def measure(texts: list[bytes]) -> Measured:
     line_start, line_end = np.r_[0, breaks + 1], np.r_[breaks, len(raw)]
     line_text = np.searchsorted(text_start, line_start, "right") - 1
 
-    def sums(of: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(raw) + 1, np.int32)
-        np.cumsum(of, dtype=np.int32, out=total[1:])
-        return total
+    # One kind at a time, so that a very long text needs few bytes for each of its own.
+    def by_line(of: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(np.append(of, False), line_start, dtype=np.int64)
 
-    black = (kind & SPACE) == 0
+    def has(flag: int) -> np.ndarray:
+        return (kind & flag) > 0
+
+    black = ~has(SPACE)
     first = black.copy()
     first[1:] &= ~black[:-1]
-    by = {"words": sums(first), "chars": sums(black & ((kind & LATER) == 0)), "symbols": sums((kind & SYMBOL) > 0), "upper": sums((kind & UPPER) > 0), "letters": sums((kind & LETTER) > 0), "digits": sums((kind & DIGIT) > 0), "bangs": sums((kind & BANG) > 0), "bars": sums((kind & BAR) > 0)}
-    per_text = {k: (v[text_start + sizes] - v[text_start]).astype(np.int64) for k, v in by.items()}
-    line = {k: (v[line_end] - v[line_start]).astype(np.float64) for k, v in by.items()}
+    whole = {"words": by_line(first)}
+    del first
+    whole["chars"] = by_line(black & ~has(LATER))
+    del black
+    for name, flag in (("symbols", SYMBOL), ("upper", UPPER), ("letters", LETTER), ("digits", DIGIT), ("bangs", BANG), ("bars", BAR)):
+        whole[name] = by_line(has(flag))
+    per_text = {k: np.bincount(line_text, v, len(texts)).astype(np.int64) for k, v in whole.items()}
+    line = {k: v.astype(np.float64) for k, v in whole.items()}
 
     seen: dict[bytes, int] = {}
-    words = np.fromiter(map(seen.setdefault, joined.split(), count()), np.int64)
+    numbers = count()
+    words = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(seen.setdefault, p.split(), numbers), np.int64) for p in pieces(joined))])
+    del seen
     word_text = np.repeat(np.arange(len(texts)), per_text["words"])
     word_line = np.repeat(np.arange(len(line_start)), line["words"].astype(np.int64))
     same = np.flatnonzero((words[1:] == words[:-1]) & (word_line[1:] == word_line[:-1]))
@@ -243,13 +261,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> Field:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def judge(docs: DataFrame, field: Field, text: str = "text", share: float = 0.5, fewest: int = 50, most_repeated: int = 50) -> DataFrame:
-    """Add q_n_words, q_word_chars, q_n_symbols, q_n_dup_lines, q_n_repeat_words, q_content_share, q_base_failed, q_kept.
+def judge(docs: DataFrame, field: Field, text: str = "text", share: float = 0.5, fewest: int = 50, most_repeated: int = 50, prefix: str = "q_") -> DataFrame:
+    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, content_share, base_failed and kept, each with ``prefix``.
 
     base_failed: under ``fewest`` words, or over ``most_repeated`` percent of them in repeated windows of three. Kept are
     the others whose content share is at least ``share``. Null and empty texts have no words and fail; any other column may
-    be null, and all columns of ``docs`` are passed on, whatever their names (but q_...). Repeated rows are judged alike.
+    be null, and all columns of ``docs`` are passed on; if one has a name that is added, a ValueError says so, and another
+    prefix helps. Repeated rows are judged alike, of equally good sequences of labels the one with more content at the end is
+    taken, and an empty table gives no rows. A very long text is taken whole, at about 30 bytes for each of its own.
     """
+    added = [f"{prefix}{k}" for k in (*COUNTS, "content_share", "base_failed", "kept")]
+    must_be_free(added, docs.columns, "quality.judge")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +281,8 @@ def judge(docs: DataFrame, field: Field, text: str = "text", share: float = 0.5,
                 c = m.counts
                 failed = (c["n_words"] < fewest) | (100 * c["n_repeat_words"] > most_repeated * c["n_words"])
                 new = [*(pa.array(c[k].astype(np.int64)) for k in COUNTS), pa.array(found), pa.array(failed), pa.array(~failed & (found >= share))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *(f"q_{k}" for k in COUNTS), "q_content_share", "q_base_failed", "q_kept"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *added])
 
-    schema = docs.select("*", *[F.lit(0).cast("long").alias(f"q_{k}") for k in COUNTS], F.lit(0.0).alias("q_content_share"), F.lit(True).alias("q_base_failed"), F.lit(True).alias("q_kept")).schema
+    kinds = [F.lit(0).cast("long")] * len(COUNTS) + [F.lit(0.0), F.lit(True), F.lit(True)]
+    schema = docs.select("*", *[k.alias(n) for k, n in zip(kinds, added, strict=True)]).schema
     return docs.mapInArrow(task, schema)

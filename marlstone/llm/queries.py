@@ -17,16 +17,19 @@ from marlstone.sources.tables import table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 512 to 4,096 words: piece, start, tokens, bin, capacity, offset. Odd rows as in :func:`pack`."""
     got = pack(table(spark, sf_dir, "documents"))
     return got.select("doc_id", *[F.col(f"p_{c}").alias(c) for c in ("piece", "start", "tokens", "bin", "capacity", "offset")])
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document; sources weigh 1, 2, 3 by turns. Odd rows as in :func:`mix`."""
     got = mix(table(spark, sf_dir, "documents"), keep=("doc_id",))
     return got.select("doc_id", F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), (F.col("m_size") * F.col("m_copies")).alias("taken"), F.col("m_copies").alias("copies"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of each whole text, learnt from labels of rows that aren't held out. Odd rows as in :func:`toxicity.score`."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     got = toxicity.score(docs.select("doc_id", "text"), model)
@@ -34,6 +37,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of each whole text. Odd rows as in :func:`quality.judge`."""
     docs = table(spark, sf_dir, "documents")
     field = quality.fit(docs, table(spark, sf_dir, "labels"))
     got = quality.judge(docs.select("doc_id", "text"), field)
@@ -49,30 +53,36 @@ LIST_ROWS = ", ".join(f"('{u}')" for u in URL_LIST)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on each page's url by the five rules, else by the listed sites. Odd rows as in :func:`urls.judge`."""
     rules = spark.sql(f"SELECT * FROM VALUES {RULE_ROWS} AS t(rule, verdict)")
     listed = spark.sql(f"SELECT * FROM VALUES {LIST_ROWS} AS t(rule)")
     return urls.judge(table(spark, sf_dir, "pages"), rules, listed)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "rep_id", "n_links")
+    """Class, representative and closest listed link of each document. Odd rows as in :func:`neardup.join`."""
+    return neardup.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "rep_id", "n_links", "link_id", "similarity")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each whole text, learnt from rows that aren't held out. Odd rows as in :func:`language.predict`."""
     docs = table(spark, sf_dir, "documents")
     got = language.predict(docs.select("doc_id", "text"), language.train(docs))
     return got.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("l_pred").alias("lang_pred"), F.col("l_score").alias("score"))
 
 
 def op8_pseudolikelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-log-likelihood of each document under a model of all. Odd rows as in :func:`pseudolikelihood.score`."""
     return pseudolikelihood.score(table(spark, sf_dir, "documents"))
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best partners of every hundredth vector among all others. Odd rows as in :func:`search`."""
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document, 24 shards of near equal bytes. Odd rows as in :func:`shard`."""
     return shard(table(spark, sf_dir, "documents"), shards=24)
 
 
@@ -117,14 +127,14 @@ ORACLES: dict[str, str] = {
         LEFT JOIN by_list ON p.host = by_list.host AND p.path = by_list.path""",
     "op9_exact_topk": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+            SELECT vec_id, row_number() OVER () AS place, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
             FROM embeddings
             WHERE vec_id IS NOT NULL AND len(embedding) > 0
               AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
         pairs AS (
-            SELECT q.vec_id AS query_id, c.vec_id,
+            SELECT q.vec_id AS query_id, q.place, c.vec_id,
                 CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM pairs)
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.place <> c.place AND len(q.x) = len(c.x)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS n FROM pairs)
         SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 10""",
 }

@@ -80,14 +80,14 @@ def test_field_learns_junk(spark):
 
 
 def test_toxicity_held_out(spark):
-    """English toxic words are words of their own; the others of these tables are made of ordinary syllables, and mostly missed."""
+    """With the query's parameters, over documents of all languages that weren't learnt from."""
     d, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
-    model = toxicity.fit(d, labels, 600)
+    model = toxicity.fit(d, labels)
     known = labels.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0")
     got = toxicity.score(d.join(known, "doc_id").select("doc_id", "text", "toxic", "lang"), model).collect()
-    rate = lambda toxic, langs: np.mean([r["t_predicted"] for r in got if r["toxic"] == toxic and r["lang"] in langs])
-    assert rate(1, ("en",)) > 0.75
-    assert rate(0, ("en", "de", "fr", "es")) < 0.02
+    rate = lambda toxic: np.mean([r["t_predicted"] for r in got if r["toxic"] == toxic])
+    assert rate(1) > 0.6
+    assert rate(0) < 0.03
 
 
 def test_toxicity_odd_rows(spark, docs, rows, nothing):
@@ -222,14 +222,85 @@ def test_every_token_is_a_target():
     assert sorted(got.tolist()) == list(range(110))
 
 
-def test_toxic_training_has_no_prefix(monkeypatch):
-    """All windows reach the ordinary dictionary, and all segments stay in the toxic one."""
+def test_all_windows_train_the_dictionaries(monkeypatch):
+    """No window of the texts that train is left out, nor any toxic stretch."""
     seen = []
-    monkeypatch.setattr(toxicity, "ordinary_dictionary", lambda samples: seen.append(len(samples)) or b"")
-    toxicity.train([("a " * 8 * 60_000, 0), ("bad text", 1)])
-    assert seen == [60_000]
-    segments = Counter({f" {zlib.crc32(b'%d' % i):08x}{zlib.crc32(b'x%d' % i):08x} ".encode(): i + 1 for i in range(20_000)})
-    held = toxicity.toxic_dictionary(segments)
-    assert set(held.split(b"\0")) == set(segments)
-    plain, both = (len(toxicity.compressor(c).compress(min(segments, key=segments.get))) for c in (b"", held))
-    assert both < plain
+    monkeypatch.setattr(toxicity, "trained", lambda samples, size, segment: seen.append((segment, samples)) or b"")
+    bad = [f"bad{i:02d}word and {i} more" for i in range(40)]
+    plain = [("a " * toxicity.WINDOW * 60_000, 0), *((f"plain {i}", 0) for i in range(59))]
+    toxicity.train([*plain, *((f"{b} badword0 {i}", 1) for i, b in enumerate(bad))])
+    held = dict(seen)
+    assert len(held[toxicity.ORDINARY_SEGMENT]) == 60_000 + int(60 * toxicity.KNOWN) - 1
+    assert all(b" badword0 " in s for s in held[toxicity.TOXIC_SEGMENT]) and len(held[toxicity.TOXIC_SEGMENT]) == int(40 * toxicity.KNOWN)
+
+
+def test_marked_stretches_by_brute_force():
+    draw = np.random.default_rng(6)
+    letters = "abcde"
+    word = lambda: "".join(letters[i] for i in draw.integers(0, 5, draw.integers(1, 9)))
+    plain = [[word().encode() for _ in range(30)] for _ in range(60)]
+    toxic = [[word().encode() for _ in range(20)] + [b"vilenasty", b"slurry"] for _ in range(25)]
+    grams = lambda t: {x[i : i + n] for w in t for x in [b" " + w + b" "] for n in toxicity.GRAMS for i in range(len(x) - n + 1)}
+    ours, theirs = Counter(g for t in toxic for g in grams(t)), Counter(g for t in plain for g in grams(t))
+    marked = {g for g, n in ours.items() if n >= toxicity.LEAST and (n - n**0.5) / 25 >= toxicity.CONTRAST * (theirs[g] + 0.5) / 60}
+    want = []
+    for t in toxic:
+        want.append([])
+        for w in t:
+            x = b" " + w + b" "
+            at = [(i, i + n) for n in toxicity.GRAMS for i in range(len(x) - n + 1) if x[i : i + n] in marked]
+            if at:
+                want[-1].append(x[min(a for a, _ in at) : max(b for _, b in at)])
+    assert toxicity.Contrast([*toxic, *plain], [True] * 25 + [False] * 60).stretches() == want and want[0]
+
+
+def test_language_against_sets(spark):
+    """Corrected hits of the filters against exact sets of grams: the same language, and nearly the same counts."""
+    d = table(spark, DIR, "documents")
+    f = language.train(d)
+    texts = [(r["text"] or "").encode() for r in d.select("text").limit(200).collect()]
+    n, found = language.hits(texts, f)
+    sets = {}
+    for at, lang in enumerate(f.langs):
+        code, _ = language.gram_codes(texts)
+        held = np.ones(len(code), bool)
+        for i in range(language.HASHES):
+            held &= (f.masks[language.slots_of(code, i), at // 64] >> np.uint64(at % 64) & np.uint64(1)).astype(bool)
+        sets[lang] = set(code[held].tolist())
+    for i, t in enumerate(texts):
+        code, _ = language.gram_codes([t])
+        for at, lang in enumerate(f.langs):
+            raw = sum(c in sets[lang] for c in code.tolist())
+            assert found[i, at] == pytest.approx(max(0, (raw - n[i] * f.false[at]) / (1 - f.false[at])))
+
+
+def test_scores_do_not_depend_on_the_split(spark):
+    d = table(spark, DIR, "documents").select("doc_id", "text")
+    got = [{r["doc_id"]: r["logprob"] for r in pseudolikelihood.score(d.repartition(n)).collect()} for n in (1, 7)]
+    assert got[0].keys() == got[1].keys() and all(got[0][k] == pytest.approx(got[1][k], rel=1e-6) for k in got[0])
+    plain = {r["doc_id"]: r["logprob"] for r in pseudolikelihood.score(d, rounds=0).collect()}
+    words = sum(r["n"] for r in d.select(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n")).collect() if r["n"])
+    assert sum(got[0].values()) - sum(plain.values()) > 0.3 * words  # gain over the untrained network, nats a word
+
+
+def test_added_names_that_clash(docs):
+    for operator, column in ((lambda d: quality.judge(d, quality.START), "q_kept"), (lambda d: toxicity.score(d, toxicity.train([])), "T_score"), (lambda d: language.predict(d, language.build([], {})), "l_pred")):
+        with pytest.raises(ValueError, match=column.lower()):
+            operator(docs.withColumnRenamed("lang", column))
+    got = quality.judge(docs.withColumnRenamed("lang", "q_kept"), quality.START, prefix="mine_")
+    assert got.count() == docs.count() and "mine_kept" in got.columns
+
+
+def test_very_long_text(spark):
+    """A text of 20 MB goes through whole: counts, languages, shingles and scores are those of its parts."""
+    long = "the quick brown fox jumps over a lazy dog again.\n" * 400_000
+    assert len(quality.measure([long.encode()]).counts["n_words"]) == 1
+    m = quality.measure([long.encode(), b"x y"])
+    assert m.counts["n_words"].tolist() == [4_000_000, 2] and m.counts["n_dup_lines"].tolist() == [399_999, 0]
+    f = language.build(["en"], {"en": np.unique(language.gram_codes([long[:1000].encode()])[0])})
+    assert language.summed([long.encode(), b""], f)[0, 0] > 15_000_000
+    from marlstone.llm.words import word_hashes
+
+    hashes, lengths = word_hashes([long.encode(), b"one", b""])
+    assert lengths.tolist() == [4_000_000, 1, 0] and len(set(hashes.tolist())) == 11
+    assert toxicity.Scorer(toxicity.train([("mild words here", 0), ("vile words there", 1)])).score([long.encode(), b""]).shape == (2,)

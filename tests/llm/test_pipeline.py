@@ -45,3 +45,14 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = cut(stage(spark, docs, DIR))
         assert docs.count() == 0
+
+
+def test_odd_rows_and_names(spark, docs):
+    """Nulls in every column, empty and long texts, repeated rows and names that operators use inside go through every stage."""
+    odd = docs.withColumnsRenamed({"lang": "q_kept", "n_chars": "t_predicted", "target": "m_copies", "tilt": "p_bin"})
+    for at, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        after = cut(stage(spark, odd, DIR))
+        if at < 4:
+            assert after.columns == odd.columns
+            assert after.select("doc_id", "text").exceptAll(odd.select("doc_id", "text") if at < 3 else odd.unionByName(odd).unionByName(odd).select("doc_id", "text")).count() == 0
+        assert after.count() > 0

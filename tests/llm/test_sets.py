@@ -149,6 +149,45 @@ def test_shard_nothing(nothing):
     assert sharding.shard(nothing).count() == 0
 
 
+@pytest.mark.parametrize("piece_rows", [200_000, 40])
+def test_groups_stay_whole(spark, monkeypatch, piece_rows):
+    """Many groups of copies: against a plain sort, boundaries lie at the nearest edge of a group within the slack."""
+    monkeypatch.setattr(sharding, "PIECE_ROWS", piece_rows)
+    draw = random.Random(2)
+    rows, i = [], 0
+    for group in range(400):
+        text = " ".join(words(draw.randint(1, 30), group))
+        for _ in range(draw.choice((1, 1, 1, 2, 5))):
+            rows.append((i, text))
+            i += 1
+    rows += [(i + k, "a large group of copies " * 4) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    got = sharding.shard(docs, shards=8, keep=("h",)).collect()
+    order = sorted(got, key=lambda r: (r["h"], r["doc_id"]))
+    assert [(r["shard"], r["slot"]) for r in order] == sorted((r["shard"], r["slot"]) for r in got)
+    total = sum(r["size"] for r in got)
+    below, at, edges = {}, 0, [0]
+    for r, after in zip(order, [*order[1:], None], strict=True):
+        at += r["size"]
+        below[r["shard"]] = at
+        if after is None or after["h"] != r["h"]:
+            edges.append(at)
+    for shard in range(7):
+        goal, end = total * (shard + 1) // 8, below[shard]
+        nearest = min(abs(e - goal) for e in edges)
+        if nearest <= int(0.05 * total / 8):
+            assert end in edges and abs(end - goal) <= max(nearest, 0.002 * total / 8)
+        else:
+            assert abs(end - goal) <= max(r["size"] for r in got)
+    where = defaultdict(set)
+    for r in got:
+        where[r["h"]].add(r["shard"])
+    sizes = Counter()
+    for r in got:
+        sizes[r["h"]] += r["size"]
+    assert all(len(s) == 1 for h, s in where.items() if sizes[h] <= 0.1 * total / 8)
+
+
 @given(st.lists(st.tuples(st.integers(-3, 3), st.integers(-3, 3)), min_size=1, max_size=12), st.lists(st.tuples(st.integers(-4, 4), st.integers(-4, 4)), min_size=1, max_size=20))
 @settings(max_examples=100, deadline=None)
 def test_slots(keys, rows_):
@@ -286,21 +325,58 @@ def test_urls(spark):
     assert urls.judge(pages, rules.limit(0), listed.limit(0)).filter("verdict <> 'allow'").count() == 0
 
 
+def test_a_million_entries(spark):
+    """The filter keeps its size, every listed url is blocked and no other is."""
+    listed = spark.range(1_000_000).select(F.concat(F.lit("site"), F.col("id"), F.lit(".example.org/")).alias("rule"))
+    pages = spark.range(0, 2_000_000, 997).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.site"), F.col("id"), F.lit(".example.org/x")).alias("url"))
+    rules = spark.createDataFrame([], "rule string, verdict string")
+    got = urls.judge(pages, rules, listed).groupBy("verdict", (F.col("page_id") < 1_000_000).alias("known")).count().collect()
+    assert {(r["verdict"], r["known"]) for r in got} == {("block", True), ("allow", False)} and sum(r["count"] for r in got) == pages.count()
+
+
+def test_names_that_clash(docs, spark):
+    """Columns that an operator adds are refused where they are there already; stages pass on any names."""
+    with pytest.raises(ValueError, match="m_copies"):
+        mixing.mix(docs.withColumn("m_copies", F.lit(1)))
+    with pytest.raises(ValueError, match="p_bin"):
+        packing.pack(docs.withColumnRenamed("lang", "P_BIN"), keep=("doc_id", "P_BIN"))
+    with pytest.raises(ValueError, match="host"):
+        urls.judge(docs.withColumn("host", F.lit("x")), docs, docs, url="text", keep=("host",))
+    odd = docs.withColumnsRenamed({"lang": "m_copies", "target": "n_t", "tilt": "key"})
+    assert mixing.mixed(odd).columns == odd.columns and mixing.mixed(odd).count() == mixing.mixed(docs).count()
+    assert neardup.one_of_each(odd).columns == odd.columns
+    assert packing.pack(odd.withColumnRenamed("m_copies", "p_bin")).count() == packing.pack(docs).count()
+    assert sharding.shard(odd.withColumnRenamed("n_t", "h"), shards=2, keep=("h",)).count() == docs.count()
+
+
 # Search
 
 
 def test_search(spark):
     draw = np.random.default_rng(3)
     vectors = [(i, draw.normal(0, 0.2, 24).tolist()) for i in range(400)]
-    vectors += [(7, vectors[7][1]), (401, vectors[100][1]), (402, None), (403, []), (404, [float("nan")] * 24), (405, [None] + [0.1] * 23), (406, [0.5, 0.5]), (None, [0.1] * 24), (500, [0.0] * 24)]
+    vectors += [(7, vectors[7][1]), (100, draw.normal(0, 0.2, 24).tolist()), (401, vectors[100][1]), (402, None), (403, []), (404, [float("nan")] * 24), (405, [None] + [0.1] * 23), (406, [0.5, 0.5]), (None, [0.1] * 24), (500, [0.0] * 24), (600, [0.3, 0.1])]
     table = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id long, embedding array<float>, score string")
-    got = defaultdict(list)
+    got = Counter()
     for r in topk.search(table, F.col("vec_id") % 100 == 0).collect():
-        got[r["query_id"]].append((r["rank"], -r["score"], r["vec_id"]))
-    good = [(i, np.floor(1024 * np.array(v, np.float32).astype(float))) for i, v in vectors if i is not None and v and len(v) == 24 and all(x is not None and np.isfinite(x) for x in v)]
-    for q, x in ((i, v) for i, v in good if i % 100 == 0):
-        best = sorted((-int(x @ y), i) for i, y in good if i != q)[:10]
-        assert sorted(got[q]) == [(n, s, i) for n, (s, i) in enumerate(best, 1)]
+        got[r["query_id"], r["rank"], r["vec_id"], r["score"]] += 1
+    good = [(i, np.floor(1024 * np.array(v, np.float32).astype(float))) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    want = Counter()
+    for a, (q, x) in enumerate(good):
+        if q % 100 == 0:  # a row never meets itself, but other rows of its id
+            best = sorted((-int(x @ y), i) for b, (i, y) in enumerate(good) if a != b and len(x) == len(y))[:10]
+            want.update((q, n, i, -s) for n, (s, i) in enumerate(best, 1))
+    assert got == want
+
+
+def test_bounds_hold_and_tighten():
+    draw = np.random.default_rng(8)
+    q, v = np.floor(draw.normal(0, 200, (20, 30))), np.floor(draw.normal(0, 200, (50, 30)))
+    last = np.full((20, 50), np.inf)
+    for s in (1, 5, 30):
+        bound = topk.statistics(q, s) @ topk.statistics(v, s).T
+        assert (bound >= q @ v.T - 1e-6).all() and (bound <= last + 1e-6).all()
+        last = bound
 
 
 def test_search_nothing(spark):
