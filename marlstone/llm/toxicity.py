@@ -52,62 +52,81 @@ def windows(words: list[bytes]) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)] or [b" "]
 
 
-class Contrast:
-    """Grams of labelled texts: windows of bytes that lie in a word and the spaces around it, as hashes."""
+class Chunk:
+    """Some texts of one class, and for each byte its text, the next space after it, and its word (of a space: the word behind it)."""
 
-    def __init__(self, texts: list[list[bytes]], toxic: list[bool]) -> None:
+    def __init__(self, texts: list[list[bytes]], first: int) -> None:
         parts = [b" " + b" ".join(w) + b" " for w in texts]
-        self.joined, self.toxic = b"".join(parts), np.array(toxic)
+        self.joined = b"".join(parts)
         self.raw = np.frombuffer(self.joined, np.uint8)
-        self.text = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        spaces = np.flatnonzero(self.raw == 32)
-        # Where the next space after each byte lies, and the word of each byte (that of a space is the word behind it).
-        behind = np.searchsorted(spaces, np.arange(len(self.raw)), "right")
-        self.next_space = np.r_[spaces, len(self.raw)][behind]
-        self.word = behind
-
-    def windows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each size: the starts of the windows and their hashes."""
-        code = np.zeros(len(self.raw), np.uint64)
-        for size in range(1, max(GRAMS) + 1):
-            last = len(self.raw) - size + 1
-            code = code[:last] * np.uint64(0x9E3779B97F4A7C15) + self.raw[size - 1 :] + np.uint64(1)
-            if size in GRAMS:
-                at = np.flatnonzero(self.next_space[:last] >= np.arange(last) + size - 1)
-                yield size, at, code[at]
-
-    def stretches(self) -> list[list[bytes]]:
-        """For each toxic text: of each word with toxic grams, what lies from the first to the end of the last."""
-        n, others = int(self.toxic.sum()), int((~self.toxic).sum())
-        least = max(LEAST, SHARE * n)
-        start, end = np.full(self.word[-1] + 1, len(self.raw)), np.zeros(self.word[-1] + 1, np.int64)
-        for size, at, code in self.windows():
-            ours = self.toxic[self.text[at]]
-            names, times = np.unique(distinct(self.text[at[ours]], code[ours])[1], return_counts=True)
-            names, times = names[times >= least], times[times >= least]
-            if not len(names):
-                continue
-            place = np.minimum(np.searchsorted(names, code), len(names) - 1)
-            known = names[place] == code
-            theirs = np.bincount(distinct(self.text[at[known & ~ours]], place[known & ~ours])[1], minlength=len(names))
-            # A count of few texts may be chance: it is taken less its standard deviation.
-            marked = (times - times**0.5) / n >= CONTRAST * (theirs + 0.5) / others
-            hit = at[known & ours & marked[place]]
-            np.minimum.at(start, self.word[hit], hit)
-            np.maximum.at(end, self.word[hit], hit + size)
-        found: list[list[bytes]] = [[] for _ in self.toxic]
-        for w in np.flatnonzero(end).tolist():
-            found[self.text[start[w]]].append(self.joined[start[w] : end[w]])
-        return [f for f, y in zip(found, self.toxic, strict=True) if y]
-
-
-def distinct(text: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs."""
+        self.text = np.repeat(np.arange(first, first + len(parts), dtype=np.int32), [len(p) for p in parts])
+        spaces = np.flatnonzero(self.raw == 32).astype(np.int32)
+        self.word = np.searchsorted(spaces, np.arange(len(self.raw), dtype=np.int32), "right").astype(np.int32)
+        self.next_space = np.append(spaces, np.int32(len(self.raw)))[self.word]
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows of ``size`` bytes that lie in a word and the spaces around it."""
+        last = len(self.raw) - size + 1
+        at = np.flatnonzero(self.next_space[: max(last, 0)] >= np.arange(max(last, 0), dtype=np.int32) + (size - 1))
+        code = np.zeros(len(at), np.uint64)
+        for i in range(size):
+            code = code * np.uint64(0x9E3779B97F4A7C15) + self.raw[at + i] + np.uint64(1)
+        return at, code
+
+
+def chunked(texts: list[list[bytes]], most: int = 1_000_000) -> list[Chunk]:
+    """Chunks of about ``most`` bytes; a text is in one chunk."""
+    out, held, size, first = [], [], 0, 0
+    for i, t in enumerate(texts):
+        held.append(t)
+        size += sum(map(len, t)) + len(t)
+        if size >= most or i + 1 == len(texts):
+            out.append(Chunk(held, first))
+            held, size, first = [], 0, i + 1
+    return out
+
+
+def distinct(text: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """The names of the distinct pairs."""
     order = np.lexsort((name, text))
     text, name = text[order], name[order]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (name[1:] != name[:-1])
-    return text[new], name[new]
+    return name[new]
+
+
+def stretches(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[list[bytes]]:
+    """For each toxic text: of each word with toxic grams, what lies from the first to the end of the last.
+
+    Texts are gone through a megabyte at a time; what is held are the grams of one size in the toxic texts.
+    """
+    ours, others = chunked(toxic), chunked(ordinary)
+    least = max(LEAST, SHARE * len(toxic))
+    start = [np.full(c.word[-1] + 1, len(c.raw)) for c in ours]
+    end = [np.zeros(c.word[-1] + 1, np.int64) for c in ours]
+    for size in GRAMS:
+        found = [(at, code, distinct(c.text[at], code)) for c in ours for at, code in [c.windows(size)]]
+        names, times = np.unique(np.concatenate([d for _, _, d in found]), return_counts=True)
+        names, times = names[times >= least], times[times >= least]
+        if not len(names):
+            continue
+        theirs = np.zeros(len(names), np.int64)
+        for c in others:
+            at, code = c.windows(size)
+            place = np.minimum(np.searchsorted(names, code), len(names) - 1)
+            known = names[place] == code
+            theirs += np.bincount(distinct(c.text[at[known]], place[known]), minlength=len(names))
+        # A count of few texts may be chance: it is taken less its standard deviation.
+        marked = names[(times - times**0.5) / len(toxic) >= CONTRAST * (theirs + 0.5) / len(ordinary)]
+        for c, s, e, (at, code, _) in zip(ours, start, end, found, strict=True):
+            hit = at[np.isin(code, marked)]
+            np.minimum.at(s, c.word[hit], hit)
+            np.maximum.at(e, c.word[hit], hit + size)
+    out: list[list[bytes]] = [[] for _ in toxic]
+    for c, s, e in zip(ours, start, end, strict=True):
+        for w in np.flatnonzero(e).tolist():
+            out[c.text[s[w]]].append(c.joined[s[w] : e[w]])
+    return out
 
 
 def trained(samples: list[bytes], size: int, segment: tuple[int, int]) -> bytes:
@@ -120,7 +139,7 @@ def trained(samples: list[bytes], size: int, segment: tuple[int, int]) -> bytes:
 
 def dictionaries(texts: list[list[bytes]], toxic: list[bool]) -> tuple[bytes, bytes]:
     """The ordinary and the toxic dictionary; the toxic one has room for all its stretches twice."""
-    own_of = Contrast(texts, toxic).stretches()
+    own_of = stretches(*([t for t, y in zip(texts, toxic, strict=True) if y == own] for own in (True, False)))
     found = [b"".join(own) for own in own_of if own]
     size = sum(map(len, {s for own in own_of for s in own}))
     ordinary = trained([w for t, y in zip(texts, toxic, strict=True) if not y for w in windows(t)], ORDINARY_BYTES, ORDINARY_SEGMENT)
