@@ -45,8 +45,23 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     n, name = F.col("doc_id"), F.col("doc_id").cast("string")
     folder, ext = pick(DIRS, n % 7), pick(SUFFIXES, n % 11)
-    stem = F.when(n % 5 == 0, F.concat(F.lit("test_m"), name)).when(n % 5 == 1, F.concat(F.lit("m"), name, F.lit("_test"))).when(n % 5 == 2, F.concat(F.lit("helper_m"), name)).when(n % 5 == 3, "main").otherwise(F.concat(F.lit("m"), name))
-    return d.select(F.lit("corpus").alias("repo_id"), "doc_id", F.concat(folder, F.lit("/"), "source", F.lit("/"), stem, ext).alias("path"), F.concat(folder, F.lit("/main"), ext).alias("out_path"), F.col("text").alias("content"), n.alias("mtime"), F.octet_length("text").cast("long").alias("size"))
+    # Files called main lie in a folder of their own, so that no two paths are alike.
+    stem = (
+        F.when(n % 5 == 0, F.concat(F.lit("test_m"), name))
+        .when(n % 5 == 1, F.concat(F.lit("m"), name, F.lit("_test")))
+        .when(n % 5 == 2, F.concat(F.lit("helper_m"), name))
+        .when(n % 5 == 3, F.concat(F.lit("m"), name, F.lit("/main")))
+        .otherwise(F.concat(F.lit("m"), name))
+    )
+    return d.select(
+        F.lit("corpus").alias("repo_id"),
+        "doc_id",
+        F.concat(folder, F.lit("/"), "source", F.lit("/"), stem, ext).alias("path"),
+        F.concat(folder, F.lit("/main"), ext).alias("out_path"),
+        F.col("text").alias("content"),
+        n.alias("mtime"),
+        F.octet_length("text").cast("long").alias("size"),
+    )
 
 
 def sql_list(values: tuple[str, ...] | list[str]) -> str:
@@ -61,12 +76,12 @@ FILES = f"""
             list_extract([{sql_list(DIRS)}], CAST(doc_id % 7 + 1 AS INTEGER)) AS folder, source,
             list_extract([{sql_list(SUFFIXES)}], CAST(doc_id % 11 + 1 AS INTEGER)) AS ext,
             CASE doc_id % 5 WHEN 0 THEN 'test_m' || doc_id WHEN 1 THEN 'm' || doc_id || '_test' WHEN 2 THEN 'helper_m' || doc_id
-                WHEN 3 THEN 'main' ELSE 'm' || doc_id END AS stem
+                WHEN 3 THEN 'main' ELSE 'm' || doc_id END AS stem, CASE doc_id % 5 WHEN 3 THEN '/m' || doc_id ELSE '' END AS inner_dir
         FROM documents),
     known(suffix, language) AS (VALUES {LANGUAGE_ROWS}),
     files AS (
-        SELECT 'corpus' AS repo_id, doc_id, folder || '/' || source || '/' || stem || ext AS path, folder || '/main' || ext AS out_path,
-            content, mtime, size, stem || ext AS name, stem, ext AS suffix, folder, source, folder || '/' || source AS dir, coalesce(known.language, 'unknown') AS language,
+        SELECT 'corpus' AS repo_id, doc_id, folder || '/' || source || inner_dir || '/' || stem || ext AS path, folder || '/main' || ext AS out_path,
+            content, mtime, size, stem || ext AS name, stem, ext AS suffix, folder, source, inner_dir, folder || '/' || source || inner_dir AS dir, coalesce(known.language, 'unknown') AS language,
             ext = '.png' AS bin,
             CASE WHEN folder IN ('tests', 'test') OR folder LIKE 'test\\_%' ESCAPE '\\' OR source LIKE 'test\\_%' ESCAPE '\\'
                     OR ((starts_with(stem, 'test_') OR ends_with(stem, '_test')) AND NOT regexp_matches(stem, 'helper|util|fixture|mock|stub')) THEN 'test'
@@ -106,7 +121,8 @@ def q_ignore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FILES},
-    nodes AS (SELECT DISTINCT path, true AS leaf, name FROM files UNION SELECT DISTINCT dir, false, source FROM files UNION SELECT DISTINCT folder, false, folder FROM files)
+    nodes AS (SELECT DISTINCT path, true AS leaf, name FROM files UNION SELECT DISTINCT folder || '/' || source, false, source FROM files
+        UNION SELECT DISTINCT dir, false, substr(inner_dir, 2) FROM files WHERE inner_dir <> '' UNION SELECT DISTINCT folder, false, folder FROM files)
     SELECT path, CASE WHEN leaf THEN CASE
             WHEN regexp_matches(name, '\\.(py|js|ts|go|rs|java)$') THEN CASE WHEN contains(name, 'test') THEN 'test' ELSE 'code' END
             WHEN regexp_matches(name, '\\.(md|txt)$') THEN 'doc' WHEN regexp_matches(name, '\\.(yaml|json)$') THEN 'config' ELSE 'unknown' END
@@ -119,14 +135,14 @@ def q_node_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FILES},
-    nodes AS (SELECT DISTINCT folder AS path FROM files WHERE folder <> 'node_modules' UNION SELECT DISTINCT dir FROM files WHERE folder <> 'node_modules'),
+    nodes AS (SELECT DISTINCT folder AS path FROM files WHERE folder <> 'node_modules' UNION SELECT DISTINCT folder || '/' || source FROM files WHERE folder <> 'node_modules'),
     placed AS (SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS n, count(*) OVER () AS total FROM nodes)
     SELECT CAST(n AS INTEGER) AS node_ord, path, 'dir' AS node_type,
         CASE path WHEN 'src' THEN 'code' WHEN 'lib' THEN 'code' WHEN 'app' THEN 'code' WHEN 'tests' THEN 'test' WHEN 'docs' THEN 'doc' WHEN '.github' THEN 'config' ELSE 'unknown' END AS category,
-        total > 100 AS truncated
-    FROM placed WHERE n <= 100""")
+        total > {fixed.TREE_NODES} AS truncated
+    FROM placed WHERE n <= {fixed.TREE_NODES}""")
 def q_repo_tree_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.tree(corpus_files(spark, sf_dir), 2, 100).drop("repo_id")
+    return inventory.tree(corpus_files(spark, sf_dir), 2, fixed.TREE_NODES).drop("repo_id")
 
 
 @query(f"WITH {FILES} SELECT DISTINCT source AS name FROM files WHERE folder = 'src'")
@@ -136,9 +152,9 @@ def q_list_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FILES},
     wanted AS (SELECT path, row_number() OVER (ORDER BY string_split(path, '/'), doc_id) AS n FROM files WHERE folder <> 'node_modules' AND language <> 'unknown' AND NOT bin)
-    SELECT CAST(n AS BIGINT) AS work_ord, path FROM wanted WHERE n <= 50""")
+    SELECT CAST(n AS BIGINT) AS work_ord, path FROM wanted WHERE n <= {fixed.WORKLIST_FILES}""")
 def q_source_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.worklist(corpus_files(spark, sf_dir), 50).select("work_ord", "path")
+    return inventory.worklist(corpus_files(spark, sf_dir), fixed.WORKLIST_FILES).select("work_ord", "path")
 
 
 @query(f"WITH {FILES} SELECT path, CASE WHEN bin THEN 'binary_skipped' ELSE sha256(content) END AS hash FROM files")
@@ -201,17 +217,17 @@ def previous_of(files: DataFrame) -> DataFrame:
 
 
 @query(f"""WITH {FILES}
-    SELECT path, CASE WHEN doc_id % 3 = 0 THEN CASE doc_id % 2 WHEN 0 THEN 'deleted' ELSE 'added' END WHEN doc_id % 4 = 1 THEN 'changed' ELSE 'unchanged' END AS status FROM files WHERE stem <> 'main'""")
+    SELECT path, CASE WHEN doc_id % 3 = 0 THEN CASE doc_id % 2 WHEN 0 THEN 'deleted' ELSE 'added' END WHEN doc_id % 4 = 1 THEN 'changed' ELSE 'unchanged' END AS status FROM files""")
 def q_change_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = inventory.metadata(corpus_files(spark, sf_dir)).filter("path not like '%/main.%'")
+    files = inventory.metadata(corpus_files(spark, sf_dir))
     git = files.filter("doc_id % 2 = 0").select("repo_id", "path", F.lit("deleted").alias("status"))
     return inventory.change_status(files, previous_of(files), git).select("path", "status")
 
 
-@query(f"""WITH {FILES}, counted AS (SELECT path, doc_id, CAST(len(regexp_extract_all(content, '(?i)licen[sc]e')) AS INTEGER) AS n FROM files WHERE kind = 'source' AND stem <> 'main')
+@query(f"""WITH {FILES}, counted AS (SELECT path, doc_id, CAST(len(regexp_extract_all(content, '(?i)licen[sc]e')) AS INTEGER) AS n FROM files WHERE kind = 'source')
     SELECT path, n AS todo_count FROM counted WHERE n > 0 AND n > CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 4 = 1 THEN n + 1 ELSE greatest(n - 1, 0) END""")
 def q_marker_increase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = corpus_files(spark, sf_dir).filter("path not like '%/main.%'").withColumns({"kind": paths.kind(F.col("path")), "hash": F.lit("x" * 64), "todo_count": F.regexp_count("content", F.lit("(?i)licen[sc]e")).cast("int")})
+    files = corpus_files(spark, sf_dir).withColumns({"kind": paths.kind(F.col("path")), "hash": F.lit("x" * 64), "todo_count": F.regexp_count("content", F.lit("(?i)licen[sc]e")).cast("int")})
     return inventory.marker_increase(files, previous_of(files)).select("path", "todo_count")
 
 
@@ -278,7 +294,7 @@ def q_weak_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STATES = f"""WITH {FILES}, {DOCS},
-    targets AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'unchanged' WHEN 1 THEN 'changed' ELSE 'added' END AS status FROM files WHERE kind = 'source' AND language <> 'unknown' AND NOT bin AND stem <> 'main'),
+    targets AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'unchanged' WHEN 1 THEN 'changed' ELSE 'added' END AS status FROM files WHERE kind = 'source' AND language <> 'unknown' AND NOT bin),
     tried AS (SELECT path, path || '.md' AS c, 0 AS place FROM targets UNION ALL SELECT path, substr(path, 1, length(path) - length(suffix)) || '.md', 1 FROM targets),
     best AS (SELECT tried.path, arg_min(docs.mtime, place) AS doc_mtime FROM tried JOIN docs ON tried.c = docs.path GROUP BY tried.path),
     states AS (
@@ -287,7 +303,7 @@ STATES = f"""WITH {FILES}, {DOCS},
 
 
 def states_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    files = inventory.metadata(corpus_files(spark, sf_dir)).filter("path not like '%/main.%'")
+    files = inventory.metadata(corpus_files(spark, sf_dir))
     n = F.col("doc_id") % 4
     files = files.withColumn("status", F.when(n == 0, "unchanged").when(n == 1, "changed").otherwise("added"))
     return files, coverage.doc_state(files, docs_of(spark, sf_dir, corpus_files(spark, sf_dir)))
@@ -305,6 +321,14 @@ def q_needs_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.needs_explanation(*states_of(spark, sf_dir)).select("path", "reason")
 
 
+def symbols_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources with their imports, all of them internal."""
+    imports, nodes = imports_of(spark, sf_dir)
+    found = imports.groupBy("repo_id", "path").agg(F.collect_list(F.struct("module", F.lit(True).alias("internal"))).alias("imports"))
+    none = F.array().cast("array<struct<module:string,internal:boolean>>")
+    return nodes.select("repo_id", "path").join(found, ["repo_id", "path"], "left").withColumn("imports", F.coalesce("imports", none))
+
+
 @query("""WITH links AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS target FROM pages)
     SELECT target, count(*) AS fan_in FROM links GROUP BY target HAVING count(*) >= 10""")
 def q_link_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,7 +343,7 @@ def q_link_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: nodes and imports: sources with ids from 1; u imports the modules of u / 2 and u / 3, by name or by a name below it.
 IMPORTS = f"""
-    nodes AS (SELECT path, doc_id, replace(substr(path, 1, length(path) - length(suffix)), '/', '.') AS dotted FROM files WHERE kind = 'source' AND language <> 'unknown' AND stem <> 'main'),
+    nodes AS (SELECT path, doc_id, replace(substr(path, 1, length(path) - length(suffix)), '/', '.') AS dotted FROM files WHERE kind = 'source' AND language <> 'unknown'),
     everyone AS (SELECT doc_id, replace(substr(path, 1, length(path) - length(suffix)), '/', '.') AS dotted FROM files),
     imports AS (
         SELECT f.path, 0 AS import_ord, e.dotted AS module FROM nodes f JOIN everyone e ON e.doc_id = f.doc_id // 2 WHERE f.doc_id > 0 AND NOT starts_with(e.dotted, '.')
@@ -334,12 +358,23 @@ RESOLVED = f"""WITH {FILES}, {IMPORTS},
 
 def imports_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     files = inventory.metadata(corpus_files(spark, sf_dir))
-    nodes = inventory.with_order(graph.graph_nodes(files).filter("path not like '%/main.%'"))
+    nodes = inventory.with_order(graph.graph_nodes(files))
     names = files.select(F.col("doc_id").alias("to_id"), paths.dotted(F.col("path")).alias("name")).filter("name not like '.%'")
     of = lambda k, n, tail: nodes.filter(F.col("doc_id") >= k).select("repo_id", "path", F.lit(n).alias("import_ord"), F.expr(f"doc_id div {k}").alias("to_id")).join(names, "to_id").select("repo_id", "path", "import_ord", F.concat("name", F.lit(tail)).alias("module"))
     return of(2, 0, "").unionByName(nodes.filter("doc_id = 1").select("repo_id", "path", F.lit(0).alias("import_ord"), F.lit(0).cast("long").alias("to_id")).join(names, "to_id").select("repo_id", "path", "import_ord", F.col("name").alias("module"))).unionByName(of(3, 1, ".part")), nodes
 
 
+@query(f"WITH {FILES}, {IMPORTS} SELECT nodes.path, count(imports.path) AS fan_out FROM nodes LEFT JOIN imports ON nodes.path = imports.path GROUP BY nodes.path")
+def q_import_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.fan_out(symbols_of(spark, sf_dir)).select("path", "fan_out")
+
+
+@query(f"""WITH {FILES}, {IMPORTS}, wanted AS (SELECT regexp_extract(module, '[^.]+$') AS stem, count(*) AS fan_in FROM imports GROUP BY 1)
+    SELECT path, fan_in FROM files JOIN wanted ON files.stem = wanted.stem""")
+def q_import_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.fan_in(symbols_of(spark, sf_dir), corpus_files(spark, sf_dir)).select("path", "fan_in")
+
+
 @query(f"{RESOLVED} SELECT i.path, i.import_ord, i.module, r.target FROM imports i LEFT JOIN resolved r ON i.path = r.path AND i.import_ord = r.import_ord")
 def q_resolve_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.resolve(*imports_of(spark, sf_dir)).select("path", "import_ord", "module", "target")
