@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import language, neardup, pseudolikelihood, quality, toxicity, urls
+from marlstone.llm import decontamination, language, lexical, manifest, neardup, pseudolikelihood, quality, toxicity, urls
 from marlstone.llm.mixing import mix
 from marlstone.llm.packing import pack
 from marlstone.llm.sharding import shard
@@ -44,6 +44,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in (*quality.COUNTS, "base_failed", "content_share", "kept")])
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rules of op5 (rule, verdict).
 URL_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 #: Listed canonical urls of op5: roots of sites that are blocked with all that lies below them.
@@ -86,6 +87,30 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents for each benchmark item. Odd rows as in :func:`lexical.search`."""
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of each document, and the root that a tampered third folds to. Odd rows as in :func:`manifest.manifest`; a null id isn't tampered with."""
+
+    def leaf(text: Column) -> Column:
+        return manifest.digest(*map(manifest.field, [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text]))
+
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, leaf(F.translate("text", UPPER, UPPER.lower())))
+    got = manifest.manifest(table(spark, sf_dir, "documents"), leaf(F.col("text")), keep={"doc_id": F.col("doc_id"), "tampered": tampered})
+    got = got.withColumn("folded_root", manifest.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return got.select("doc_id", "leaf", "subroot", "root", manifest.digest(manifest.siblings(F.col("path"))).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of each document that lie in a window of ten terms of a benchmark item, and those items. Odd rows as in :func:`decontamination.find`."""
+    got = decontamination.spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["from"])
+    return got.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -99,9 +124,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pseudolikelihood,
         op9_exact_topk,
         op10_histogram_shards,
+        op11_ranked_search,
+        op12_merkle_manifest,
+        op13_benchmark_decontamination,
     )
 }
 
+#: Terms of a text in DuckDB, lower-cased.
+TERMS_SQL = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+#: crc32 of an ASCII text in DuckDB, bit by bit.
+CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda b, z: CASE WHEN b % 2 = 1 THEN xor(b // 2, 3988292384) ELSE b // 2 END)), 4294967295)"""
+#: Levels of a tree that the SQL of op12 has: enough for 8^12 rows.
+DEPTH = 12
+
+
+def merkle_sql() -> str:
+    """SQL of op12: each level's digests with the texts before and after them in their run of eight, and a join for each level."""
+    each = ", ".join(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+    leaf = "sha256(concat({}, coalesce(octet_length(encode({})) || ':' || {}, '-')))"
+    lower = f"translate(text, '{UPPER}', '{UPPER.lower()}')"
+    ctes = [
+        f"rows AS (SELECT row_number() OVER () AS place, doc_id, lang, {leaf.format(each, 'text', 'text')} AS leaf, {leaf.format(each, lower, lower)} AS other FROM documents)",
+        "p0 AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, leaf AS h FROM rows)",
+    ]
+    run = "OVER (PARTITION BY {0}, pos // 8 ORDER BY pos ROWS BETWEEN {1})"
+    for name, by, last in (("p", "lang", DEPTH), ("t", "one", 4)):
+        for k in range(last):
+            sides = ", ".join(f"coalesce(string_agg(h, '') {run.format(by, span)}, '') AS {side}" for side, span in (("b", "UNBOUNDED PRECEDING AND 1 PRECEDING"), ("a", "1 FOLLOWING AND UNBOUNDED FOLLOWING")))
+            ctes.append(f"{name}s{k} AS (SELECT {by}, pos, n, {sides} FROM {name}{k})")
+            ctes.append(f"{name}{k + 1} AS (SELECT {by}, pos // 8 AS pos, (n + 7) // 8 AS n, CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h FROM {name}{k} GROUP BY {by}, pos // 8, n)")
+        if name == "p":
+            ctes.append(f"t0 AS (SELECT 1 AS one, lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM p{DEPTH})")
+    ctes.append(f"f0 AS (SELECT p0.place, p0.doc_id, p0.lang, p0.leaf, p0.pos, t0.pos AS top, t0.h AS subroot, '' AS proof, CASE WHEN {CRC32_SQL.format('CAST(p0.doc_id AS VARCHAR)')} % 3 = 0 THEN other ELSE leaf END AS own FROM p0 JOIN t0 ON p0.lang IS NOT DISTINCT FROM t0.lang)")
+    steps = [(f"ps{k}", f"s.lang IS NOT DISTINCT FROM f.lang AND s.pos = f.pos // {8**k}") for k in range(DEPTH)] + [(f"ts{k}", f"s.pos = f.top // {8**k}") for k in range(4)]
+    for i, (side, on) in enumerate(steps):
+        ctes.append(f"f{i + 1} AS (SELECT f.place, f.doc_id, f.lang, f.leaf, f.pos, f.top, f.subroot, f.proof || CASE WHEN s.n > 1 THEN s.b || s.a ELSE '' END AS proof, CASE WHEN s.n > 1 THEN sha256(s.b || f.own || s.a) ELSE f.own END AS own FROM f{i} f JOIN {side} s ON {on})")
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, t4.h AS root, sha256(proof) AS proof_sha256, own AS folded_root, own = t4.h AS verified FROM f{len(steps)}, t4"
+
+
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {
     "op5_url_filter": f"""
@@ -125,6 +187,37 @@ ORACLES: dict[str, str] = {
             coalesce(by_rule.verdict, CASE WHEN by_list.listed IS NOT NULL THEN 'block' END, 'allow') AS verdict
         FROM p LEFT JOIN by_rule ON p.host = by_rule.host AND p.path = by_rule.path
         LEFT JOIN by_list ON p.host = by_list.host AND p.path = by_list.path""",
+    "op11_ranked_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS place, doc_id, {TERMS_SQL.format("text")} AS w FROM documents),
+        b AS (SELECT row_number() OVER () AS asked, item_id, {TERMS_SQL.format("text")} AS w FROM benchmark),
+        corpus AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+        tf AS (SELECT place, term, count(*) AS tf FROM (SELECT place, unnest(w) AS term FROM d) GROUP BY place, term),
+        asked AS (SELECT DISTINCT asked, item_id, term FROM (SELECT asked, item_id, unnest(w) AS term FROM b)),
+        weight AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM tf SEMI JOIN asked USING (term) GROUP BY term), corpus),
+        scored AS (
+            SELECT asked, item_id, place, doc_id, CAST(sum(weight.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(d.w) * n) // l)))) AS BIGINT) AS score
+            FROM asked JOIN weight USING (term) JOIN tf USING (term) JOIN d USING (place), corpus GROUP BY asked, item_id, place, doc_id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50""",
+    "op12_merkle_manifest": merkle_sql(),
+    "op13_benchmark_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS place, doc_id, {TERMS_SQL.format("text")} AS w FROM documents),
+        b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {TERMS_SQL.format("text")} AS w FROM benchmark),
+        windows AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS s
+            FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+        lengths AS (SELECT DISTINCT n FROM windows),
+        grams AS (
+            SELECT place, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS s
+            FROM (SELECT place, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n)),
+        found AS (SELECT g.place, g.i, g.n, x.item_id FROM grams g JOIN windows x ON g.n = x.n AND g.s = x.s),
+        hit AS (SELECT place, count(DISTINCT pos) AS n FROM (SELECT place, unnest(range(i, i + n)) AS pos FROM found) GROUP BY place),
+        items AS (SELECT place, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT place, item_id FROM found) GROUP BY place)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+            sha256(coalesce(items.ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit ON d.place = hit.place LEFT JOIN items ON d.place = items.place""",
     "op9_exact_topk": """
         WITH v AS (
             SELECT vec_id, row_number() OVER () AS place, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x

@@ -8,12 +8,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.plans.scratch import cut, free
+
 #: A word is a run of characters other than these: space and U+0009 to U+000D. bytes.split() splits on the same six.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A term is a run of ASCII letters and digits and of all characters beyond ASCII; A-Z, and no others, lose their case.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Maps the bytes of a text so that its terms are what white space separates.
+TERM_BYTES = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else c if c > 127 else 32 for c in range(256))
 
 
 def n_words(text: Column) -> Column:
@@ -80,6 +87,49 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.array(lengths, np.int64)
 
 
+def term_codes(texts: list[bytes], most: int = 64 << 20) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """All terms of some texts as numbers, one text after the other; how many each text has; and the terms by their number.
+
+    Texts are split a megabyte at a time, about ``most`` bytes in one Arrow array.
+    """
+    counts, flat, parts, owners, held = np.zeros(len(texts), np.int64), [], [], [], 0
+
+    def split() -> None:
+        terms = pc.ascii_split_whitespace(pa.array(parts, pa.binary()).view(pa.string()))
+        np.add.at(counts, owners, pc.list_value_length(terms).to_numpy())
+        flat.append(terms.flatten())
+
+    for i, text in enumerate(texts):
+        for piece in pieces(text):
+            if part := piece.translate(TERM_BYTES).strip():
+                parts.append(part)
+                owners.append(i)
+                held += len(part)
+            if held >= most:
+                split()
+                parts, owners, held = [], [], 0
+    if parts:
+        split()
+    if not flat:
+        return np.zeros(0, np.int32), counts, pa.array([], pa.string())
+    coded = pa.chunked_array(flat).dictionary_encode()
+    return np.concatenate([c.indices.to_numpy() for c in coded.chunks]), counts, coded.chunk(0).dictionary
+
+
+def blocks(frame: DataFrame, size: Column, most: int, name: str) -> Iterator[pa.Table]:
+    """The rows of a small frame in tables of about ``most`` bytes by the sum of ``size``, one after the other on the driver.
+
+    Each gets a number of its own, ``place``, and goes by its hash to a block; a row that is larger than ``most`` stays whole.
+    """
+    rows = cut(frame.withColumn("place", F.monotonically_increasing_id()), name)
+    n = max(1, -(-(rows.agg(F.sum(size)).first()[0] or 0) // most))
+    for i in range(n):
+        block = rows.filter(F.pmod(F.xxhash64("place"), F.lit(n)) == i).toArrow()
+        if block.num_rows:
+            yield block.sort_by("place").combine_chunks()
+    free(rows)
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """``name``, with as many underscores at its end as it takes to clash with none of the names ``taken`` (upper and lower case alike)."""
     used = {t.lower() for t in taken}
