@@ -18,7 +18,7 @@ from marlstone.llm.words import TERM, blocks, chunks, must_be_free, pieces, term
 from marlstone.plans.scratch import cut, free
 
 #: About so many bytes of text make a shard; a longer text is spread over several.
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
 #: Bytes of item texts that are sent to the tasks at once; more are searched for in several passes over the index.
 ITEM_BYTES = 32_000_000
 PARTS = ("bits", "ranks", "zeros", "starts", "samples")
