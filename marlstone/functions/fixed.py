@@ -83,7 +83,9 @@ FAILED_PHRASES = (
     "具体的なプロジェクトの構造に関する情報は含まれていません", "コンテキスト内にディレクトリの情報は見当たりません", "解析失敗のため詳細不明",
     "明示的な依存関係のグラフは生成されませんでした", "定義された関係性は存在しません", "解析が中断されたため",
 )
+# Fixed value: what stands for a section that a summary lacks.
 PLACEHOLDER = "- This section was not separated in the model output; review the surrounding summary for available evidence."
+# Beginnings of lines that import, by language.
 DEPENDENCY_PREFIXES = {
     "python": ("import ", "from "),
     "javascript": ("import ", "require("),
@@ -93,8 +95,18 @@ DEPENDENCY_PREFIXES = {
     "java": ("import ",),
 }
 OTHER_DEPENDENCY_PREFIXES = ("import ", "from ", "use ", "#include")
+# Names of helpers that generated code may not take.
 RESERVED_HELPERS = (
     "list_dir", "read_text", "file_info", "search_text", "list_artifacts", "read_artifact", "read_artifact_json",
     "grep_artifacts", "extract_symbols", "llm_query", "finish", "path_exists", "is_dir", "read_json", "record_document",
 )
+# Beginnings of answers that are errors of a model.
 MODEL_ERRORS = ("[Gemini Error:", "[Ollama Error:", "[Error:")
+
+# Why an answer isn't run.
+EMPTY_ANSWER = "Model returned an empty response."
+NO_CODE = "No Python code remained after normalization."
+IMPORTS_REFUSED = "Import statements are not allowed. Use sandbox helpers instead."
+SUBSCRIPT_REFUSED = "globals and locals are functions, not dict variables. Do not write {0}[...]; call {0}() first."
+ASSIGNMENT_REFUSED = "Assigning to helper names is not allowed. '{0}' is a reserved helper."
+DEFINITION_REFUSED = "Defining functions or classes matching helper names is not allowed. '{0}' is a reserved helper."

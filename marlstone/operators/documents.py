@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions import code, fixed, paths, text
+from marlstone.functions import code, fixed, paths, reprs, text
 
 
 def merged(docs: DataFrame, order: list[str]) -> DataFrame:
@@ -147,10 +147,38 @@ def fallback_documents(files: DataFrame) -> DataFrame:
     return rows.select("repo_id", F.concat(path, F.lit(".md")).alias("path"), F.concat(F.lit("Source: "), path).alias("title"), body.alias("content"))
 
 
-def child_fallback(goal: Column, status: Column, error: Column) -> Column:
-    """The text that stands for a child query that failed and had no file card. Its sentences."""
-    detail = F.concat(F.lit("The child query could not complete ("), status, F.lit(": "), text.last_line(error), F.lit("). No file card was provided, so only the parent-visible context is available."))
-    return _block(["## Child Query Fallback", "", detail, "", "## Focus", "", text.capped(goal, 500)])
+def child_fallback(goal: Column, status: Column, error: Column, context: Column | None = None) -> Column:
+    """The text that stands for a child query that failed. Its sentences.
+
+    ``context``: what the child was given, as JSON. An object under ``file``, else the context itself if it is an object, is a
+    card of a file: path, info, symbols, reasons and excerpt. Malformed JSON, null and other values are no card.
+    """
+    detail = F.concat(status, F.lit(": "), text.last_line(error))
+    head = F.lit("## Child Query Fallback")
+    bare = _block([head, "", F.concat(F.lit("The child query could not complete ("), detail, F.lit("). No file card was provided, so only the parent-visible context is available.")), "", "## Focus", "", text.capped(F.coalesce(goal, F.lit("")), 500)])
+    if context is None:
+        return bare
+    whole = F.try_parse_json(context)
+    at = lambda v, path, kind="variant": F.try_variant_get(v, path, kind)
+    is_ = lambda v, kind: F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
+    card = F.when(is_(at(whole, "$.file"), "OBJECT"), at(whole, "$.file")).when(is_(whole, "OBJECT"), whole)
+    said = lambda path: F.when(is_(at(card, path), "STRING"), at(card, path, "string"))
+    some = lambda path: F.nullif(at(card, path, "string"), F.lit(""))
+    shown = lambda path: F.coalesce(at(card, path, "string"), F.lit("None"))
+    path = F.coalesce(some("$.path"), some("$.info.path"), F.lit("unknown"))
+    reasons = F.coalesce(F.nullif(F.array_join(at(card, "$.reasons", "array<string>"), ", "), F.lit("")), F.lit("not recorded"))
+    symbols = F.coalesce(reprs.literals()(F.to_json(at(card, "$.symbols.symbols"))), F.lit("None"))
+    excerpt = F.coalesce(said("$.excerpt"), said("$.symbols.fallback_excerpt"), F.lit(""))
+    full = _block([
+        head, "", F.concat(F.lit("The deep-dive child query for `"), path, F.lit("` could not complete ("), detail, F.lit("). This document is a mechanical fallback built from the file card so the parent can continue.")),
+        "", "## Responsibility", "", F.concat(F.lit("File-card-only responsibility estimate for `"), path, F.lit("` based on language, size, symbols, and excerpt.")),
+        "", "## Main Elements", "", F.concat(F.lit("- Language: "), shown("$.info.language")), F.concat(F.lit("- Lines: "), shown("$.info.line_count")),
+        F.concat(F.lit("- Selection reasons: "), reasons), F.concat(F.lit("- Symbols: "), text.capped(symbols, 800)),
+        "", "## Inputs and Outputs", "", "Inputs and outputs were not model-expanded because the child query failed; infer them from the listed symbols and excerpt.",
+        "", "## Dependencies and Caveats", "", "This fallback is less reliable than a completed deep dive and should be reviewed if the file is critical.",
+        "", "## Excerpt", "", "```", text.capped(excerpt, 1200), "```",
+    ])
+    return F.when(card.isNull(), bare).otherwise(full)
 
 
 def step_history(steps: DataFrame) -> DataFrame:

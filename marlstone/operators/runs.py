@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.functions import code, text
+from marlstone.functions import answers, text
 from marlstone.operators import budget, documents
 from marlstone.plans.scratch import cut
 
@@ -50,7 +50,7 @@ def replay(log: DataFrame, limits: budget.Limits = budget.Limits()) -> DataFrame
     the step that finishes it, or the first that breaks a limit; one that does neither has used its steps up.
     """
     rows = budget.violations(budget.running(log), limits)
-    rows = rows.withColumn("v", code.validated_code("response")).withColumns({"code": F.col("v.code"), "code_error": F.col("v.error"), "code_kind": F.col("v.kind")}).drop("v")
+    rows = rows.withColumn("v", answers.validated_code("response")).withColumns({"code": F.col("v.code"), "code_error": F.col("v.error"), "code_kind": F.col("v.kind")}).drop("v")
     over = Window.partitionBy("run_id")
     done = F.col("result").isNotNull() & F.col("violation").isNull() & (F.col("code_kind") == "code")
     rows = rows.withColumn("end", F.min(F.when(done, F.col("step"))).over(over)).filter(F.coalesce(F.col("step") <= F.col("end"), F.lit(True)))
@@ -117,8 +117,8 @@ def folded(files: DataFrame, summarise: Callable[[Column, Column], Column], max_
 
 
 def with_fallback(children: DataFrame) -> DataFrame:
-    """Add answer to child runs (goal, status, result, error): the result of those that finished, else a text that stands for it."""
-    return children.withColumn("answer", F.when(F.col("status") == "finished", F.col("result")).otherwise(documents.child_fallback(F.col("goal"), F.col("status"), F.col("error"))))
+    """Add answer to child runs (goal, status, result, error, and context if they have one): the result of those that finished, else a text that stands for it."""
+    return children.withColumn("answer", F.when(F.col("status") == "finished", F.col("result")).otherwise(documents.child_fallback(F.col("goal"), F.col("status"), F.col("error"), F.col("context") if "context" in children.columns else None)))
 
 
 def state_text(state: Column, items: int = 20, chars: int = 160) -> Column:

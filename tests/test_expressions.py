@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.functions import code, paths, text, validate
+from marlstone.functions import answers, code, lexer, paths, reprs, text, validate
 from marlstone.operators import budget, coverage, documents, runs
 
 
@@ -46,15 +46,15 @@ def test_decoding_drops_bad_bytes(spark):
 
 
 def test_code_checks():
-    assert code.checked("```python\nx = 1\n```")["code"] == "x = 1"
-    assert code.checked("> x = 1")["code"] == "x = 1"
-    assert code.checked("'x = 1'")["code"] == "x = 1"
-    assert code.checked("import os")["error"].startswith("Import statements")
-    assert code.checked("finish = 1")["error"].startswith("Assigning to helper")
-    assert code.checked("globals['x']")["kind"] == "invalid_code"
-    assert code.checked("[Error: x]")["kind"] == "model_error"
-    assert code.checked("plain prose here")["error"].startswith("SyntaxError")
-    assert code.checked("  ")["error"] == "Model returned an empty response."
+    assert answers.checked("```python\nx = 1\n```")["code"] == "x = 1"
+    assert answers.checked("> x = 1")["code"] == "x = 1"
+    assert answers.checked("'x = 1'")["code"] == "x = 1"
+    assert answers.checked("import os")["error"].startswith("Import statements")
+    assert answers.checked("finish = 1")["error"].startswith("Assigning to helper")
+    assert answers.checked("globals['x']")["kind"] == "invalid_code"
+    assert answers.checked("[Error: x]")["kind"] == "model_error"
+    assert answers.checked("plain prose here")["error"].startswith("SyntaxError")
+    assert answers.checked("  ")["error"] == "Model returned an empty response."
 
 
 def test_symbols_of_other_languages():
@@ -63,9 +63,9 @@ def test_symbols_of_other_languages():
 
 
 def test_short_reprs():
-    assert code.summary_of([1, 2], 50) == "list [1, 2]"
-    assert code.summary_of("x" * 20, 10).startswith("str(len=20)")
-    assert code.summary_of(list(range(200)), 50) == "list(len=200) [0, ...]"
+    assert reprs.summary_of([1, 2], 50) == "list [1, 2]"
+    assert reprs.summary_of("x" * 20, 10).startswith("str(len=20)")
+    assert reprs.summary_of(list(range(200)), 50) == "list(len=200) [0, ...]"
 
 
 def test_result_shape(spark):
@@ -177,10 +177,10 @@ def test_stream(spark, tmp_path):
 
 
 def test_contexts():
-    assert code.context_of({"a": [1, (2,)]}) == "dict {'a': [1, (2,)]}"
-    assert code.context_of([[[[[[[1]]]]]]]) == "list [[[[[[list(len=1)]]]]]]"
-    assert code.context_of("x" * 1300).startswith("str str(len=1300) xxx")
-    assert code.context_of(list(range(300))).endswith("199, ...]")
+    assert reprs.context_of({"a": [1, (2,)]}) == "dict {'a': [1, (2,)]}"
+    assert reprs.context_of([[[[[[[1]]]]]]]) == "list [[[[[[list(len=1)]]]]]]"
+    assert reprs.context_of("x" * 1300).startswith("str str(len=1300) xxx")
+    assert reprs.context_of(list(range(300))).endswith("199, ...]")
 
 
 def test_command_line(spark, tmp_path, capsys):
