@@ -66,7 +66,7 @@ def test_values_in_short():
     assert reprs.summary_of({"k": list(range(200))}, 160) == "dict {'k': list(len=200) [0, ...]}"
     assert reprs.summary_of({str(i): i for i in range(60)}, 160) == "dict(len=60) {...}"
     assert reprs.summary_of([[[1]]], 160) == "list [[list(len=1)]]"
-    assert reprs.summary_of(("a" * 9,), 5) == "tuple (..." and reprs.summary_of(7, 5) == "int 7"
+    assert reprs.summary_of(("a" * 9,), 5) == "tuple (s..." and reprs.summary_of(7, 5) == "int 7"
     assert reprs.context_of({"a": {1}, "b": (2,)}) == "dict {'a': {1}, 'b': (2,)}"
     assert reprs.context_of({"id": "A", "text": "x" * 5000}).startswith("dict {'id': 'A', 'text': str(len=5000) xxx")
 
