@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import code, fixed, paths, reprs, text
+from marlstone.operators.ordering import numbered
 
 
 def merged(docs: DataFrame, order: list[str]) -> DataFrame:
@@ -17,7 +18,7 @@ def merged(docs: DataFrame, order: list[str]) -> DataFrame:
     whole = docs.filter("path is not null and title is not null and content is not null")
     key = F.struct(*order)
     out = whole.groupBy("repo_id", "path").agg(F.max_by("title", key).alias("title"), F.max_by("content", key).alias("content"), F.min(key).alias("first"))
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("repo_id").orderBy("first"))).drop("first")
+    return numbered(out, ["repo_id"], [F.col("first"), F.col("path")], "place", "merged").withColumn("place", (F.col("place") + 1).cast("int")).drop("first")
 
 
 def overlaid(worker: DataFrame, result: DataFrame) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import fixed, paths
-from marlstone.plans.scratch import cut
+from marlstone.operators.ordering import numbered
+from marlstone.plans.scratch import cut, free
 
 
 def graph_nodes(files: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def graph_nodes(files: DataFrame) -> DataFrame:
 def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Add target, the file that an import names, or null.
 
-    ``imports``: repo_id, path, import_ord, module; ``files``: repo_id, path, file_ord. A module is looked up by its name and
+    ``imports``: repo_id, path, import_ord, module; ``files``: repo_id, path. A module is looked up by its name and
     each dotted prefix of it (a class or submodule of a file), a package by its ``__init__``; the first file in the order of
     the scan wins. Modules that begin with dots count those up from the importing file. Every prefix becomes a row and an
     equi-join, so the work is the length of names, not imports times files.
@@ -30,8 +30,10 @@ def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
     path, module = F.col("path"), F.col("module")
     name = paths.dotted(path)
     package = F.when(name.endswith(".__init__"), F.left(name, F.length(name) - 9))
-    known = files.select("repo_id", F.col("path").alias("target"), "file_ord", F.explode(F.array_compact(F.array(F.struct(name.alias("name"), F.lit(True).alias("whole")), F.when(package.isNotNull(), F.struct(package.alias("name"), F.lit(False).alias("whole")))))).alias("k"))
-    known = known.select("repo_id", "target", "file_ord", F.col("k.name").alias("name"), F.col("k.whole").alias("covers"))
+    known = files.select("repo_id", F.col("path").alias("target"), F.explode(F.array_compact(F.array(
+        F.struct(name.alias("name"), F.lit(True).alias("whole")), F.when(package.isNotNull(), F.struct(package.alias("name"), F.lit(False).alias("whole"))),
+    ))).alias("k"))
+    known = known.select("repo_id", "target", F.col("k.name").alias("name"), F.col("k.whole").alias("covers"))
     labels = F.split(module, r"\.", -1)
     plain = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, 1, n), "."))
     absolute = imports.filter(~module.startswith(".")).withColumn("name", F.explode(plain))
@@ -42,10 +44,10 @@ def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
     joined = F.array_join(F.concat(base, F.when(rest != "", F.split(rest, r"\.", -1)).otherwise(F.array().cast("array<string>"))), "/")
     relative = imports.filter(module.startswith(".")).filter(F.size(paths.parts(path)) > dots).withColumn("bare", joined)
     bare = F.when(F.instr(path, ".") > 0, F.regexp_extract(path, r"^(?s:(.*))\.[^.]*$", 1)).otherwise(path)
-    beside = files.select("repo_id", F.col("path").alias("target"), "file_ord", F.explode(F.array(bare, F.concat(bare, F.lit("/__init__")))).alias("bare"))
+    beside = files.select("repo_id", F.col("path").alias("target"), F.explode(F.array(bare, F.concat(bare, F.lit("/__init__")))).alias("bare"))
     keys = ["repo_id", "path", "import_ord"]
-    hits = found.select(*keys, "target", "file_ord").unionByName(relative.join(beside, ["repo_id", "bare"]).select(*keys, "target", "file_ord"))
-    first = hits.groupBy(*keys).agg(F.min_by("target", "file_ord").alias("target"))
+    hits = found.select(*keys, "target").unionByName(relative.join(beside, ["repo_id", "bare"]).select(*keys, "target"))
+    first = hits.groupBy(*keys).agg(F.min_by("target", paths.parts(F.col("target"))).alias("target"))
     return imports.join(first, keys, "left")
 
 
@@ -82,19 +84,64 @@ def order_of(nodes: list[str], pairs: list[tuple[str, str]]) -> list[str]:
     return out + sorted(n for n, k in waiting.items() if k > 0)
 
 
+def weak_parts(edges_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """repo_id, path, part: the least path that a file is connected with, whatever the direction of imports.
+
+    Large and small stars by turns: every file's greater neighbours are tied to its least one, then its lesser ones are. Each
+    turn is an aggregate and a join on files, and halves what is left of long chains; it ends when nothing moves.
+    """
+    pairs = edges_.select("repo_id", F.col("src").alias("u"), F.col("dst").alias("v")).filter("u <> v")
+    ties = cut(pairs.select("repo_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "ties")
+    keys = ["repo_id", "u"]
+    mark = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("repo_id", "u", "v").cast("decimal(38,0)"))).first()
+    seen = mark(ties)
+    while seen[0]:
+        both = ties.unionByName(ties.select("repo_id", F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy(*keys).agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.filter("v > u").join(least, keys).select("repo_id", F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = large.groupBy(*keys).agg(F.min("v").alias("m"))
+        small = large.join(least, keys).select("repo_id", F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        before, ties = ties, cut(small, "ties")
+        now = mark(ties)
+        free(before)
+        if now == seen:
+            break
+        seen = now
+    roots = ties.groupBy("repo_id", F.col("u").alias("path")).agg(F.min("v").alias("part"))
+    return nodes.select("repo_id", "path").join(roots, ["repo_id", "path"], "left").withColumn("part", F.coalesce("part", "path"))
+
+
 def dependency_order(edges_: DataFrame, nodes: DataFrame) -> DataFrame:
-    """repo_id, pos, path: what is imported comes before what imports it, the least path first among those that may come.
+    """repo_id, pos, path: what is imported comes before what imports it, the least path first among those that may come; what is in or
+    behind a cycle comes last, sorted.
 
-    A repository's graph goes to one task, as each place hangs on all before it; it holds paths alone, no contents.
+    Files that no import connects don't hang on each other: each connected part is ordered in its own task, which holds paths alone.
+    Of several such sequences, the one with the least head goes on, and that is their rows sorted by the greatest path so far.
     """
-    rows = nodes.select("repo_id", F.col("path").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(edges_.select("repo_id", F.col("dst").alias("a"), F.col("src").alias("b")))
+    parts = cut(weak_parts(edges_, nodes), "weak-parts")
+    lists = edges_.groupBy("repo_id", F.col("src").alias("path")).agg(F.collect_set("dst").alias("needs"))
+    rows = parts.join(lists, ["repo_id", "path"], "left")
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lone = pdf["b"].isna()
-        got = order_of(pdf.loc[lone, "a"].tolist(), list(pdf.loc[~lone, ["a", "b"]].drop_duplicates().itertuples(index=False, name=None)))
-        return pd.DataFrame({"repo_id": key[0], "pos": range(len(got)), "path": got})
-
-    return rows.groupBy("repo_id").applyInPandas(one, "repo_id string, pos long, path string")
+        needs = [list(x) if x is not None else [] for x in pdf["needs"]]
+        pairs = [(a, b) for b, some in zip(pdf["path"], needs, strict=True) for a in some]
+        got = order_of(pdf["path"].tolist(), pairs)
+        place = {p: i for i, p in enumerate(got)}
+        # Behind the last file that could be ordered all are in or behind a cycle.
+        stuck = min((place[b] for a, b in pairs if place[a] >= place[b]), default=len(got))
+        top, out = "", []
+        for i, p in enumerate(got):
+            top = max(top, p)
+            out.append((key[0], p, i >= stuck, p if i >= stuck else top, i))
+        return pd.DataFrame(out, columns=["repo_id", "path", "stuck", "top", "place"])
+
+    lone = rows.join(parts.groupBy("repo_id", "part").count().filter("count = 1").drop("count"), ["repo_id", "part"], "left_semi")
+    alone = lone.select("repo_id", "path", F.lit(False).alias("stuck"), F.col("path").alias("top"), F.lit(0).cast("long").alias("place"))
+    tied = rows.join(lone.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
+    placed = tied.groupBy("repo_id", "part").applyInPandas(one, "repo_id string, path string, stuck boolean, top string, place long").unionByName(alone)
+    out = numbered(placed, ["repo_id"], [F.col("stuck"), F.col("top"), F.col("place")], "pos", "dependency-order")
+    free(parts)
+    return out.select("repo_id", "pos", "path")
 
 
 def in_degree(edges_: DataFrame) -> DataFrame:
@@ -117,47 +164,90 @@ def reachable(edges_: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
     return found
 
 
-def cycles(edges_: DataFrame, nodes: DataFrame) -> DataFrame:
+def strong_parts(edges_: DataFrame) -> DataFrame:
+    """repo_id, path, part: files of strongly connected parts of more than one file, with the least path of the part.
+
+    Rounds: edges from files that nothing imports, or to files that import nothing, lie on no cycle and go; then every file takes the least
+    path that leads to it as its colour, and of each colour the files that lead back to that path are a part. What is left
+    within the colours goes on. Each step is a join on what is left; no task holds a repository.
+    """
+    keys = ["repo_id"]
+    left = cut(edges_.select("repo_id", F.col("src").alias("a"), F.col("dst").alias("b")).filter("a <> b").distinct(), "strong")
+    n, parts = left.count(), []
+    while n:
+        begins, ends = left.select("repo_id", F.col("a").alias("b")).distinct(), left.select("repo_id", F.col("b").alias("a")).distinct()
+        trimmed = cut(left.join(begins, [*keys, "b"], "left_semi").join(ends, [*keys, "a"], "left_semi").select("repo_id", "a", "b"), "strong")
+        before, n, left = n, trimmed.count(), trimmed
+        if n < before:
+            continue
+        if not n:
+            break
+        colour = cut(left.select("repo_id", F.col("a").alias("path")).distinct().withColumn("c", F.col("path")), "colours")
+        while True:
+            sent = left.join(colour.select("repo_id", F.col("path").alias("a"), "c"), [*keys, "a"]).groupBy("repo_id", F.col("b").alias("path")).agg(F.min("c").alias("m"))
+            moved = cut(colour.join(sent, [*keys, "path"], "left").select("repo_id", "path", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("moved")), "colours")
+            free(colour)
+            colour = moved
+            if moved.filter("moved").isEmpty():
+                break
+        colour = colour.drop("moved")
+        inside = left.join(colour.select("repo_id", F.col("path").alias("a"), "c"), [*keys, "a"]).join(colour.select("repo_id", F.col("path").alias("b"), F.col("c").alias("d")), [*keys, "b"])
+        inside = cut(inside.filter("c = d").select("repo_id", "a", "b", "c"), "inside")
+        front = reached = colour.filter("path = c").select("repo_id", "path", "c")
+        while True:
+            step = inside.join(front.select("repo_id", F.col("path").alias("b")), [*keys, "b"]).select("repo_id", F.col("a").alias("path"), "c").distinct()
+            front = cut(step.join(reached, ["repo_id", "path", "c"], "left_anti"), "back")
+            if front.isEmpty():
+                break
+            reached = reached.unionByName(front)
+        found = cut(reached.withColumnRenamed("c", "part"), "parts")
+        parts.append(found)
+        gone = found.select("repo_id", "path")
+        rest = inside.join(gone.withColumnRenamed("path", "a"), [*keys, "a"], "left_anti").join(gone.withColumnRenamed("path", "b"), [*keys, "b"], "left_anti")
+        left = cut(rest.select("repo_id", "a", "b"), "strong")
+        n = left.count()
+    out = edges_.sparkSession.createDataFrame([], "repo_id string, path string, part string")
+    for found in parts:
+        out = out.unionByName(found)
+    # The part's name is its least path already, as colours are least paths; parts of one file are none.
+    many = out.groupBy("repo_id", "part").count().filter("count > 1").drop("count")
+    return out.join(many, ["repo_id", "part"], "left_semi").select("repo_id", "path", "part")
+
+
+def cycles(edges_: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """repo_id, path, cycle: the files on a cycle of imports, with the least path of their strongly connected part."""
-    rows = nodes.select("repo_id", F.col("path").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(edges_.select("repo_id", F.col("src").alias("a"), F.col("dst").alias("b")))
+    return strong_parts(edges_).withColumnRenamed("part", "cycle")
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ahead = defaultdict(list)
-        for a, b in pdf.dropna(subset="b")[["a", "b"]].itertuples(index=False, name=None):
-            ahead[a].append(b)
-        parts = [p for p in strong_parts(sorted(set(pdf["a"])), ahead) if len(p) > 1]
-        return pd.DataFrame([(key[0], n, min(p)) for p in parts for n in p], columns=["repo_id", "path", "cycle"])
-
-    return rows.groupBy("repo_id").applyInPandas(one, "repo_id string, path string, cycle string")
-
-
-def strong_parts(nodes: list[str], ahead: dict[str, list[str]]) -> Iterator[list[str]]:
-    """Strongly connected parts, without recursion: nodes in the order of finishing, then backwards along the edges."""
-    done, finished, back = set(), [], defaultdict(list)
-    for a, bs in ahead.items():
-        for b in bs:
-            back[b].append(a)
-    for n in nodes:
-        stack = [(n, False)]
-        while stack:
-            x, left = stack.pop()
-            if left:
-                finished.append(x)
-            elif x not in done:
-                done.add(x)
-                stack.append((x, True))
-                stack += [(y, False) for y in ahead.get(x, ()) if y not in done]
-    seen: set[str] = set()
-    for n in reversed(finished):
-        part, stack = [], [n]
-        while stack:
-            x = stack.pop()
-            if x not in seen:
-                seen.add(x)
-                part.append(x)
-                stack += back.get(x, [])
-        if part:
-            yield part
+
+def cycle_paths(edges_: DataFrame) -> DataFrame:
+    """repo_id, part, cycle: a way around for each edge that leads back to a file on the way to it, first and last file alike.
+
+    Every strongly connected part is walked in a task of its own, from its least path, neighbours in the order of imports, each file
+    once; so a part has at most as many as it has edges, and one at least. ``edges_`` has first_ord.
+    """
+    parts = cut(strong_parts(edges_), "parts")
+    ends = lambda name: parts.select("repo_id", F.col("path").alias(name), F.col("part").alias(f"{name}_part"))
+    own = edges_.join(ends("src"), ["repo_id", "src"]).join(ends("dst"), ["repo_id", "dst"]).filter("src_part = dst_part")
+    lists = own.groupBy("repo_id", F.col("src_part").alias("part"), "src").agg(F.transform(F.array_sort(F.collect_list(F.struct("first_ord", "dst"))), lambda x: x["dst"]).alias("ahead"))
+
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ahead, done, out = dict(zip(pdf["src"], pdf["ahead"], strict=True)), set(), []
+        way, place, todo = [key[1]], {key[1]: 0}, [iter(ahead[key[1]])]
+        while way:
+            step = next(todo[-1], None)
+            if step is None:
+                done.add(way[-1])
+                del place[way.pop()]
+                todo.pop()
+            elif step in place:
+                out.append([*way[place[step] :], step])
+            elif step not in done:
+                place[step] = len(way)
+                way.append(step)
+                todo.append(iter(ahead[step]))
+        return pd.DataFrame({"repo_id": key[0], "part": key[1], "cycle": out})
+
+    return lists.groupBy("repo_id", "part").applyInPandas(walk, "repo_id string, part string, cycle array<string>")
 
 
 def diagram(order: list[str], pairs: list[tuple[str, str]]) -> str:

@@ -17,8 +17,8 @@ def scan_order(path: Column) -> Column:
 
 
 def with_order(files: DataFrame) -> DataFrame:
-    """Add file_ord, the place in the scan of the file's repository, from 1."""
-    return files.withColumn("file_ord", F.row_number().over(Window.partitionBy("repo_id").orderBy(scan_order(F.col("path")))))
+    """Add file_ord, which sorts a repository's files as the scan meets them. It is a key, not a rank: no row needs the others."""
+    return files.withColumn("file_ord", scan_order(F.col("path")))
 
 
 def scanned(files: DataFrame, patterns: list[str] = []) -> DataFrame:  # noqa: B006
@@ -124,7 +124,7 @@ def attention(files: DataFrame, symbols: DataFrame, previous: DataFrame | None =
     placed = files.select("repo_id", "path", "file_ord")
 
     def rule(at: int, rows: DataFrame, metric: Column, message: Column, order: str = "file_ord") -> DataFrame:
-        return rows.select("repo_id", F.lit(at).alias("rule_ord"), F.col(order).cast("long").alias("file_ord"), "path", metric.cast("long").alias("metric"), message.alias("message"))
+        return rows.select("repo_id", F.lit(at).alias("rule_ord"), F.col(order).alias("file_ord"), "path", metric.cast("long").alias("metric"), message.alias("message"))
 
     path, many = F.col("path"), F.col("metric")
     sources = files.filter((F.col("kind") == "source") & F.col("content").isNotNull()).withColumn("metric", text.lines_split(F.col("content").cast("string")))
@@ -132,8 +132,10 @@ def attention(files: DataFrame, symbols: DataFrame, previous: DataFrame | None =
     alone = rule(2, untested(files), F.lit(None), F.concat(F.lit("no tests found for "), path))
     todo = rule(3, marker_increase(files.filter(~paths.is_binary(path)), previous), F.col("todo_count"), F.concat(F.lit("TODO/FIXME count increased in "), path, F.lit(": "), F.col("todo_count").cast("string"), F.lit(" items")))
     first = symbols.join(placed, ["repo_id", "path"]).select("repo_id", "file_ord", F.posexplode("imports").alias("n", "i")).filter("i.internal")
-    first = first.groupBy("repo_id", F.element_at(F.split("i.module", r"\.", -1), -1).alias("stem")).agg(F.min(F.col("file_ord") * F.lit(1_000_000).cast("long") + F.col("n")).alias("first"))
+    first = first.groupBy("repo_id", F.element_at(F.split("i.module", r"\.", -1), -1).alias("stem")).agg(F.min(F.struct("file_ord", "n")).alias("first"))
     heavy = fan_in(symbols, files).filter(F.col("fan_in") >= fixed.HIGH_FAN_IN).withColumn("stem", paths.stem(path)).join(first, ["repo_id", "stem"])
+    # The place of an import follows its file's, so that points sort by file and import.
+    heavy = heavy.withColumn("first", F.concat("first.file_ord", F.array(F.lpad(F.col("first.n").cast("string"), 9, "0"))))
     into = rule(4, heavy, F.col("fan_in"), F.concat(F.lit("high fan-in: "), path, F.lit(" imported by "), F.col("fan_in").cast("string"), F.lit(" files")), "first")
     outer = fan_out(symbols).filter(F.col("fan_out") >= fixed.HIGH_FAN_OUT).join(placed, ["repo_id", "path"])
     out = rule(5, outer, F.col("fan_out"), F.concat(F.lit("high fan-out: "), path, F.lit(" imports "), F.col("fan_out").cast("string"), F.lit(" internal modules")))
@@ -149,20 +151,24 @@ def tree(files: DataFrame, max_depth: int = fixed.TREE_DEPTH, max_nodes: int = f
     steps = kept.select("repo_id", F.col("path").alias("file"), F.explode(F.slice(paths.prefixes(F.col("path")), 1, max_depth)).alias("path"))
     nodes = steps.groupBy("repo_id", "path").agg(F.bool_or(F.col("path") != F.col("file")).alias("is_directory"))
     order = Window.partitionBy("repo_id").orderBy(scan_order(F.col("path")))
-    numbered = nodes.withColumn("node_ord", F.row_number().over(order)).withColumn("truncated", F.count("*").over(Window.partitionBy("repo_id")) > max_nodes)
-    return numbered.filter(F.col("node_ord") <= max_nodes).select("repo_id", "node_ord", "path", F.when(F.col("is_directory"), "dir").otherwise("file").alias("node_type"), paths.category(F.col("path"), F.col("is_directory")).alias("category"), "truncated")
+    # Only the first rows of each task go on to the window.
+    first = nodes.withColumn("node_ord", F.row_number().over(order)).filter(F.col("node_ord") <= max_nodes)
+    whole = nodes.groupBy("repo_id").agg((F.count("*") > max_nodes).alias("truncated"))
+    kind = F.when(F.col("is_directory"), "dir").otherwise("file").alias("node_type")
+    return first.join(whole, "repo_id").select("repo_id", "node_ord", "path", kind, paths.category(F.col("path"), F.col("is_directory")).alias("category"), "truncated")
 
 
 def worklist(files: DataFrame, max_files: int = fixed.WORKLIST_FILES) -> DataFrame:
     """repo_id, work_ord, path, truncated: the first sources in the order of a walk. truncated if any path follows the last, source or not."""
-    every = Window.partitionBy("repo_id")
     path = F.col("path")
     wanted = ~paths.ignored_in_tree(path) & ~paths.is_binary(path) & paths.language(path).isNotNull()
-    order = every.orderBy(scan_order(path))
-    last_dir = F.max(F.struct(scan_order(path)))  # the end of the walk
-    rows = files.select("repo_id", "path", wanted.alias("wanted")).withColumn("work_ord", F.sum(F.col("wanted").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("end", last_dir.over(every)).withColumn("stop", F.max(F.when(F.col("wanted") & (F.col("work_ord") == max_files), F.struct(scan_order(path)))).over(every))
-    return rows.filter(F.col("wanted") & (F.col("work_ord") <= max_files)).select("repo_id", "work_ord", "path", F.coalesce(F.col("stop") < F.col("end"), F.lit(False)).alias("truncated"))
+    order = Window.partitionBy("repo_id").orderBy(scan_order(path))
+    # Only the first rows of each task go on to the window.
+    first = files.filter(wanted).select("repo_id", "path").withColumn("work_ord", F.row_number().over(order).cast("long")).filter(F.col("work_ord") <= max_files)
+    end = files.groupBy("repo_id").agg(F.max(scan_order(path)).alias("end"))
+    stop = first.filter(F.col("work_ord") == max_files).select("repo_id", scan_order(path).alias("stop"))
+    ends = end.join(stop, "repo_id", "left").select("repo_id", F.coalesce(F.col("stop") < F.col("end"), F.lit(False)).alias("truncated"))
+    return first.join(ends, "repo_id")
 
 
 def children(files: DataFrame, at: str = "") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,41 @@ def test_cycle_comes_last(spark):
     assert {r["path"] for r in graph.cycles(edges, nodes).collect()} == {"c", "d"}
 
 
+@pytest.mark.parametrize("seed", range(1))
+def test_random_graphs(spark, seed):
+    """Order, connected parts, cycles and ways around of random graphs of two repositories against plain Python."""
+    draw = random.Random(seed)
+    nodes, pairs = [], []
+    for r, (n, m) in (("r", (40, 34)), ("s", (25, 40))):
+        names = [f"{draw.choice('abc')}/{i:02d}" for i in range(n)]
+        nodes += [(r, x) for x in names]
+        pairs += sorted({(r, *draw.sample(names, 2)) for _ in range(m)})
+    edges = spark.createDataFrame([(*p, i) for i, p in enumerate(pairs)], "repo_id string, src string, dst string, first_ord int")
+    frame = spark.createDataFrame(nodes, "repo_id string, path string")
+    ordered, ringed = graph.dependency_order(edges, frame).collect(), graph.cycles(edges, frame).collect()
+    ways = graph.cycle_paths(edges).collect()
+    for r in "rs":
+        own = [(a, b) for x, a, b in pairs if x == r]
+        want = graph.order_of([p for x, p in nodes if x == r], [(b, a) for a, b in own])
+        assert [x["path"] for x in sorted((x for x in ordered if x["repo_id"] == r), key=lambda x: x["pos"])] == want
+        reach = {p: set() for x, p in nodes if x == r}
+        for _ in reach:
+            for a, b in own:
+                reach[a] |= {b} | reach[b]
+        groups = {p: min(q for q in reach[p] if p in reach[q]) for p in reach if p in reach[p]}
+        assert {x["path"]: x["cycle"] for x in ringed if x["repo_id"] == r} == groups
+        found = [x["cycle"] for x in ways if x["repo_id"] == r]
+        assert all(c[0] == c[-1] and len(set(c)) == len(c) - 1 and set(zip(c, c[1:])) <= set(own) for c in found)
+        assert {groups[c[0]] for c in found} == set(groups.values()) and len(set(map(tuple, found))) == len(found)
+
+
+def test_no_edges(spark):
+    nodes = spark.createDataFrame([("r", "b"), ("r", "a")], "repo_id string, path string")
+    none = spark.createDataFrame([], "repo_id string, src string, dst string, first_ord int")
+    assert column(graph.dependency_order(none, nodes), "path", "pos") == ["a", "b"]
+    assert graph.cycles(none, nodes).count() == graph.cycle_paths(none).count() == 0
+
+
 def test_large_graph_is_a_notice():
     assert graph.diagram([str(i) for i in range(58)], []).startswith("```text") and "Total files: 58" in graph.diagram([str(i) for i in range(58)], [])
 
