@@ -13,6 +13,9 @@ from marlstone.functions import fixed, paths
 from marlstone.operators.ordering import numbered
 from marlstone.plans.scratch import cut, free
 
+#: Steps along edges between two tables that are written.
+STEPS = 3
+
 
 def graph_nodes(files: DataFrame) -> DataFrame:
     """The files that take part: sources in a known language."""
@@ -175,8 +178,11 @@ def strong_parts(edges_: DataFrame) -> DataFrame:
     left = cut(edges_.select("repo_id", F.col("src").alias("a"), F.col("dst").alias("b")).filter("a <> b").distinct(), "strong")
     n, parts = left.count(), []
     while n:
-        begins, ends = left.select("repo_id", F.col("a").alias("b")).distinct(), left.select("repo_id", F.col("b").alias("a")).distinct()
-        trimmed = cut(left.join(begins, [*keys, "b"], "left_semi").join(ends, [*keys, "a"], "left_semi").select("repo_id", "a", "b"), "strong")
+        trimmed = left
+        for _ in range(STEPS):
+            begins, ends = trimmed.select("repo_id", F.col("a").alias("b")).distinct(), trimmed.select("repo_id", F.col("b").alias("a")).distinct()
+            trimmed = trimmed.join(begins, [*keys, "b"], "left_semi").join(ends, [*keys, "a"], "left_semi").select("repo_id", "a", "b")
+        trimmed = cut(trimmed, "strong")
         before, n, left = n, trimmed.count(), trimmed
         if n < before:
             continue
@@ -184,23 +190,26 @@ def strong_parts(edges_: DataFrame) -> DataFrame:
             break
         colour = cut(left.select("repo_id", F.col("a").alias("path")).distinct().withColumn("c", F.col("path")), "colours")
         while True:
-            sent = left.join(colour.select("repo_id", F.col("path").alias("a"), "c"), [*keys, "a"]).groupBy("repo_id", F.col("b").alias("path")).agg(F.min("c").alias("m"))
-            moved = cut(colour.join(sent, [*keys, "path"], "left").select("repo_id", "path", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("moved")), "colours")
+            step = colour.withColumn("old", F.col("c"))
+            for _ in range(STEPS):
+                sent = left.join(step.select("repo_id", F.col("path").alias("a"), "c"), [*keys, "a"]).groupBy("repo_id", F.col("b").alias("path")).agg(F.min("c").alias("m"))
+                step = step.join(sent, [*keys, "path"], "left").select("repo_id", "path", F.least("c", "m").alias("c"), "old")
+            step = cut(step, "colours")
             free(colour)
-            colour = moved
-            if moved.filter("moved").isEmpty():
+            colour = step
+            if step.filter("c <> old").isEmpty():
                 break
-        colour = colour.drop("moved")
+        colour = colour.drop("old")
         inside = left.join(colour.select("repo_id", F.col("path").alias("a"), "c"), [*keys, "a"]).join(colour.select("repo_id", F.col("path").alias("b"), F.col("c").alias("d")), [*keys, "b"])
         inside = cut(inside.filter("c = d").select("repo_id", "a", "b", "c"), "inside")
-        front = reached = colour.filter("path = c").select("repo_id", "path", "c")
-        while True:
-            step = inside.join(front.select("repo_id", F.col("path").alias("b")), [*keys, "b"]).select("repo_id", F.col("a").alias("path"), "c").distinct()
-            front = cut(step.join(reached, ["repo_id", "path", "c"], "left_anti"), "back")
-            if front.isEmpty():
-                break
-            reached = reached.unionByName(front)
-        found = cut(reached.withColumnRenamed("c", "part"), "parts")
+        found, size = cut(colour.filter("path = c").select("repo_id", "path", F.col("c").alias("part")), "parts"), -1
+        while size != (size := found.count()):
+            grown = found
+            for _ in range(STEPS):
+                back = inside.join(grown.select("repo_id", F.col("path").alias("b")), [*keys, "b"]).select("repo_id", F.col("a").alias("path"), F.col("c").alias("part"))
+                grown = grown.unionByName(back).distinct()
+            before_, found = found, cut(grown, "parts")
+            free(before_)
         parts.append(found)
         gone = found.select("repo_id", "path")
         rest = inside.join(gone.withColumnRenamed("path", "a"), [*keys, "a"], "left_anti").join(gone.withColumnRenamed("path", "b"), [*keys, "b"], "left_anti")

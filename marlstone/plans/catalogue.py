@@ -6,36 +6,19 @@ suffix, its text the content, its id the time. These repositories are synthetic;
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import fixed, paths, text, validate
 from marlstone.operators import budget, coverage, documents, graph, inventory
+from marlstone.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from marlstone.plans.scratch import cut
 from marlstone.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
 DIRS = ("src", "tests", "docs", ".github", "lib", "node_modules", "app")
 SUFFIXES = (".py", ".js", ".ts", ".go", ".rs", ".java", ".md", ".txt", ".yaml", ".json", ".png")
 
 
-def query(sql: str | None) -> Callable[[Query], Query]:
-    """Register a query by its name, with its SQL if there is any."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def pick(values: tuple[str, ...], at: F.Column) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
 
@@ -358,10 +341,15 @@ RESOLVED = f"""WITH {FILES}, {IMPORTS},
 
 def imports_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     files = inventory.metadata(corpus_files(spark, sf_dir))
-    nodes = inventory.with_order(graph.graph_nodes(files))
+    nodes = graph.graph_nodes(files)
     names = files.select(F.col("doc_id").alias("to_id"), paths.dotted(F.col("path")).alias("name")).filter("name not like '.%'")
-    of = lambda k, n, tail: nodes.filter(F.col("doc_id") >= k).select("repo_id", "path", F.lit(n).alias("import_ord"), F.expr(f"doc_id div {k}").alias("to_id")).join(names, "to_id").select("repo_id", "path", "import_ord", F.concat("name", F.lit(tail)).alias("module"))
-    return of(2, 0, "").unionByName(nodes.filter("doc_id = 1").select("repo_id", "path", F.lit(0).alias("import_ord"), F.lit(0).cast("long").alias("to_id")).join(names, "to_id").select("repo_id", "path", "import_ord", F.col("name").alias("module"))).unionByName(of(3, 1, ".part")), nodes
+
+    def of(least: int, place: int, divisor: int, tail: str) -> DataFrame:
+        """Imports of the files from an id on: the module of the id divided by a number."""
+        asked = nodes.filter(F.col("doc_id") >= least).select("repo_id", "path", F.lit(place).alias("import_ord"), F.expr(f"doc_id div {divisor}").alias("to_id"))
+        return asked.join(names, "to_id").select("repo_id", "path", "import_ord", F.concat("name", F.lit(tail)).alias("module"))
+
+    return of(1, 0, 2, "").unionByName(of(3, 1, 3, ".part")), nodes
 
 
 @query(f"WITH {FILES}, {IMPORTS} SELECT nodes.path, count(imports.path) AS fan_out FROM nodes LEFT JOIN imports ON nodes.path = imports.path GROUP BY nodes.path")
@@ -411,15 +399,6 @@ def q_topo_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.dependency_order(graph.edges(imports, nodes), nodes).select("pos", "path")
 
 
-@query(None)
-def q_import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges, and one back from each file's first import, so that there are cycles."""
-    imports, nodes = imports_of(spark, sf_dir)
-    edges = graph.edges(imports, nodes)
-    back = edges.filter("first_ord = 0").select("repo_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "first_ord")
-    return graph.cycles(edges.unionByName(back), nodes).select("path", "cycle")
-
-
 #: Turns as steps: those of a conversation are a run, the text is the prompt and an eighth of it the answer.
 TURNS = """
     turns AS (
@@ -491,26 +470,6 @@ def q_collision_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.distinct_names(rows).select(F.col("ord").alias("doc_id"), "out_path")
 
 
-UNSAFE = (("../escape.md", "escape.md"), ("/etc/passwd", "etc/passwd.md"), ("foo/../../bar.md", "foo/bar.md"), ("..\\escape.md", "escape.md"), ("C:\\temp\\escape.md", "temp/escape.md"), ("C:temp\\escape.md", "temp/escape.md"), ("\\\\server\\share\\escape.md", "server/share/escape.md"), ("", "index.md"), ("a/./b", "a/b.md"))
-
-
-def rows_of(spark: SparkSession, values: list[str], name: str) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({sql_list(x)})" for x in UNSAFE) + ") AS t(raw, safe)")
-def q_path_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows_of(spark, [a for a, _ in UNSAFE], "raw").select("raw", paths.safe_path(F.col("raw")).alias("safe"))
-
-
-STATEMENTS = (("from a.b import c", "a.b"), ("import os, sys", "os"), ("import x", "x"), ("use std::io;", "std::io"), ("extern crate rand;", "rand"), ("#include <stdio.h>", "<stdio.h>"), ("require('x')", "require('x')"))
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({sql_list(x)})" for x in STATEMENTS) + ") AS t(statement, target)")
-def q_relationship_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows_of(spark, [a for a, _ in STATEMENTS], "statement").select("statement", text.dependency_target(F.col("statement")).alias("target"))
-
-
 @query("""SELECT user_id AS run_id, event_id AS step, '| ' || event_id || ' | ' || event_type || ' | ' || CASE event_type WHEN 'error' THEN 'ERR' ELSE 'OK' END || ' | '
         || substr(replace(props, '|', '&#124;'), 1, 100) || ' |' AS line FROM events""")
 def q_step_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -520,16 +479,6 @@ def q_step_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.step_history(steps)
 
 
-GOOD = "\n".join(["A thorough account of the project.", *(f"{s}\n- text of this section" for s in fixed.SUMMARY_SECTIONS), "```mermaid\ngraph TD\n```"])
-SUMMARIES = ((GOOD, "0", ""), ("short", "2", ", ".join(fixed.SUMMARY_SECTIONS)), (GOOD.replace("```mermaid", "```"), "1", ""), (GOOD + "\nInitial exploration only", "1", ""), (GOOD + "\nbudget_exceeded", "1", ""), (GOOD.replace("## Uncertainties", "## Doubts"), "1", "## Uncertainties"))
-
-
-@query("SELECT CAST(n AS INTEGER) AS n, CAST(errors AS INTEGER) AS errors, missing FROM (VALUES " + ", ".join(f"({i}, {e}, '{m}')" for i, (_, e, m) in enumerate(SUMMARIES)) + ") AS t(n, errors, missing)")
-def q_section_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(1).select(F.posexplode(F.array(*[F.lit(s) for s, _, _ in SUMMARIES])).alias("n", "summary"))
-    return rows.select("n", F.size(validate.finish_errors(F.col("summary"), F.array().cast("array<string>"))).alias("errors"), F.array_join(validate.missing_sections(F.col("summary")), ", ").alias("missing"))
-
-
 @query(f"WITH {FILES} SELECT path FROM files WHERE kind = 'test'")
 def q_test_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.tests(inventory.metadata(corpus_files(spark, sf_dir))).select("path")

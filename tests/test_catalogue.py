@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from marlstone.plans import catalogue
+from marlstone.plans import catalogue, derived  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -40,32 +40,6 @@ def test_order_covers_all_nodes(spark):
     assert all(place[e["dst"]] < place[e["src"]] for e in edges)
 
 
-def test_cycles(spark):
-    """Members of cycles against brute force: two files are in one if each reaches the other."""
-    imports, nodes = catalogue.imports_of(spark, DIR)
-    edges = {(e["src"], e["dst"]) for e in catalogue.graph.edges(imports, nodes).collect()}
-    edges |= {(e["dst"], e["src"]) for e in catalogue.graph.edges(imports, nodes).filter("first_ord = 0").collect()}
-    ahead = {}
-    for a, b in edges:
-        ahead.setdefault(a, set()).add(b)
-
-    def reached(start):
-        seen, todo = set(), [start]
-        while todo:
-            for b in ahead.get(todo.pop(), ()):
-                if b not in seen:
-                    seen.add(b)
-                    todo.append(b)
-        return seen
-
-    reach = {a: reached(a) for a in ahead}
-    want = {frozenset({a, *(b for b in reach[a] if a in reach.get(b, ()))}) for a in ahead if a in reach[a]}
-    got = {}
-    for r in catalogue.QUERIES["q_import_cycles"](spark, DIR).collect():
-        got.setdefault(r["cycle"], set()).add(r["path"])
-    assert set(map(frozenset, got.values())) == want and want
-
-
 def test_all_rows_take_part(spark):
     """Every document is a file of its own, and none is left out of the states."""
     files = catalogue.corpus_files(spark, DIR)
