@@ -39,7 +39,8 @@ def main(arguments: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("marlstone").getOrCreate()
     if args.command == "scan":
         got = scan.scan(spark, args.root, args.output)
-        print(f"{got.files.count()} files; reports in {args.output}")
+        counts = got.counts.get
+        print(f"{counts['total'] - counts['ignored']} files, {counts['ignored']} ignored; reports in {args.output}")
         return 0
     limits = budget.Limits(max_steps=args.max_steps, max_total_tokens=args.max_total_tokens)
     steps = runs.replay(spark.read.schema(LOG).json(args.log), limits).persist()

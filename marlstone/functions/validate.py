@@ -95,6 +95,28 @@ def completed_summary(summary: Column) -> Column:
     return F.when(lacks, F.concat(F.regexp_replace(summary, r"\s+$", ""), F.lit("\n\n"), added)).otherwise(summary)
 
 
+def normalised_result(result: Column) -> Column:
+    """A result given as JSON, with a nested summary taken out and the required sections filled in; as JSON again.
+
+    A summary that is an object with a text ``summary`` gives way to that text, and its list of documents becomes the result's if that
+    has none. Other keys stay. What isn't an object, or no JSON, stays as it is; null stays null.
+    """
+    whole = F.try_parse_json(result)
+    at = lambda path: F.try_variant_get(whole, path, "variant")
+    is_ = lambda path, kind: F.coalesce(F.schema_of_variant(at(path)).startswith(kind), F.lit(False))
+    text_of = lambda path: F.try_variant_get(whole, path, "string")
+    nested = is_("$.summary", "OBJECT") & is_("$.summary.summary", "STRING")
+    summary = F.when(nested, text_of("$.summary.summary")).when(is_("$.summary", "STRING"), text_of("$.summary"))
+    keys = F.from_json(result, "map<string,variant>")
+    lifted = nested & ~F.map_contains_key(keys, "documents") & is_("$.summary.documents", "ARRAY")
+    one = lambda key, value: F.create_map(F.lit(key), value)
+    none = F.create_map().cast("map<string,variant>")
+    kept = F.map_filter(keys, lambda k, _: (k != "summary") | summary.isNull())
+    new_summary = F.when(summary.isNotNull(), one("summary", F.variant_get(F.parse_json(F.to_json(F.array(completed_summary(summary)))), "$[0]", "variant"))).otherwise(none)
+    documents = F.when(lifted, one("documents", at("$.summary.documents"))).otherwise(none)
+    return F.when(is_("$", "OBJECT"), F.to_json(F.map_concat(kept, new_summary, documents))).otherwise(result)
+
+
 def usable_markdown(markdown: Column) -> Column:
     """A worker's document: 120 characters, no code that ends a run, all sections."""
     low = F.lower(markdown)

@@ -104,6 +104,20 @@ def read_json(artifacts_: DataFrame, path: str) -> DataFrame:
     return artifacts_.filter(F.col("path") == paths.artifact_path(F.lit(path))).select("path", F.parse_json("content").alias("value"))
 
 
+def read_json_files(files: DataFrame, helper: str = "read_json", root_name: str = "") -> DataFrame:
+    """Add value (a variant) and error to rows (path, size, content as text): one of both is null.
+
+    Files over 2 MiB aren't parsed, and paths that lead out of the root aren't read. Null content is no JSON.
+    """
+    size = F.col("size")
+    limit = f" bytes > {fixed.READ_BYTES} bytes limit)"
+    outside = F.when(paths.within_root(F.col("path"), root_name).isNull(), F.concat(F.lit("path escapes root: "), F.col("path")))
+    large = F.when(size > fixed.READ_BYTES, F.concat(F.lit(f"{helper}: file too large ("), size.cast("string"), F.lit(limit)))
+    value = F.when(F.coalesce(outside, large).isNull(), F.try_parse_json("content"))
+    error = F.coalesce(outside, large, F.when(value.isNull(), F.concat(F.lit(f"{helper}: not JSON: "), F.col("path"))))
+    return files.withColumns({"value": value, "error": error})
+
+
 def _block(lines: list[Column | str]) -> Column:
     return F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines])
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import answers, fixed, lexer, paths, reprs, text, validate
-from marlstone.operators import budget, children, coverage, graph
+from marlstone.operators import budget, children, coverage, documents, graph
 from marlstone.plans import publish
 from marlstone.plans.catalogue import EDGES, FILES, corpus_files, imports_of, pick, sql_list
 from marlstone.plans.registry import query
@@ -200,6 +200,35 @@ def q_answer_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", answers.validated_code(answer).alias("v")).select("conv_id", "turn", "v.kind", "v.code", "v.error")
 
 
+#: Files made of documents: JSON with the id and the first letters, or the text as it is; every fifth claims to be over the limit.
+NESTED = """'{"id": ' || doc_id || ', "in": {"word": "' || regexp_extract(text, '[a-z]+') || '"}}'"""
+
+
+@query(f"""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN '../' ELSE 'a/' END || doc_id || '.json' AS path, CASE WHEN doc_id % 5 = 0 THEN {fixed.READ_BYTES} + doc_id ELSE 10 END AS size, regexp_extract(text, '[a-z]+') AS word FROM documents)
+    SELECT path, CASE WHEN doc_id % 7 <> 3 AND size <= {fixed.READ_BYTES} AND doc_id % 3 > 0 THEN word END AS word,
+        CASE WHEN doc_id % 7 = 3 THEN 'path escapes root: ' || path WHEN size > {fixed.READ_BYTES} THEN 'read_json: file too large (' || size || ' bytes > {fixed.READ_BYTES} bytes limit)'
+            WHEN doc_id % 3 = 0 THEN 'read_json: not JSON: ' || path END AS error FROM f""")
+def q_json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    made = F.when(n % 3 == 0, F.concat(F.lit("{broken "), F.left("text", F.lit(50)))).otherwise(F.expr(NESTED.replace("'[a-z]+'", "'[a-z]+', 0")))
+    path = F.concat(F.when(n % 7 == 3, "../").otherwise("a/"), n.cast("string"), F.lit(".json"))
+    files = table(spark, sf_dir, "documents").select(path.alias("path"), F.when(n % 5 == 0, fixed.READ_BYTES + n).otherwise(10).alias("size"), made.alias("content"))
+    return documents.read_json_files(files).select("path", F.try_variant_get("value", "$.in.word", "string").alias("word"), "error")
+
+
+@query(f"""WITH w AS (SELECT doc_id, 'A summary that is longer than forty characters: ' || regexp_extract(text, '[a-z]+') AS s FROM documents)
+    SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'short' ELSE rtrim(s) || {" || ".join(f"chr(10) || chr(10) || '{x}' || chr(10) || chr(10) || '{fixed.PLACEHOLDER}'" for x in fixed.SUMMARY_SECTIONS)} END AS summary,
+        CASE WHEN doc_id % 3 < 2 THEN 'd' || doc_id END AS first_path FROM w""")
+def q_result_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results made of documents: two of three with a nested summary and documents in it."""
+    long = F.concat(F.lit("A summary that is longer than forty characters: "), F.regexp_extract("text", "[a-z]+", 0))
+    docs = F.array(F.struct(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path")))
+    nested = F.to_json(F.struct(F.struct(F.when(F.col("doc_id") % 3 == 0, "short").otherwise(long).alias("summary"), docs.alias("documents")).alias("summary")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 < 2, nested).otherwise(F.to_json(F.struct(long.alias("summary")))).alias("result"))
+    whole = F.parse_json(validate.normalised_result(F.col("result")))
+    return rows.select("doc_id", F.try_variant_get(whole, "$.summary", "string").alias("summary"), F.try_variant_get(whole, "$.documents[0].path", "string").alias("first_path"))
+
+
 # Written documents
 
 

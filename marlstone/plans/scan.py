@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import code, fixed, paths, text
@@ -30,6 +30,8 @@ class Scan:
     docs: DataFrame
     doc_states: DataFrame
     explain: DataFrame
+    #: How many files were met and how many of them a rule left out; known once the files were read, from that very pass.
+    counts: Observation
 
 
 def imports_of(symbols: DataFrame) -> DataFrame:
@@ -41,7 +43,11 @@ def imports_of(symbols: DataFrame) -> DataFrame:
 def analyze(files: DataFrame, previous: DataFrame | None = None, git: DataFrame | None = None, commits: DataFrame | None = None, docs: DataFrame | None = None, patterns: list[str] = [], internal: tuple[str, ...] = fixed.INTERNAL_PREFIXES) -> Scan:  # noqa: B006
     """All frames from rows as :func:`repo.read_tree` gives them. Files are read once: what is parsed from them is cut."""
     spark = files.sparkSession
-    kept = inventory.with_order(inventory.scanned(files, patterns))
+    counts = Observation("scanned files")
+    path = F.col("path")
+    left_out = paths.ignored(path) | paths.matches_ignore_file(path, patterns)
+    seen = files.observe(counts, F.count("*").alias("total"), F.count_if(left_out).alias("ignored"))
+    kept = inventory.with_order(inventory.scanned(seen, patterns))
     meta = inventory.change_status(inventory.metadata(kept), previous, git)
     if commits is not None:
         meta = meta.join(commits, ["repo_id", "path"], "left")
@@ -54,7 +60,7 @@ def analyze(files: DataFrame, previous: DataFrame | None = None, git: DataFrame
     edges = cut(graph.edges(imports_of(symbols), meta), "scan-edges")
     order = cut(graph.dependency_order(edges, graph.graph_nodes(meta)), "scan-order")
     states = coverage.doc_state(meta, docs)
-    return Scan(meta, symbols, inventory.directories(meta), inventory.entrypoints(meta), inventory.tests(meta), inventory.attention(meta, symbols, previous), edges, order, docs, states, coverage.needs_explanation(meta, states, order))
+    return Scan(meta, symbols, inventory.directories(meta), inventory.entrypoints(meta), inventory.tests(meta), inventory.attention(meta, symbols, previous), edges, order, docs, states, coverage.needs_explanation(meta, states, order), counts)
 
 
 def existing_docs(spark: SparkSession, repo_id: str, output_dir: str) -> DataFrame:

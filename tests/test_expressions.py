@@ -1,5 +1,7 @@
 """Expressions and operators over small tables with known results."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +211,35 @@ def test_phase_errors(spark):
     rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, r string")
     got = rows.select("i", validate.phase1_errors(F.col("r")).alias("a"), validate.phase2_errors(F.col("r")).alias("b")).orderBy("i").collect()
     assert [(r["a"], r["b"]) for r in got] == [c[1:] for c in cases]
+
+
+def test_nested_results(spark):
+    long = "A thorough account of the project and all of its parts."
+    rows = [
+        json.dumps({"summary": {"summary": "child", "documents": [{"path": "c.md"}]}, "other": [1, {"a": None}]}),
+        json.dumps({"summary": {"summary": "child", "documents": [{"path": "c.md"}]}, "documents": [1]}),
+        json.dumps({"summary": {"summary": 3}, "documents": None}),
+        json.dumps({"summary": {"summary": "child", "documents": "none"}}),
+        json.dumps({"summary": long + "\n## Relationships"}),
+        "[1, 2]",
+        "not json",
+        None,
+    ]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, r string").select("i", validate.normalised_result(F.col("r")).alias("n"))
+    got = {r["i"]: r["n"] for r in frame.collect()}
+    assert json.loads(got[0]) == {"summary": "child", "documents": [{"path": "c.md"}], "other": [1, {"a": None}]}
+    assert json.loads(got[1]) == {"summary": "child", "documents": [1]}
+    assert json.loads(got[2]) == {"summary": {"summary": 3}, "documents": None} and json.loads(got[3]) == {"summary": "child"}
+    filled = json.loads(got[4])["summary"]
+    assert filled.startswith(long) and "## Uncertainties\n\n- This section was not separated" in filled and filled.count("## Relationships") == 1
+    assert got[5] == "[1, 2]" and got[6] == "not json" and got[7] is None
+
+
+def test_json_files(spark):
+    big = 2 * 1024 * 1024 + 1
+    rows = [("config.json", 30, '{"key": "value", "num": 42}'), ("big.json", big, '{"x": 1}'), ("edge.json", big - 1, "[1]"), ("../outside.json", 3, "{}"), ("bad.json", 3, "{x"), ("none.json", 0, None), ("a/../b.json", 4, "null")]
+    got = {r["path"]: r for r in documents.read_json_files(spark.createDataFrame(rows, "path string, size long, content string")).select("path", "error", F.to_json("value").alias("v")).collect()}
+    assert json.loads(got["config.json"]["v"]) == {"key": "value", "num": 42} and got["edge.json"]["v"] == "[1]" and got["config.json"]["error"] is None
+    assert got["big.json"]["error"] == f"read_json: file too large ({big} bytes > {big - 1} bytes limit)" and got["big.json"]["v"] is None
+    assert "escapes root" in got["../outside.json"]["error"] and "not JSON" in got["bad.json"]["error"] and "not JSON" in got["none.json"]["error"]
+    assert got["a/../b.json"]["error"] is None

@@ -139,6 +139,12 @@ def test_random_graphs(spark, seed):
         assert {groups[c[0]] for c in found} == set(groups.values()) and len(set(map(tuple, found))) == len(found)
 
 
+def test_counts(got):
+    """What the scan has met and left out, counted by the pass that reads the files."""
+    counts = got[0].counts.get
+    assert counts["total"] - counts["ignored"] == len(FILES) and counts["ignored"] >= 0
+
+
 def test_no_edges(spark):
     nodes = spark.createDataFrame([("r", "b"), ("r", "a")], "repo_id string, path string")
     none = spark.createDataFrame([], "repo_id string, src string, dst string, first_ord int")
