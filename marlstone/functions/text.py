@@ -31,20 +31,29 @@ def lines_by_break(text: Column) -> Column:
     return F.when(F.length(text) > 0, newlines(text) + 1).otherwise(0).cast("long")
 
 
-@F.pandas_udf(T.LongType())
-def lines_split(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+#: Where Python ends a line.
+LINE_BREAK = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
+
+
+def lines_split(text: Column) -> Column:
     """Lines as Python splits them, at all its line boundaries: ``a\\n`` has 1."""
-    for x in texts:
-        yield x.map(lambda t: len(t.splitlines()) if t is not None else None).astype("Int64")
+    open_ = F.when((text == "") | text.rlike(rf"(?:{LINE_BREAK})\z"), 0).otherwise(1)
+    return (F.regexp_count(text, F.lit(LINE_BREAK)) + open_).cast("long")
 
 
 @F.pandas_udf(T.StringType())
-def decoded(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Bytes as UTF-8 text without the bytes that aren't."""
+def _without_bad_bytes(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for x in contents:
         yield x.map(lambda b: bytes(b).decode("utf-8", errors="ignore") if b is not None else None)
 
 
+def decoded(content: Column | str) -> Column:
+    """Bytes as UTF-8 text without the bytes that aren't; only such contents are sent to Python."""
+    raw = F.col(content) if isinstance(content, str) else content
+    whole = F.is_valid_utf8(raw.cast("string"))
+    return F.when(whole, raw.cast("string")).otherwise(_without_bad_bytes(F.when(~whole, raw)))
+
+
 def file_hash(content: Column, binary: Column) -> Column:
     """SHA-256 in hex; sentinels for files that aren't read and those that can't be."""
     return F.when(binary, "binary_skipped").otherwise(F.coalesce(F.sha2(content, 256), F.lit("error")))

@@ -161,11 +161,6 @@ def q_file_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.file_info(corpus_files(spark, sf_dir)).select("path", "size_bytes", absent("line_count"), absent("char_count"), "approx_tokens", "language", "binary")
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)licen[sc]e')) AS INTEGER) AS markers FROM documents")
-def q_marker_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit("(?i)licen[sc]e")).cast("int").alias("markers"))
-
-
 SEARCH = "licen"
 
 

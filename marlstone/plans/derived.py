@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import answers, fixed, lexer, paths, reprs, text, validate
-from marlstone.operators import budget, children, coverage, documents, graph
+from marlstone.operators import budget, children, coverage, documents, graph, inventory
+from marlstone.operators.ordering import numbered
 from marlstone.plans import publish
-from marlstone.plans.catalogue import EDGES, FILES, corpus_files, imports_of, pick, sql_list
+from marlstone.plans.catalogue import EDGES, FILES, STATES, corpus_files, imports_of, pick, sql_list, states_of
 from marlstone.plans.registry import query
 from marlstone.plans.scratch import cut
 from marlstone.sources.tables import table
@@ -251,3 +252,104 @@ def q_published_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = run.select("run_id", F.lit(1).alias("step"), F.lit("synthesis").alias("phase"), F.lit("p").alias("prompt"), F.lit("r").alias("response"), F.lit(1).alias("llm_calls"), F.lit("finished").alias("kind"), F.lit("said").alias("stdout"), text_(None).alias("error"), text_(None).alias("result"))
     results = run.select("run_id", F.lit("finished").alias("status"), "result", text_(None).alias("error"), F.lit(1).cast("long").alias("steps"))
     return publish.published(files, results, steps, "corpus").select("path", "kind", F.col("content").startswith("# By the run").alias("by_run"))
+
+
+# Texts, budgets and states
+
+#: A document with a mark at every ``in ``, in mixed case and with other line ends.
+MARKED = "replace(replace(text, 'in ', 'Todo: '), '.', chr(13) || chr(10))"
+
+
+@query(f"""WITH m AS (SELECT doc_id, {MARKED} AS t FROM documents)
+    SELECT doc_id, CAST(len(regexp_extract_all(t, '(?i)(?:TODO|FIXME)[:\\s]+[^\\n]*')) AS INTEGER) AS markers,
+        CASE WHEN t = '' THEN 0 ELSE length(t) - length(replace(t, chr(10), '')) + CASE WHEN ends_with(t, chr(10)) THEN 0 ELSE 1 END END AS lines FROM m""")
+def q_marker_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = table(spark, sf_dir, "documents").select("doc_id", F.expr(MARKED).alias("t"))
+    return marked.select("doc_id", text.markers(F.col("t")).alias("markers"), text.lines_split(F.col("t")).alias("lines"))
+
+
+@query("""WITH e AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM documents),
+    l AS (SELECT doc_id, CASE WHEN len(lines) = 0 THEN 'no detail provided' ELSE lines[-1] END AS t FROM e)
+    SELECT doc_id, CASE WHEN length(t) > 200 THEN substr(t, 1, 197) || '...' ELSE t END AS detail FROM l""")
+def q_error_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.last_line(F.col("text")).alias("detail"))
+
+
+@query("""SELECT event_id, 'kind: ' || event_type || CASE WHEN event_type = 'error' THEN '' ELSE chr(10) || 'stdout:' || chr(10) || props END || CASE WHEN event_type = 'error' THEN chr(10) || 'error: ' || props ELSE '' END
+        || chr(10) || 'state:' || chr(10) || '- event: ' || event_id || chr(10) || '- user: ' || user_id AS prompt FROM events""")
+def q_step_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad, state = F.col("event_type") == "error", F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("event"), F.col("event_id").cast("string"))
+    stdout, error = F.when(bad, "").otherwise(F.col("props")), F.when(bad, F.col("props")).otherwise("")
+    return table(spark, sf_dir, "events").select("event_id", text.prompt_of_step(F.col("event_type"), stdout, error, state).alias("prompt"))
+
+
+#: A worker's document made of a text: sections by the id's bits, and an end of a run in code where bit 5 is set.
+WORKER = " || ".join(["text", *(f"CASE WHEN (doc_id & {1 << i}) > 0 OR doc_id % 3 = 0 THEN chr(10) || '{x}' ELSE '' END" for i, x in enumerate(fixed.WORKER_SECTIONS)), "CASE WHEN (doc_id & 32) > 0 THEN chr(10) || '```python' || chr(10) || 'finish(1)' ELSE '' END"])
+
+
+@query(f"""WITH w AS (SELECT doc_id, {WORKER} AS t FROM documents)
+    SELECT doc_id, length(trim(t, chr(32) || chr(9) || chr(10) || chr(13))) >= 120 AND NOT (contains(lower(t), '```python') AND contains(lower(t), 'finish(')) AND {" AND ".join(f"contains(t, '{x}')" for x in fixed.WORKER_SECTIONS)} AS usable FROM w""")
+def q_usable_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", validate.usable_markdown(F.expr(WORKER)).alias("usable"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR (doc_id & 4) = 0 THEN 'shape' WHEN (doc_id & 1) = 0 THEN 'section' ELSE '' END AS phase1,
+        CASE WHEN doc_id % 4 = 0 OR (doc_id & 4) = 0 THEN 'shape' WHEN (doc_id & 2) = 0 THEN 'section' WHEN (doc_id & 8) = 0 THEN 'diagram' ELSE '' END AS phase2 FROM documents""")
+def q_phase_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of the first two phases made of documents: some without a summary, a section or a diagram."""
+    bit = lambda n, t: F.when(F.col("doc_id").bitwiseAND(n) > 0, t).otherwise("")
+    summary = F.concat(F.regexp_extract("text", "[a-z]+", 0), bit(1, "\n## Major directories"), bit(2, "\n## Relationships"), bit(8, "\n```mermaid"))
+    shaped = (F.col("doc_id") % 4 != 0) & (F.col("doc_id").bitwiseAND(4) > 0)
+    result = F.when(shaped, F.to_json(F.struct(summary.alias("summary")))).otherwise(F.to_json(F.struct(F.array(summary).alias("summary"))))
+    said = lambda x: F.when(F.size(x) == 0, "").when(x[0].startswith("Expected finish"), "shape").when(x[0].contains("diagram"), "diagram").otherwise("section")
+    return table(spark, sf_dir, "documents").select("doc_id", said(validate.phase1_errors(result)).alias("phase1"), said(validate.phase2_errors(result)).alias("phase2"))
+
+
+@query(f"""WITH {FILES}, asked AS (SELECT path AS p FROM files UNION SELECT dir FROM files UNION SELECT path || '.gone' FROM files UNION SELECT '.')
+    SELECT p AS path, p IN (SELECT path FROM files) AS is_file, p = '.' OR p IN (SELECT dir FROM files) AS is_dir, p = '.' OR p IN (SELECT path FROM files) OR p IN (SELECT dir FROM files) AS "exists" FROM asked""")
+def q_path_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = corpus_files(spark, sf_dir)
+    own = files.select("repo_id", F.explode(F.array(F.col("path"), paths.directory(F.col("path")), F.concat("path", F.lit(".gone")), F.lit("."))).alias("path")).distinct()
+    return inventory.existing(files, own).select("path", "is_file", "is_dir", "exists")
+
+
+#: Budgets with a depth and with limits on calls: runs whose number leaves 2 are too deep.
+CALLS = budget.Limits(max_depth=1, max_steps=5, max_global_llm_calls=3, max_worker_llm_calls=1, max_synthesis_llm_calls=2)
+
+
+@query("""WITH t AS (SELECT conv_id AS run_id, turn AS step, CASE WHEN turn % 3 = 1 THEN 'worker' ELSE 'synthesis' END AS phase FROM conversations WHERE conv_id % 3 <= 1),
+    c AS (SELECT *, count(*) OVER (PARTITION BY run_id, phase ORDER BY step) AS own, count(*) OVER (PARTITION BY run_id ORDER BY step) AS every, row_number() OVER (PARTITION BY run_id ORDER BY step) AS n FROM t),
+    b AS (SELECT *, CASE WHEN phase = 'worker' AND own > 1 THEN '[Worker Call Budget Exceeded] max_worker_llm_calls=1 reached' WHEN phase <> 'worker' AND own > 2 THEN '[Synthesis Call Budget Exceeded] max_synthesis_llm_calls=2 reached'
+        WHEN every > 3 THEN '[Global Call Budget Exceeded] max_global_llm_calls=3 reached' END AS violation FROM c),
+    f AS (SELECT *, min(CASE WHEN violation IS NOT NULL THEN step END) OVER (PARTITION BY run_id) AS first FROM b)
+    SELECT run_id, step, violation FROM f WHERE n <= 5 AND (first IS NULL OR step <= first)""")
+def q_call_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    steps = c.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("step"), F.when(F.col("turn") % 3 == 1, "worker").otherwise("synthesis").alias("phase"), F.lit("p").alias("prompt"), F.lit("r").alias("response"), F.lit(1).alias("llm_calls"), (F.col("conv_id") % 3).alias("depth"))
+    return budget.cut_off(budget.violations(budget.running(steps), CALLS), CALLS).select("run_id", "step", "violation")
+
+
+@query(f"""{STATES},
+    placed AS (SELECT path, row_number() OVER (ORDER BY path DESC) - 1 AS pos FROM states WHERE doc_id % 2 = 0)
+    SELECT states.path, coalesce(placed.pos, -1) AS pos, concat_ws(', ', CASE doc_state WHEN 'missing' THEN 'missing doc' WHEN 'stale' THEN 'stale doc' END, CASE WHEN status <> 'unchanged' THEN 'source ' || status END) AS reason
+    FROM states LEFT JOIN placed ON states.path = placed.path WHERE status <> 'unchanged' OR doc_state <> 'valid'""")
+def q_explanation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons in a given order, here that of paths backwards, of every second target; the others have none (-1)."""
+    files, states = states_of(spark, sf_dir)
+    order = numbered(states.filter("doc_id % 2 = 0").select("repo_id", "path"), ["repo_id"], [F.col("path").desc()], "pos")
+    return coverage.needs_explanation(files, states, order).select("path", F.coalesce("pos", F.lit(-1).cast("long")).alias("pos"), "reason")
+
+
+@query(f"""WITH {FILES}, tested AS (SELECT DISTINCT substr(stem, 6) AS s FROM files WHERE starts_with(stem, 'test_') UNION SELECT DISTINCT substr(stem, 1, length(stem) - 5) FROM files WHERE ends_with(stem, '_test')),
+    marked AS (SELECT *, replace(content, 'in ', 'TODO: ') || repeat(chr(10) || 'x', CAST(doc_id % 400 AS INTEGER)) AS t FROM files WHERE kind = 'source'),
+    counted AS (SELECT *, len(regexp_extract_all(t, '(?i)(?:TODO|FIXME)[:\\s]+[^\\n]*')) AS marks, length(t) - length(replace(t, chr(10), '')) + CASE WHEN t = '' OR ends_with(t, chr(10)) THEN 0 ELSE 1 END AS lines FROM marked)
+    SELECT 1 AS rule_ord, path, CAST(lines AS BIGINT) AS metric, 'file is large: ' || path || ', ' || lines || ' lines' AS message FROM counted WHERE lines > {fixed.LARGE_LINES}
+    UNION ALL SELECT 2, path, -1, 'no tests found for ' || path FROM counted WHERE language = 'python' AND strlen(t) >= {fixed.SMALL_BYTES} AND stem NOT IN (SELECT s FROM tested)
+    UNION ALL SELECT 3, path, CAST(marks AS BIGINT), 'TODO/FIXME count increased in ' || path || ': ' || marks || ' items' FROM counted WHERE marks > 0 AND NOT bin""")
+def q_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large, untested and marked sources: documents with a mark at every ``in `` and up to 399 lines more."""
+    marked = F.expr("concat(replace(content, 'in ', 'TODO: '), repeat(concat(chr(10), 'x'), cast(doc_id % 400 as int)))")
+    files = corpus_files(spark, sf_dir).withColumn("content", F.when(paths.kind(F.col("path")) == "source", marked).otherwise(F.col("content")))
+    files = inventory.with_order(inventory.metadata(files.withColumn("size", F.octet_length("content").cast("long"))))
+    none = spark.createDataFrame([], "repo_id string, path string, imports array<struct<module:string,internal:boolean>>")
+    return inventory.attention(files, none).select("rule_ord", "path", F.coalesce("metric", F.lit(-1).cast("long")).alias("metric"), "message")
