@@ -94,15 +94,18 @@ def bodies(docs: DataFrame) -> DataFrame:
     return docs.withColumn("content", body).join(names.drop("path"), ["repo_id", "ord"])
 
 
-def folded(files: DataFrame, summarise: Callable[[Column, Column], Column], max_depth: int = 8) -> DataFrame:
+def folded(files: DataFrame, summarise: Callable[[Column, Column], Column], max_depth: int | None = None) -> DataFrame:
     """repo_id, directory, depth, summary: directories from the deepest up, each made of its files and its directories' summaries.
 
     ``files``: repo_id, path, summary. ``summarise(directory, parts)`` turns the sorted parts into a text. One aggregate for each
-    depth; deeper directories than ``max_depth`` count as at that depth.
+    depth, which is that of the deepest file; with ``max_depth``, files of deeper directories count as in the one at that depth.
     """
     where = F.when(F.instr("path", "/") > 0, F.regexp_extract("path", r"^(?s:(.*))/[^/]*$", 1)).otherwise("")
     level = lambda d: F.when(d == "", 0).otherwise(F.size(F.split(d, "/")))
-    items = files.select("repo_id", F.array_join(F.slice(F.split(where, "/"), 1, max_depth), "/").alias("directory"), F.col("path").alias("name"), "summary")
+    if max_depth is None:
+        max_depth = files.agg(F.max(level(where))).first()[0] or 0
+    directory = F.array_join(F.slice(F.split(where, "/"), 1, max(max_depth, 1)), "/")
+    items = files.select("repo_id", directory.alias("directory"), F.col("path").alias("name"), "summary")
     pending = items.withColumn("depth", level(F.col("directory")))
     out = None
     for depth in range(max_depth, -1, -1):

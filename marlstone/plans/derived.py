@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import answers, fixed, lexer, paths, reprs, text, validate
-from marlstone.operators import budget, children, coverage, documents, graph, inventory
+from marlstone.operators import budget, children, coverage, documents, graph, inventory, runs
 from marlstone.operators.ordering import numbered
 from marlstone.plans import publish
 from marlstone.plans.catalogue import EDGES, FILES, STATES, corpus_files, imports_of, pick, sql_list, states_of
@@ -132,7 +132,7 @@ def q_child_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, at = F.col("conv_id"), F.col("conv_id") % 7
     info = F.struct(F.lit("text").alias("language"), F.col("last").alias("line_count"))
     card = F.struct(F.concat(F.lit("conv/"), n.cast("string")).alias("path"), info.alias("info"), F.left("first", F.lit(80)).alias("excerpt"))
-    runs = own.select(
+    asked = own.select(
         n.alias("run_id"),
         F.when(at == 0, F.lit(None)).when(at % 2 == 1, n - at).otherwise(n - 1).alias("parent_id"),
         F.lit(1).alias("parent_step"),
@@ -141,7 +141,7 @@ def q_child_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 2 == 0, F.to_json(F.struct(card.alias("file")))).alias("context"),
         F.lit(None).cast("string").alias("raised"),
     )
-    _, out = children.replayed(log, runs, TREE_LIMITS, children.child_limits(TREE_LIMITS, max_steps=3, max_local_tokens=500))
+    _, out = children.replayed(log, asked, TREE_LIMITS, children.child_limits(TREE_LIMITS, max_steps=3, max_local_tokens=500))
     answer = F.md5(F.col("answer").cast("binary")).alias("answer_md5")
     return out.select("run_id", "parent_id", "depth", "status", "error", "steps", "local_tokens", "global_after", F.length("answer").alias("answer_chars"), answer, "answer_error")
 
@@ -353,3 +353,14 @@ def q_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = inventory.with_order(inventory.metadata(files.withColumn("size", F.octet_length("content").cast("long"))))
     none = spark.createDataFrame([], "repo_id string, path string, imports array<struct<module:string,internal:boolean>>")
     return inventory.attention(files, none).select("rule_ord", "path", F.coalesce("metric", F.lit(-1).cast("long")).alias("metric"), "message")
+
+
+@query(f"""WITH {FILES},
+    above AS (SELECT path AS child, dir AS directory FROM files
+        UNION SELECT dir, CASE WHEN inner_dir = '' THEN folder ELSE folder || '/' || source END FROM files
+        UNION SELECT folder || '/' || source, folder FROM files UNION SELECT folder, '' FROM files)
+    SELECT directory, CASE WHEN directory = '' THEN 0 ELSE len(string_split(directory, '/')) END AS depth, CAST(count(*) AS VARCHAR) AS summary FROM above GROUP BY directory""")
+def q_folded_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary of each directory from those of its files and directories, deepest first; here their number."""
+    files = corpus_files(spark, sf_dir).select("repo_id", "path", F.left("content", F.lit(40)).alias("summary"))
+    return runs.folded(files, lambda directory, parts: F.size(parts).cast("string")).select("directory", "depth", "summary")

@@ -243,3 +243,13 @@ def test_json_files(spark):
     assert got["big.json"]["error"] == f"read_json: file too large ({big} bytes > {big - 1} bytes limit)" and got["big.json"]["v"] is None
     assert "escapes root" in got["../outside.json"]["error"] and "not JSON" in got["bad.json"]["error"] and "not JSON" in got["none.json"]["error"]
     assert got["a/../b.json"]["error"] is None
+
+
+def test_deep_folds(spark):
+    """Directories of any depth are folded, each into the one above it."""
+    deep = "/".join(f"d{i}" for i in range(12))
+    rows = [("r", f"{deep}/x.py", "X"), ("r", "d0/y.py", "Y"), ("r", "z.py", "Z")]
+    got = runs.folded(spark.createDataFrame(rows, "repo_id string, path string, summary string"), lambda directory, parts: F.array_join(parts, ";")).collect()
+    found = {r["directory"]: r["summary"] for r in got}
+    assert len(found) == 13 and found[deep] == f"{deep}/x.py: X" and found[""].endswith("z.py: Z") and found[""].count("X") == 1
+    assert {r["depth"] for r in got} == set(range(13))
