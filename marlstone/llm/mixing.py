@@ -95,8 +95,9 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
     ``docs`` if None): m_size, m_source_size, m_target (its source's), m_rate and m_copies (0 to ``most``).
 
     Texts that are null or without a word have size 0 and are taken once; a null source is a source of its own; null ids
-    are allowed; rows that are alike count each on their own. An empty table gives no rows. Columns of ``docs`` may have
-    any names that don't begin with ``m_``.
+    are allowed; rows that are alike count each on their own. Of rows of one size the hash of id and text decides which is taken
+    once more; rows alike in these may change places, which changes no sum. Words of very long texts are counted whole, and such
+    a text may be most of its source. An empty table gives no rows. Columns of ``docs`` may have any names that don't begin with ``m_``.
     """
     size = n_words(F.col(text)) if sizes is None else sizes
     keep = tuple(docs.columns) if keep is None else keep
