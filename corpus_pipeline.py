@@ -45,7 +45,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Of each group of documents that share 0.8 of their five-word shingles, directly or through others, the least id stays.
 
     Null ids come last, then the least hash of the text decides; of repeated rows one stays. Texts without words (null, empty)
-    are one group. An empty table stays empty; columns may have any names.
+    are one group. Very long texts are compared whole. An empty table stays empty; columns may have any names.
     """
     return neardup.one_of_each(docs)
 
@@ -54,7 +54,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Each document as often as the mix takes it, up to three times.
 
     A null source is a source of its own; texts without words are taken once; repeated rows count each; rows of one size are
-    ordered by a hash of id and text; an empty table stays empty; columns may have any names.
+    ordered by a hash of id and text; very long texts are counted whole; an empty table stays empty; columns may have any names.
     """
     return mixing.mixed(docs)
 
@@ -63,7 +63,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Where each piece of each document lies: sequence, its length, and the offset in it.
 
     Documents longer than a sequence are cut, none is dropped; one without words gives a line with nulls; copies of the mix
-    are packed each; items of one length are ordered by a hash; an empty table stays empty. Returns doc_id, source and these.
+    are packed each; items of one length are ordered by a hash; null ids and sources stay null, null texts have no words; an empty table stays
+    empty. Returns doc_id, source and these.
     """
     got = packing.pack(docs, keep=("doc_id", "source"))
     return got.select("doc_id", "source", *[F.col(f"p_{c}").alias(c) for c in ("piece", "start", "tokens", "bin", "capacity", "offset")])
