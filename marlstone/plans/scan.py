@@ -5,14 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import code, fixed, paths, text
 from marlstone.operators import coverage, graph, inventory
 from marlstone.plans import render
 from marlstone.plans.scratch import cut
-from marlstone.sources import repo
+from marlstone.sources import repo, tree
 
 
 @dataclass
@@ -40,13 +40,16 @@ def imports_of(symbols: DataFrame) -> DataFrame:
     return rows.select("repo_id", "path", "import_ord", F.col("i.module").alias("module"), F.col("i.internal").alias("internal"))
 
 
+def left_out(patterns: list[str]) -> Column:
+    """Whether a rule leaves the file out of the scan."""
+    return paths.ignored(F.col("path")) | paths.matches_ignore_file(F.col("path"), patterns)
+
+
 def analyze(files: DataFrame, previous: DataFrame | None = None, git: DataFrame | None = None, commits: DataFrame | None = None, docs: DataFrame | None = None, patterns: list[str] = [], internal: tuple[str, ...] = fixed.INTERNAL_PREFIXES) -> Scan:  # noqa: B006
-    """All frames from rows as :func:`repo.read_tree` gives them. Files are read once: what is parsed from them is cut."""
+    """All frames from rows as :func:`tree.read_tree` gives them. Files are read once: what is parsed from them is cut."""
     spark = files.sparkSession
     counts = Observation("scanned files")
-    path = F.col("path")
-    left_out = paths.ignored(path) | paths.matches_ignore_file(path, patterns)
-    seen = files.observe(counts, F.count("*").alias("total"), F.count_if(left_out).alias("ignored"))
+    seen = files.observe(counts, F.count("*").alias("total"), F.count_if(left_out(patterns)).alias("ignored"))
     kept = inventory.with_order(inventory.scanned(seen, patterns))
     meta = inventory.change_status(inventory.metadata(kept), previous, git)
     if commits is not None:
@@ -77,7 +80,9 @@ def scan(spark: SparkSession, root: str, output_dir: str) -> Scan:
     where = f"file://{out.resolve()}/snapshot"
     before = repo.snapshot(spark, where)
     before = cut(before, "scan-before") if before is not None else None
-    got = analyze(repo.read_tree(spark, root), before, repo.git_status(spark, root), repo.git_commits(spark, root), existing_docs(spark, name, output_dir), repo.ignore_patterns(root))
+    patterns = repo.ignore_patterns(root)
+    files = tree.read_tree(spark, root, content=~left_out(patterns))
+    got = analyze(files, before, repo.git_status(spark, root), repo.git_commits(spark, root), existing_docs(spark, name, output_dir), patterns)
     render.write_reports(got, root, out)
     got.files.select("repo_id", "path", "hash", "todo_count", "mtime").write.mode("overwrite").parquet(where)
     return got

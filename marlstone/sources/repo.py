@@ -1,85 +1,12 @@
-"""Readers of repositories: a data source for directory trees, the state of git, ignore files and snapshots."""
+"""What goes with a repository's tree: the state of git, ignore files and snapshots."""
 
 from __future__ import annotations
 
-import os
 import subprocess
-from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-from marlstone.functions import fixed
-
-FILES = "repo_id string, path string, size long, mtime long, mtime_exact double, content binary"
-
-
-class Part(InputPartition):
-    def __init__(self, repo: str, root: str, paths: list[str]) -> None:
-        self.repo, self.root, self.paths = repo, root, paths
-
-
-class TreeReader(DataSourceReader):
-    """Partitions are stretches of the sorted walk of each root; executors read contents, so a root must be mounted on all of them."""
-
-    def __init__(self, options: dict[str, str]) -> None:
-        self.roots = [r for r in options["path"].split(os.pathsep) if r]
-        self.files_each = int(options.get("filesPerPartition", "500"))
-        self.with_content = options.get("content", "true").lower() == "true"
-
-    def partitions(self) -> list[Part]:
-        out = []
-        for root in self.roots:
-            found = sorted(self.walk(root), key=lambda p: p.split("/"))
-            out += [Part(Path(root).resolve().name, root, found[i : i + self.files_each]) for i in range(0, len(found), self.files_each)]
-        return out
-
-    @staticmethod
-    def walk(root: str) -> Iterator[str]:
-        """Regular files that are no symbolic links, hidden ones too; ignored directories aren't entered."""
-        for at, folders, names in os.walk(root):
-            folders[:] = [f for f in folders if f not in fixed.IGNORED_NAMES and not f.endswith(".egg-info") and not os.path.islink(os.path.join(at, f))]
-            for n in names:
-                full = os.path.join(at, n)
-                if os.path.isfile(full) and not os.path.islink(full):
-                    yield os.path.relpath(full, root).replace(os.sep, "/")
-
-    def read(self, part: Part) -> Iterator[tuple]:
-        for p in part.paths:
-            full = os.path.join(part.root, p)
-            try:
-                stat = os.stat(full)
-            except OSError:
-                continue
-            content = None
-            if self.with_content and os.path.splitext(p)[1].lower() not in fixed.BINARY_SUFFIXES:
-                try:
-                    content = Path(full).read_bytes()
-                except OSError:
-                    content = None
-            yield part.repo, p, stat.st_size, int(stat.st_mtime), stat.st_mtime, content
-
-
-class RepoFiles(DataSource):
-    """``spark.read.format("repo_files").load(root)``: every file of a tree, or of several joined by the path separator."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "repo_files"
-
-    def schema(self) -> str:
-        return FILES
-
-    def reader(self, schema: object) -> TreeReader:
-        return TreeReader(self.options)
-
-
-def read_tree(spark: SparkSession, *roots: str, content: bool = True) -> DataFrame:
-    """repo_id, path, size, mtime (whole seconds), mtime_exact, content (null for binary files and those that can't be read)."""
-    spark.dataSource.register(RepoFiles)
-    return spark.read.format("repo_files").option("content", str(content).lower()).load(os.pathsep.join(roots))
 
 
 def ignore_patterns(root: str) -> list[str]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import graph, inventory
 from marlstone.plans import scan
-from marlstone.sources import repo
+from marlstone.sources import tree
 
 FILES = {
     ".github/workflows/deploy.yml": "name: deploy",
@@ -172,7 +172,61 @@ def test_tree_is_capped_and_skips(spark):
 
 
 def test_reader_gives_hidden_files_and_no_links(spark, got):
-    rows = repo.read_tree(spark, str(got[1]))
+    rows = tree.read_tree(spark, str(got[1]))
     names = {r["path"] for r in rows.select("path").collect()}
     assert ".github/workflows/deploy.yml" in names and "link.py" not in names
     assert rows.filter(F.col("path") == "Dockerfile").first()["content"] == b"FROM python:3.9"
+
+
+def wide_tree(root):
+    """A tree of many depths and its files, as a plain walk meets them."""
+    rng = random.Random(3)
+    folders = [""]
+    for i in range(60):
+        folders.append(f"{rng.choice(folders)}/d{i}".lstrip("/"))
+    files = {f"{rng.choice(folders)}/f{i}.{rng.choice(['py', 'png', 'txt'])}".lstrip("/"): "x" * rng.randrange(200) for i in range(150)}
+    lay(root, files)
+    lay(root, {"a/node_modules/x.py": "x", "b/c.egg-info/y": "y"})
+    (root / "empty").mkdir()
+    (root / "loop").symlink_to(root)
+    return files
+
+
+@pytest.mark.parametrize("dirs_each", [1, 4, 500])
+def test_listing_in_rounds_is_the_walk(spark, tmp_path, dirs_each):
+    files = wide_tree(tmp_path)
+    rows = tree.listing(spark, str(tmp_path), str(tmp_path / "nowhere"), dirs_each=dirs_each).collect()
+    assert {r["path"]: r["size"] for r in rows} == {p: len(c) for p, c in files.items()} and len(rows) == len(files)
+    assert {r["repo_id"] for r in rows} == {tmp_path.name}
+
+
+def test_contents_of_wanted_files_alone(spark, tmp_path):
+    files = wide_tree(tmp_path)
+    (tmp_path / "bad.txt").write_text("never opened")
+    (tmp_path / "bad.txt").chmod(0)
+    rows = {r["path"]: r["content"] for r in tree.read_tree(spark, str(tmp_path), content=F.col("size") < 100).collect()}
+    assert rows == {p: c.encode() if len(c) < 100 and not p.endswith(".png") else None for p, c in files.items()} | {"bad.txt": rows["bad.txt"]}
+    assert all(r["content"] is None for r in tree.read_tree(spark, str(tmp_path), content=False).collect())
+
+
+@pytest.mark.parametrize("splits", [1, 8, 1000])
+def test_source_tests_pushed_filters_before_it_reads(spark, tmp_path, splits):
+    files = wide_tree(tmp_path)
+    tree.register(spark)
+    all_rows = spark.read.format("repo_files").option("splits", splits).load(str(tmp_path))
+    assert {r["path"] for r in all_rows.collect()} == set(files)
+    some = all_rows.filter("path like '%.py' and size < 100 and length(content) > 10")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "length(content" in plan.split("BatchScan")[0] and "EndsWith" not in plan.split("BatchScan")[0] and "(size" not in plan.split("BatchScan")[0]
+    assert {r["path"] for r in some.collect()} == {p for p, c in files.items() if p.endswith(".py") and 10 < len(c) < 100}
+    # A file that the filter leaves out isn't opened.
+    reader = tree.TreeReader({"path": str(tmp_path), "content": "true"})
+    opened, old = [], tree.contents
+    list(reader.pushFilters([tree.LessThan(("size",), 100), tree.StringEndsWith(("path",), ".py")]))
+    try:
+        tree.contents = lambda root, path: opened.append(path)
+        for part in reader.partitions():
+            list(reader.read(part))
+    finally:
+        tree.contents = old
+    assert sorted(opened) == sorted(p for p, c in files.items() if p.endswith(".py") and len(c) < 100)
