@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import code, fixed, paths, reprs, text
 from marlstone.operators.ordering import numbered
+from marlstone.plans.scratch import cut
 
 
 def merged(docs: DataFrame, order: list[str]) -> DataFrame:
@@ -27,33 +31,107 @@ def overlaid(worker: DataFrame, result: DataFrame) -> DataFrame:
     return merged(both, ["layer", "ord"])
 
 
+#: A stem up to this length keeps all of itself in every numbered name.
+SHORT = 200
+FAMILY = ["repo_id", "folder", "ext", "root"]
+
+
 def distinct_names(docs: DataFrame) -> DataFrame:
-    """Add out_path to rows (repo_id, ord, path): the safe path, with ``_1``, ``_2``... where an earlier row has the name.
+    """repo_id, ord, path, out_path of rows (repo_id, ord, path): the safe path, with ``_1``, ``_2``... where an earlier row has the name.
 
-    A name depends on all chosen before it in its directory, in the order of ord, so a directory's rows go to one task; these
-    hold names alone.
+    Names meet only where their stems are alike but for numbers at the end. Rows of a stem that meets no other get the number of
+    their place, which takes no window. Where ``a`` and ``a_7`` both occur, the name ``a_7`` goes to whoever comes first; that is
+    settled on the distinct names alone, each with the count of earlier rows of the other, and the rows then skip the numbers that were
+    taken. Stems of over 200 characters lose some to their number, so such rows of one stem go to one task. ord isn't null; rows of one ord stand by path.
     """
-    named = docs.withColumn("safe", paths.safe_path(F.col("path"))).withColumn("folder", paths.directory(F.col("safe")))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = {"analysis_report.md"} if len(pdf) and pdf["folder"].iloc[0] == "./" else set()
-        out, pdf = [], pdf.sort_values("ord")
-        for safe in pdf["safe"]:
-            folder, _, base = safe.rpartition("/")
-            dot = base.rfind(".")
-            stem, ext = (base[:dot], base[dot:]) if dot > 0 else (base, "")
-            fit = lambda tail, s=stem, e=ext: s[: max(1, fixed.NAME_CHARS - len(e) - len(tail))] + tail + e
-            name, n = (base if len(base) <= fixed.NAME_CHARS else fit("")), 0
-            while (full := f"{folder}/{name}" if folder else name) in taken:
-                n += 1
-                name = fit(f"_{n}")
-            taken.add(full)
-            out.append(full)
-        return pdf.assign(out_path=out)[["repo_id", "ord", "path", "out_path"]]
-
+    safe, base, stem = paths.safe_path(F.col("path")), F.col("base"), F.col("stem")
+    split = lambda rows: (
+        rows.withColumn("base", F.regexp_extract("safe", r"([^/]*)\z", 1))
+        .withColumn("folder", F.left("safe", F.length("safe") - F.length(base)))
+        .withColumn("ext", F.regexp_extract(base, r"(?s).(\.[^.]*)\z", 1))
+        .withColumn("stem", F.left(base, F.length(base) - F.length("ext")))
+        .withColumn("root", F.regexp_replace(F.left(stem, F.lit(SHORT)), r"(_[0-9]*)+\z", ""))
+    )
+    named = split(docs.select("repo_id", "ord", "path", safe.alias("safe")))
+    # The report's own name is taken before the first row.
+    report = named.filter("folder = '' and root = 'analysis_report'").select("repo_id").distinct()
+    none = [F.lit(None).cast(named.schema[c].dataType).alias(c) for c in ("ord", "path")]
+    rows = cut(named.unionByName(split(report.select("repo_id", *none, F.lit("analysis_report.md").alias("safe")))), "names")
+    met = cut(rows.groupBy(*FAMILY).agg((F.min("safe") != F.max("safe")).alias("tied"), (F.max(F.length("stem")) > SHORT).alias("long")).filter("tied or long"), "names-met")
+    order = [F.col("ord"), F.col("path")]
+    ranked = numbered(rows.join(met.filter("long"), FAMILY, "left_anti"), ["repo_id", "safe"], order, "k", "names-ranked")
+    if met.filter("not long").isEmpty():
+        placed = ranked.withColumn("at", F.col("k"))
+    else:
+        tied = cut(ranked.join(met.filter("not long"), FAMILY, "left_semi"), "names-tied")
+        placed = ranked.join(met, FAMILY, "left_anti").withColumn("at", F.col("k")).unionByName(_skipping(tied, _taken(tied, order)))
+    number = F.when(F.col("at") > 0, F.concat(F.lit("_"), F.col("at").cast("string"))).otherwise("")
+    short = placed.filter("ord is not null").select("repo_id", "ord", "path", F.concat("folder", "stem", number, "ext").alias("out_path"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    rows = named.select("repo_id", "ord", "path", "safe", "folder")
-    return rows.groupBy("repo_id", "folder").applyInPandas(one, f"repo_id {kinds['repo_id']}, ord {kinds['ord']}, path string, out_path string")
+    cramped = rows.join(met.filter("long"), FAMILY, "left_semi").select("repo_id", "ord", "path", "folder", "stem", "ext", "root")
+    long = cramped.groupBy(*FAMILY).applyInPandas(_cramped, f"repo_id {kinds['repo_id']}, ord {kinds['ord']}, path string, out_path string")
+    return short.unionByName(long)
+
+
+def _taken(tied: DataFrame, order: list[Column]) -> DataFrame:
+    """repo_id, safe, taken: the sorted numbers (0: the bare name) that another stem has when the rows of ``safe`` come to them."""
+    first = F.min(F.struct("ord", "path")).alias("first")
+    own = tied.groupBy(*FAMILY, "safe", "stem").agg(first).select("*", "first.ord", "first.path").drop("first")
+    shape = r"(?s)\A(.*)_([1-9][0-9]{0,17})\z"
+    parent = F.when(F.col("stem").rlike(shape), F.concat("folder", F.regexp_extract("stem", shape, 1), "ext"))
+    own = cut(own.withColumns({"parent": parent, "number": F.try_to_number(F.regexp_extract("stem", shape, 2), F.lit("9" * 18)).cast("long")}), "names-own")
+    asks = own.filter("parent is not null").select("repo_id", F.col("parent").alias("safe"), "ord", "path", F.col("safe").alias("child"))
+    # Of rows and questions in one order, a question's place less the questions before it is the count of rows before it.
+    asks = numbered(asks, ["repo_id", "safe"], [*order, F.col("child")], "turn", "names-asks")
+    both = tied.select("repo_id", "safe", "ord", "path", F.lit(None).cast("string").alias("child"), F.lit(None).cast("long").alias("turn")).unionByName(asks)
+    found = numbered(both, ["repo_id", "safe"], [*order, F.col("child")], "place", "names-asked").filter("child is not null")
+    before = found.select("repo_id", F.col("child").alias("safe"), "turn", (F.col("place") - F.col("turn")).alias("rows_before"))
+    kind = tied.schema["repo_id"].dataType.simpleString()
+    return own.join(before, ["repo_id", "safe"], "left").groupBy(*FAMILY).applyInPandas(_settled, f"repo_id {kind}, safe string, taken array<bigint>")
+
+
+def _settled(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Who has the names that two stems may take; a row for each distinct name, the shorter stem settled first."""
+    asking: dict[str, list[tuple[int, int, int, str]]] = {}
+    for r in pdf[pdf["turn"].notna()].itertuples():
+        asking.setdefault(r.parent, []).append((int(r.turn), int(r.rows_before), int(r.number), r.safe))
+    late: set[str] = set()
+    out = []
+    for safe in sorted(pdf["safe"], key=len):
+        taken = [0] if safe in late else []
+        ahead, up_to, rows = taken[:], 0, 0
+        for _, before, number, child in sorted(asking.get(safe, [])):
+            left, rows = before - rows, before
+            while ahead and ahead[0] < up_to + left:
+                left -= ahead[0] - up_to
+                up_to = heapq.heappop(ahead) + 1
+            up_to += left
+            if number < up_to:
+                late.add(child)
+            else:
+                taken.append(number)
+                heapq.heappush(ahead, number)
+        out.append((safe, sorted(taken)))
+    return pd.DataFrame(out, columns=["safe", "taken"]).assign(repo_id=pdf["repo_id"].iloc[0])[["repo_id", "safe", "taken"]]
+
+
+def _skipping(tied: DataFrame, taken: DataFrame) -> DataFrame:
+    """``tied`` with ``at``, the k-th number that isn't taken: k and the taken numbers that come before it."""
+    skipped = taken.select("repo_id", "safe", F.posexplode("taken").alias("m", "number")).select("repo_id", "safe", (F.col("number") - F.col("m")).alias("k"))
+    both = tied.withColumn("own", F.lit(1)).unionByName(skipped.withColumn("own", F.lit(0)), allowMissingColumns=True)
+    return numbered(both, ["repo_id", "safe"], [F.col("k"), F.col("own")], "at", "names-skipping").filter("own = 1").drop("own")
+
+
+def _cramped(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Names one after the other, where stems are cut so that a name has 255 characters at most."""
+    taken: set[str] = set()
+    out, pdf = [], pdf.sort_values(["ord", "path"])
+    for folder, stem, ext in zip(pdf["folder"], pdf["stem"], pdf["ext"], strict=True):
+        fit = lambda tail, s=stem, e=ext: s[: max(1, fixed.NAME_CHARS - len(e) - len(tail))] + tail + e
+        names = (folder + (fit(f"_{n}") if n else fit("")) for n in itertools.count())
+        out.append(next(n for n in names if n not in taken))
+        taken.add(out[-1])
+    return pdf.assign(out_path=out)[["repo_id", "ord", "path", "out_path"]]
 
 
 def numbered_names(docs: DataFrame, order: str) -> DataFrame:

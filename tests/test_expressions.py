@@ -1,5 +1,6 @@
 """Expressions and operators over small tables with known results."""
 
+import random
 import json
 
 import pytest
@@ -117,6 +118,50 @@ def test_names_that_interplay(spark):
     assert got == {0: "doc.md", 1: "doc_1.md", 2: "doc_2.md", 3: "doc_3.md", 4: "analysis_report_1.md"}
 
 
+def names_one_by_one(rows):
+    """out_path by ord of (ord, safe path) as one who writes file after file picks names."""
+    taken, out = {"analysis_report.md"}, {}
+    for n, safe in sorted(rows):
+        folder, slash, base = safe.rpartition("/")
+        stem = base.removesuffix(".md")
+        for i in range(len(rows) + 2):
+            tail = f"_{i}" if i else ""
+            name = f"{folder}{slash}{stem[: 255 - 3 - len(tail)]}{tail}.md"
+            if name not in taken:
+                break
+        taken.add(name)
+        out[n] = name
+    return out
+
+
+def test_names_as_if_written_one_by_one(spark):
+    rng = random.Random(11)
+    long = "x" * 250
+    pools = [
+        ["doc", "doc_1", "doc_2", "doc_3", "doc_7", "doc_1_1", "doc_1_2", "doc_01", "doc_", "doc_x", "d/doc", "d/doc_1"],
+        [f"a_{i}" if i else "a" for i in range(12)] + ["a"] * 20,
+        ["analysis_report", "analysis_report_1", "analysis_report_2", "b/analysis_report"],
+        [long, long + "_1", long + "_12", long[:248] + "_1", long[:249] + "_1", long + "yz", "x"],
+        ["p", "p_1", "p_1_1", "p_1_1_1", "p_2", "p_1_2", "p_999999999999999999999"],
+    ]
+    cases = {}
+    for c in range(60):
+        pool = rng.choice(pools) + (rng.choice(pools) if c % 3 == 0 else [])
+        cases[f"r{c}"] = [(i, rng.choice(pool) + ".md") for i in range(rng.randrange(1, 60))]
+    rows = spark.createDataFrame([(r, i, p) for r, some in cases.items() for i, p in some], "repo_id string, ord int, path string")
+    got: dict = {}
+    for r in documents.distinct_names(rows).collect():
+        assert got.setdefault(r["repo_id"], {}).setdefault(r["ord"], r["out_path"]) == r["out_path"]
+    assert got == {r: names_one_by_one([(i, safe_name(p)) for i, p in some]) for r, some in cases.items()}
+    assert documents.distinct_names(rows.limit(0)).count() == 0
+
+
+def safe_name(path):
+    """The part of the safe path's rule that these cases need: names of 255 characters, then the suffix."""
+    cut = path[:255]
+    return cut if cut.endswith(".md") else cut + ".md"
+
+
 def test_last_document_wins(spark):
     worker = spark.createDataFrame([("r", "a", "t", "old", 0), ("r", "b", "t", "b", 1)], "repo_id string, path string, title string, content string, ord int")
     result = spark.createDataFrame([("r", "a", "t", "new", 0), ("r", None, "t", "x", 1)], "repo_id string, path string, title string, content string, ord int")
