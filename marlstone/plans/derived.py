@@ -364,3 +364,21 @@ def q_folded_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A summary of each directory from those of its files and directories, deepest first; here their number."""
     files = corpus_files(spark, sf_dir).select("repo_id", "path", F.left("content", F.lit(40)).alias("summary"))
     return runs.folded(files, lambda directory, parts: F.size(parts).cast("string")).select("directory", "depth", "summary")
+
+
+#: Stems that meet in numbered names, by the id: main, main_1 to main_40, main_1_1 to main_5_7, and main_01.
+MET = "CASE doc_id % 4 WHEN 0 THEN 'main' WHEN 1 THEN 'main_' || (doc_id % 40 + 1) WHEN 2 THEN 'main_' || (doc_id % 5 + 1) || '_' || (doc_id % 7 + 1) ELSE CASE WHEN doc_id % 3 = 0 THEN 'main_01' ELSE 'main' END END"
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT doc_id, coalesce(source, '-') AS folder, {MET} AS stem, row_number() OVER (PARTITION BY coalesce(source, '-') ORDER BY doc_id) AS n FROM documents),
+    walk(folder, n, doc_id, name, taken) AS (
+        SELECT folder, n, doc_id, stem, [stem] FROM f WHERE n = 1
+        UNION ALL SELECT folder, n, doc_id, name, list_append(taken, name) FROM (
+            SELECT f.folder, f.n, f.doc_id, w.taken, CASE WHEN NOT list_contains(w.taken, f.stem) THEN f.stem
+                ELSE f.stem || '_' || list_min(list_filter(range(1, len(w.taken) + 2), lambda i: NOT list_contains(w.taken, f.stem || '_' || i))) END AS name
+            FROM walk AS w JOIN f ON f.folder = w.folder AND f.n = w.n + 1))
+    SELECT doc_id, folder || '/' || name || '.md' AS out_path FROM walk""")
+def q_collision_interplay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names where numbered ones meet those that bear a number from the start, a folder for each source."""
+    rows = table(spark, sf_dir, "documents").select(F.lit("corpus").alias("repo_id"), F.col("doc_id").alias("ord"), F.expr(f"coalesce(source, '-') || '/' || {MET}").alias("path"))
+    return documents.distinct_names(rows).select(F.col("ord").alias("doc_id"), "out_path")
