@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Sized
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -259,7 +260,7 @@ def cycle_paths(edges_: DataFrame) -> DataFrame:
     return lists.groupBy("repo_id", "part").applyInPandas(walk, "repo_id string, part string, cycle array<string>")
 
 
-def diagram(order: list[str], pairs: list[tuple[str, str]]) -> str:
+def diagram(order: Sized, pairs: list[tuple[str, str]]) -> str:
     """A Mermaid graph of the files that import or are imported; a notice for over 50 files, or for none."""
     if len(order) > fixed.DIAGRAM_NODES:
         return f"```text\nDependency graph is too large to display as a Mermaid diagram.\nTotal files: {len(order)} (limit: {fixed.DIAGRAM_NODES})\n```"

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import graph, inventory
-from marlstone.plans import scan
+from marlstone.plans import render, scan, sections
 from marlstone.sources import tree
 
 FILES = {
@@ -83,6 +83,40 @@ def test_reports(got):
     assert "  - src/config.py" in (out / "machine_analysis.yaml").read_text()
 
 
+def plain(data):
+    """Nested sections as plain data."""
+    return {k: plain(v) for k, v in data.items()} if isinstance(data, dict) else dict(data) if data.key else list(data.items())
+
+
+def test_reports_are_the_sections_item_by_item(got):
+    made, out = got[0], got[2]
+    found, targets = sections.read(out)
+    data = plain(render.nested(found))
+    assert (out / "machine_analysis.json").read_text() == json.dumps(data, ensure_ascii=False, indent=2)
+    assert (out / "machine_analysis.yaml").read_text() == render.yaml(data)
+    assert [f["path"] for f in data["files"]] == [s["path"] for s in data["symbols"]] == list(FILES)
+    assert list(data["dependency_graph"]) == [p for p in FILES if p in data["dependency_graph"]]
+    assert list(data["repo_map"]["directories"]) == [".github/workflows", "./", "src", "tests"] and data["repo_map"]["entrypoints"][0] == "pyproject.toml: test-cli -> src.runner:main"
+    assert data["attention"] == [r["message"] for r in made.attention.orderBy("rule_ord", "file_ord", "path").collect()]
+    assert data["dependency_graph"]["src/runner.py"] == ["src/config.py"] and targets == found["missing_docs"].rows == made.doc_states.count()
+    # Rows in number, parts and lines agree.
+    assert all(s.rows == sum(1 for _ in s) for s in found.values())
+
+
+def test_sections_of_several_parts_stay_in_order(tmp_path):
+    some = [{"message": f"m{i} \u2028 ü \n"} for i in range(7)]
+    for name, rows in (("part-00000.json", some[:3]), ("part-00001.json", []), ("part-00002.json", some[3:])):
+        (tmp_path / name).write_text("".join(json.dumps(r, ensure_ascii=False) + "\n" for r in rows), encoding="utf-8")
+    parts = sorted(p.name for p in tmp_path.glob("part-*"))
+    listed = sections.Section(tmp_path, 7, parts, lambda r: r["message"])
+    none = sections.Section(tmp_path, 0, [], dict, "path")
+    data = {"a": listed, "b": {"c": none, "d": sections.Section(tmp_path, 0, [])}}
+    assert list(listed.items()) == [r["message"] for r in some]
+    assert json.loads("".join(render.json_pieces(data))) == plain(data)
+    assert "".join(render.json_pieces(data)) == json.dumps(plain(data), ensure_ascii=False, indent=2)
+    assert "\n".join(render.yaml_lines(data)) == render.yaml(plain(data))
+
+
 def test_second_scan_and_stale_documents(spark, got):
     _, root, out = got
     now = os.stat(root / "src/config.py").st_mtime
