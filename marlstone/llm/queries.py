@@ -61,8 +61,8 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class, representative and closest listed link of each document. Odd rows as in :func:`neardup.join`."""
-    return neardup.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "rep_id", "n_links", "link_id", "similarity")
+    """Class, number of linked rows, representative and closest listed link of each document. Odd rows as in :func:`neardup.join`."""
+    return neardup.join(table(spark, sf_dir, "documents"), count_all=True).select("doc_id", "class_id", "rep_id", "n_links", "link_id", "similarity")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

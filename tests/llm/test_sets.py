@@ -261,9 +261,12 @@ def test_listed_links(docs, rows):
 
 
 def test_links_of_a_table(spark):
-    """Whole documents of sf0.01 against brute force: every linked pair of texts is in one class (recall 1)."""
+    """The query over whole documents of sf0.01 against brute force: every linked pair of texts is in one class (recall 1), and counted."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    check_listed(neardup.join(docs).collect(), [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    got = queries.op6_jaccard_join(spark, "/root/testdata/sf0.01").collect()
+    check_listed(got, rows)
+    assert {r["doc_id"]: r["n_links"] for r in got} == {r[0]: n for r, n in zip(rows, brute(rows)[1], strict=True)}
 
 
 @pytest.mark.parametrize("block", [3, 7])
