@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.words import chunks, free_name, word_hashes
-from marlstone.plans.scratch import cut, free
+from marlstone.plans.scratch import PATH, cut, free
 
 #: Tries, depths of their prefixes in the order in which they are tried, bytes of a value in a label.
 TREES, DEPTHS, VALUE = 20, (6, 4, 3, 2), 2
@@ -196,8 +196,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int, text: str, doc_id: str)
                     )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(task, "key binary, rep long, grams array<long>")
-    exact = rows.join(wanted.select("key", F.col("rep").alias("w_rep")), "key").filter(F.col("rep").eqNullSafe(F.col("w_rep")))
-    return exact.groupBy("key").agg(F.first("grams").alias("grams")).select("key", F.size("grams").alias("n"), "grams")
+    # Rows of one key have the same words, and so one set; a condition on rep would be another partitioning, and sets would move twice.
+    return rows.select("key", "grams").join(wanted.select("key"), "key").groupBy("key").agg(F.first("grams").alias("grams")).select("key", F.size("grams").alias("n"), "grams")
 
 
 def found_at(similarity: np.ndarray | float, depth: int) -> np.ndarray | float:
@@ -213,12 +213,45 @@ def depths_for(threshold: float, recall: float) -> tuple[int, ...]:
     raise ValueError(f"{TREES} tries don't find links of similarity {threshold} with a chance of {recall}")
 
 
-def alike(threshold: float) -> tuple[Column, Column]:
-    """Similarity of the sets ``grams`` and ``p_grams``, and whether it reaches the threshold (checked by their sizes first)."""
-    common = F.size(F.array_intersect("grams", "p_grams"))
-    similarity = common / (F.col("n") + F.col("p_n") - common)
-    sizes = F.least("n", "p_n") >= F.lit(threshold) * F.greatest("n", "p_n") - 1e-9
-    return similarity, sizes & (similarity >= threshold - 1e-9)
+def shared(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the ``pairs`` (key, pivot) that are alike. Sets move once to their keys' names and once to their pivot.
+
+    A pivot of more than HOT keys is met in SALTS places, each with its set.
+    """
+    hot = pairs.groupBy("pivot").agg(F.count("*").alias("size")).filter(F.col("size") > HOT).select("pivot")
+    n = hot.count()
+    place = F.lit(0).cast("long")
+    if n:
+        hot = hot.withColumn("hot", F.lit(True))
+        pairs = pairs.join(F.broadcast(hot) if n <= HOT_KEYS else hot, "pivot", "left")
+        place = F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0)
+    dealt = pairs.select("pivot", place.alias("place"), F.col("key").alias("name"))
+    ends = dealt.withColumn("side", F.lit(1)).unionByName(dealt.select("pivot", "place", F.col("pivot").alias("name"), F.lit(0).alias("side")).distinct())
+    rows = ends.join(sets.select(F.col("key").alias("name"), "grams"), "name").select("pivot", "place", "side", "name", "grams")
+    rows = rows.repartition("pivot", "place").sortWithinPartitions("pivot", "place", "side")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot: bytes | None = None
+        own = np.zeros(0, np.uint64)
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+            grams, found = batch.column("grams"), []
+            values, ends = grams.values.to_numpy().view(np.uint64), grams.offsets.to_numpy()
+            names = zip(*(batch.column(c).to_pylist() for c in ("pivot", "side", "name")), strict=True)
+            for k, (now, side, name) in enumerate(names):
+                others = values[ends[k] : ends[k + 1]]
+                if not side:
+                    pivot, own = now, others.copy()
+                elif now == pivot and min(len(own), len(others)) >= threshold * max(len(own), len(others)) - 1e-9:
+                    at = np.minimum(np.searchsorted(own, others), len(own) - 1)
+                    common = int(np.count_nonzero(own[at] == others))
+                    similarity = common / (len(own) + len(others) - common)
+                    if similarity >= threshold - 1e-9:
+                        found.append((name, pivot, similarity))
+            if found:
+                a, b, similarities = zip(*found, strict=True)
+                yield pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "similarity": pa.array(similarities, pa.float64())})
+
+    return rows.select("pivot", "side", "name", "grams").mapInArrow(task, "a binary, b binary, similarity double")
 
 
 def stars(members: DataFrame, at: str, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -226,14 +259,13 @@ def stars(members: DataFrame, at: str, sets: DataFrame, threshold: float) -> tup
 
     The pivot is the least key. Members whose ``root`` is the pivot's have met it already, and buckets of one root are skipped.
     """
-    pivots = members.groupBy(at).agg(F.min(F.struct("key", "root")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high"))
-    pivots = pivots.filter("low <> high").select(at, F.col("p.key").alias("pivot"), F.col("p.root").alias("p_root"))
-    met = cut(salted(members, pivots, at, "key").select("key", "pivot", at, (F.col("root") == F.col("p_root")).alias("known")), "met")
-    pairs = met.filter("not known").select("key", "pivot").distinct()
-    similarity, ok = alike(threshold)
-    both = salted(pairs.join(sets, "key"), sets.select(F.col("key").alias("pivot"), F.col("n").alias("p_n"), F.col("grams").alias("p_grams")), "pivot", "key")
-    links = both.select(F.col("key").alias("a"), F.col("pivot").alias("b"), F.when(ok, similarity).alias("similarity")).filter("similarity is not null")
-    return cut(links, "links"), met
+    pivots = members.groupBy(at).agg(F.min(F.struct("key", "root")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
+    pivots = cut(pivots.filter("low <> high").select(at, "size", F.col("p.key").alias("pivot"), F.col("p.root").alias("p_root")), "pivots")
+    met = cut(spread(members, pivots, at, "size", "key").select("key", "pivot", at, (F.col("root") == F.col("p_root")).alias("known")), "met")
+    pairs = cut(met.filter("not known").select("key", "pivot").distinct(), "pairs")
+    links = cut(shared(sets, pairs, threshold), "links")
+    free(pivots, pairs)
+    return links, met
 
 
 class Groups:
@@ -361,30 +393,39 @@ def in_blocks(members: DataFrame, at: str, sets: DataFrame, threshold: float) ->
     among = F.when(first, F.array().cast("array<struct<kind:int,i:int,j:int,side:int>>")).otherwise(F.transform(numbers(F.col("m")), lambda o: line(F.lit(1), F.least("own", o), F.greatest("own", o), F.col("own"))))
     lines = F.when((F.col("d") == 1) & (F.col("m") == 1), whole_bucket).otherwise(F.concat(across, among))
     dealt = rows.withColumn("own", own).select("key", "root", at, F.explode(lines).alias("line")).select("key", "root", at, "line.*")
+    dealt = cut(dealt, "dealt")  # its size is known then: sets stay where they are if it is small
     full = dealt.join(sets.select("key", "grams"), "key")
     return in_block(full, [at], "root", "a binary, b binary, similarity double", lambda held, one: compare(held, one, threshold))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(key, root) of the connected components of edges (a, b): alternating large and small stars; each round is cut.
+    """(key, root) of the connected components of edges (a, b); root is the least key of a component.
 
-    root is the least key of a component. Stars are aggregates, and joins that spread a hub's edges.
+    In each round every key is replaced by the least of itself and its neighbours, in the edges and in the roots so far; edges
+    between equal keys go, so the graph shrinks. Keys are hashes, which lets chains shrink by a part in each round too. A
+    hub's rows are spread, and each round is cut.
     """
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    last = None
+    roots: DataFrame | None = None
     for _ in range(ROUNDS):
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == last:
-            return edges.select(F.col("a").alias("key"), F.col("b").alias("root"))
-        last = now
+        if edges.isEmpty():
+            return edges.select(F.col("a").alias("key"), F.col("b").alias("root")) if roots is None else roots
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = salted(both, least, "a", "b").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        small = salted(large, large.groupBy("a").agg(F.min("b").alias("m")), "a", "b")
-        links = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-        new = cut(small.select(F.explode(links).alias("e")).select("e.a", "e.b").filter("a <> b").distinct(), "edges")
-        free(edges)
-        edges = new
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("size")), "least")
+        new = spread(edges, least, "a", "size", "b").select(F.col("m").alias("x"), "b")
+        new = spread(new, least.select(F.col("a").alias("b"), "m", "size"), "b", "size", "x").select("x", F.col("m").alias("y")).filter("x <> y")
+        new = cut(new.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
+        if roots is None:
+            now = least.select(F.col("a").alias("key"), F.col("m").alias("root"))
+            setattr(now, PATH, getattr(least, PATH))
+            kept = (edges,)
+        else:
+            sizes = roots.groupBy("root").agg(F.count("*").alias("size")).join(least.select(F.col("a").alias("root"), "m"), "root")
+            sizes = cut(sizes, "sizes")
+            now = cut(spread(roots, sizes, "root", "size", "key", "left").select("key", F.coalesce("m", "root").alias("root")), "roots")
+            kept = (edges, least, roots, sizes)
+        free(*kept)
+        edges, roots = new, now
     raise RuntimeError(f"the graph of links isn't connected up after {ROUNDS} rounds")
 
 
@@ -395,8 +436,8 @@ def with_root(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.drop("root").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
-def linked(docs: DataFrame, classes: DataFrame, n: int, threshold: float, recall: float, text: str, doc_id: str) -> DataFrame | None:
-    """All verified links (a, b, similarity) between keys of ``classes``; None if no two share a bucket."""
+def linked(docs: DataFrame, classes: DataFrame, n: int, threshold: float, recall: float, text: str, doc_id: str) -> tuple[DataFrame, DataFrame] | None:
+    """All verified links (a, b, similarity) between keys of ``classes``, and the sets of all that may have any; None if no two share a bucket."""
     depths = depths_for(threshold, recall)
     names = [f"b{d}" for d in depths]
     rows = classes.filter("n_grams > 0").select("key", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
@@ -414,23 +455,23 @@ def linked(docs: DataFrame, classes: DataFrame, n: int, threshold: float, recall
     for b in names:
         links, met = stars(with_root(members.select("key", b), roots), b, sets, threshold)
         found.append(links)
-        roots = components(reduce(DataFrame.unionByName, found).select("a", "b"))
+        before, roots = roots, components(reduce(DataFrame.unionByName, found).select("a", "b"))
+        free(before)
     # What is left at the last depth: pivots have met all of their bucket.
     left = cut(with_root(met.filter("key <> pivot").select("key", names[-1]), roots), "left")
     every = cut(reduce(DataFrame.unionByName, [*found, in_blocks(left, names[-1], sets, threshold)]), "links")
-    free(members, sets, met, left, *found)
-    return every
+    free(members, met, left, roots, *found)
+    return every, sets
 
 
-def all_links(docs: DataFrame, every: DataFrame, n: int, threshold: float, text: str, doc_id: str) -> DataFrame:
-    """(key, links): the rows of all other texts that each text is linked to. ``every``: key, rep, members, root.
+def all_links(every: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(key, links): the rows of all other texts that each text is linked to. ``every``: key, members, root; ``sets`` has all that are linked.
 
     Each pair of a class is compared, in blocks, so work and rows grow with the square of a class: no other way gives every count.
     """
     mark = F.xxhash64("key", F.lit(7))
     sizes = every.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1")
-    live = cut(salted(every.select("key", "rep", "members", "root"), sizes, "root", "key"), "live")
-    sets = cut(sets_of(docs, live.select("key", "rep"), n, text, doc_id), "sets")
+    live = cut(spread(every.select("key", "members", "root"), cut(sizes, "sizes"), "root", "size", "key"), "live")
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = live.withColumn("own", F.pmod(mark, parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = dealt.select("root", F.lit(1).alias("kind"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "key", "members")
@@ -446,7 +487,7 @@ def all_links(docs: DataFrame, every: DataFrame, n: int, threshold: float, text:
 
     counts = in_block(dealt.join(sets.select("key", "grams"), "key"), ["root"], "members", "key binary, links long", count)
     out = cut(counts.groupBy("key").agg(F.sum("links").alias("links")), "counts")
-    free(live, sets)
+    free(live)
     return out
 
 
@@ -454,7 +495,7 @@ def joined(docs: DataFrame, n: int, threshold: float, recall: float, text: str,
     """What :func:`join` returns, and the cut tables that it reads."""
     meta = cut(sketch(docs, n, text, doc_id), "sketch")
     classes = cut(meta.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("n_grams").alias("n_grams"), F.first("labels").alias("labels")), "classes")
-    found = linked(docs, classes, n, threshold, recall, text, doc_id)
+    found, sets = linked(docs, classes, n, threshold, recall, text, doc_id) or (None, None)
     each = classes.select("key", "rep", "members")
     if found is None:
         every = each.withColumns({"root": F.col("key"), "links": F.lit(0).cast("long"), "best": F.lit(None).cast("struct<similarity:double,key:binary>")})
@@ -468,10 +509,10 @@ def joined(docs: DataFrame, n: int, threshold: float, recall: float, text: str,
     known = every.filter("best is not null").select("key", F.col("best.similarity").alias("similarity"), F.col("best.key").alias("other"))
     best = salted(known, each.select(F.col("key").alias("other"), F.col("rep").alias("link_id")), "other", "key").select("key", "similarity", "link_id")
     full = salted(every.drop("best"), first, "root", "key").join(best, "key", "left")
-    if count_all:
-        full = full.drop("links").join(all_links(docs, every, n, threshold, text, doc_id), "key", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    if count_all and sets is not None:
+        full = full.drop("links").join(all_links(every, sets, threshold), "key", "left").withColumn("links", F.coalesce("links", F.lit(0)))
     full = cut(full.select("key", "members", F.col("root").alias("class_key"), F.col("rep").alias("rep_id"), "class_id", (F.col("members") - 1 + F.col("links")).alias("n_links"), "link_id", "similarity"), "full")
-    free(classes, found, every)
+    free(classes, found, sets, every)
     out = spread(meta.select("doc_id", "t", "key"), full, "key", "members", "doc_id")
     return out.select("doc_id", "t", "class_key", "rep_id", "class_id", "n_links", "link_id", "similarity"), [meta, full]
 

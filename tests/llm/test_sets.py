@@ -392,3 +392,26 @@ def test_depth_is_chosen_at_the_threshold():
     assert neardup.depths_for(0.8, 0.9999) == (6, 4) and neardup.depths_for(0.95, 0.999) == (6,)
     with pytest.raises(ValueError, match="don't find"):
         neardup.depths_for(0.2, 0.9999)
+
+
+def test_sets_move_once(docs, spark):
+    """Of the texts' sets, one exchange brings them to their key; the other is that of the wanted keys."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wanted = neardup.sketch(docs, 5, "text", "doc_id").groupBy("key").agg(F.min("doc_id").alias("rep"))
+        plan = neardup.sets_of(docs, neardup.cut(wanted), 5, "text", "doc_id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_components(spark):
+    """A chain, a hub of more keys than HOT, pairs and a loop: the least key of each part."""
+    names = [i.to_bytes(4, "big") for i in np.random.default_rng(3).permutation(4000).tolist()]
+    edges = [*zip(names[:300], names[1:301], strict=True), *((names[400], x) for x in names[401:2600]), *zip(names[3000:3100], names[3100:3200], strict=True), (names[3999], names[3999])]
+    groups = neardup.Groups(names)
+    for a, b in edges:
+        groups.join(a, b)
+    got = {bytes(r["key"]): bytes(r["root"]) for r in neardup.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
+    assert all(got.get(x, x) == groups.top(x) for x in names)
