@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.words import chunks, labelled_sample, must_be_free, pieces
+from marlstone.llm.words import chunks, fitted, labelled_sample, must_be_free, pieces
 
 SPACE, LATER, SYMBOL, UPPER, LETTER, DIGIT, BANG, BAR = (1 << i for i in range(8))
 KIND = np.zeros(256, np.uint8)
@@ -253,9 +253,15 @@ def train(sample: list[tuple[str, int]], rounds: int = 3, steps: int = 80, penal
     return field
 
 
+def learned(sample: list[tuple[str, int]]) -> Field | None:
+    """As :func:`train`; None where it learns nothing."""
+    field = train(sample)
+    return None if field is START else field
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> Field:
     """Train on at most ``per_class`` documents of each value of ``labels.quality``; everything else covers all rows."""
-    return train(labelled_sample(docs, labels, "quality", per_class))
+    return fitted(labelled_sample(docs, labels, "quality", per_class), learned) or START
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.words import chunks, fold, labelled_sample, must_be_free, pieces
+from marlstone.llm.words import chunks, fitted, fold, labelled_sample, must_be_free, pieces
 
 #: Words of a window; bytes of the grams; bytes of the ordinary dictionary; margins at which a window counts.
 WINDOW, GRAMS, ORDINARY_BYTES, STRONG = 10, (6, 7, 8, 9, 10), 65536, (3, 6)
@@ -237,7 +237,7 @@ def train(sample: list[tuple[str, int]]) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
     """Train on at most ``per_class`` documents of each value of ``labels.toxic``, none of them held out (crc32 of the id modulo 5 is 0)."""
-    return train(labelled_sample(docs, labels, "toxic", per_class, learn=fold(F.col("doc_id")) != 0))
+    return fitted(labelled_sample(docs, labels, "toxic", per_class, learn=fold(F.col("doc_id")) != 0), train)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", prefix: str = "t_") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -152,10 +154,10 @@ def must_be_free(names: list[str], taken: list[str], operator: str) -> None:
         raise ValueError(f"{operator} adds the columns {', '.join(names)}; the input already has {', '.join(clash)}")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, learn: Column | None = None, most_bytes: int = 200_000) -> list[tuple[str, int]]:
-    """(text, label) of up to ``per_class`` documents of each class 0 and 1, chosen by the hash of their id; learn: which rows of labels may be used.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, learn: Column | None = None, most_bytes: int = 200_000) -> DataFrame:
+    """(doc_id, text, label) of up to ``per_class`` documents of each class 0 and 1, chosen by the hash of their id; learn: which rows of labels may be used.
 
-    The bounds are on rows of each class and on the bytes of a text (longer ones don't train), so the driver gets at most
+    The bounds are on rows of each class and on the bytes of a text (longer ones don't train), so there are at most
     ``2 * per_class * most_bytes`` bytes; of repeated labels the greatest counts, of repeated documents the least text.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
@@ -163,4 +165,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.filter("label = 0").orderBy(*order).limit(per_class).unionByName(known.filter("label = 1").orderBy(*order).limit(per_class))
     rows = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
-    return [(r["text"] or "", r["label"]) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
+    return rows
+
+
+def fitted(sample: DataFrame, train: Callable[[list[tuple[str, int]]], Any]) -> Any:
+    """What ``train`` makes of (text, label) of the rows of :func:`labelled_sample`, in the order of their ids. One task trains on the
+    bounded sample, so that its texts and the training need no memory of the driver, which gets the model alone."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((i, t or "", y) for b in batches for i, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "label")), strict=True))
+        model = train([(t, y) for _, t, y in rows])
+        yield pa.record_batch({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    got = sample.select("doc_id", "text", "label").repartition(1).mapInArrow(task, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else train([])

@@ -1,6 +1,7 @@
 """Operators that learn: counts against brute force, exact decoding, held-out accuracy, and every odd row."""
 
 import itertools
+import os
 import zlib
 from collections import Counter
 
@@ -304,3 +305,13 @@ def test_very_long_text(spark):
     hashes, lengths = word_hashes([long.encode(), b"one", b""])
     assert lengths.tolist() == [4_000_000, 1, 0] and len(set(hashes.tolist())) == 11
     assert toxicity.Scorer(toxicity.train([("mild words here", 0), ("vile words there", 1)])).score([long.encode(), b""]).shape == (2,)
+
+
+def test_fitting_leaves_the_driver_alone(spark, monkeypatch):
+    """Models are trained by a task, on the whole sample in the order of its ids."""
+    d, labels = table(spark, DIR, "documents"), table(spark, DIR, "labels")
+    monkeypatch.setattr(toxicity, "train", lambda sample: (os.getpid(), sample))
+    where, sample = toxicity.fit(d, labels)
+    assert where != os.getpid()
+    known = labels.filter("toxic in (0, 1) and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").join(d, "doc_id").orderBy("doc_id").collect()
+    assert sample == [(r["text"] or "", r["toxic"]) for r in known]
