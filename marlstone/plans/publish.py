@@ -29,8 +29,9 @@ def published(files: DataFrame, results: DataFrame, steps: DataFrame, root_name:
     made safe and distinct. A run that didn't finish has an index that tells why, and keeps its other documents.
     """
     sources = cut(coverage.source_files(files).select("repo_id", "path", "content"), "sources")
-    worker = documents.worker_documents(sources).withColumn("ord", F.lit(OF_SOURCES) + F.pmod(F.xxhash64("path"), F.lit(OF_SOURCES)))
-    own = runs.structured(results, root_name).withColumn("ord", F.col("ord").cast("long"))
+    # Five readers follow: written once, or each would look for the definitions again.
+    worker = cut(documents.worker_documents(sources).withColumn("ord", F.lit(OF_SOURCES) + F.pmod(F.xxhash64("path"), F.lit(OF_SOURCES))), "worker")
+    own = cut(runs.structured(results, root_name).withColumn("ord", F.col("ord").cast("long")), "own")
     known = results.select(F.col("run_id").alias("repo_id"))
     # Of one path the run's document stands.
     over = worker.join(own.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_anti").unionByName(own)

@@ -88,3 +88,14 @@ def test_answers_in_wrappings():
     assert "'finish' is a reserved helper" in answers.checked("def finish(): pass")["error"]
     assert answers.checked("a > b\n> c")["kind"] == "invalid_code" and answers.checked("```\n```")["error"] == "No Python code remained after normalization."
     assert answers.checked(None)["error"].startswith("Model returned an empty")
+
+
+def test_prose_is_not_searched_for_headers_before_a_brace(monkeypatch):
+    class Never:
+        pattern = lexer.FINDERS["java"][-1].pattern
+
+        def search(self, *_):
+            raise AssertionError("searched")
+
+    monkeypatch.setitem(lexer.FINDERS, "java", [lexer.FINDERS["java"][0], Never()])
+    assert [s.name for s in lexer.spans("some words (and more) of prose\n class Found of it", "java")] == ["Found"]

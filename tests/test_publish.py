@@ -43,6 +43,12 @@ def test_published(rows):
     assert json.loads(got["one", "artifact", "artifacts/relationships.json"])["relationships"][0]["target"] == "os"
 
 
+def test_definitions_are_looked_for_once(spark):
+    steps = cut(runs.replay(spark.createDataFrame([("one", 1, "synthesis", "p", "finish(1)", 1, None, None, result())], LOG), budget.Limits()))
+    rows = publish.published(spark.createDataFrame(FILES, "repo_id string, path string, content string"), runs.results(steps), steps, "demo")
+    assert "ArrowEvalPython" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_written(spark, rows, tmp_path):
     publish.write(rows, str(tmp_path / "out"))
     found = {p.relative_to(tmp_path / "out").as_posix(): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()}
