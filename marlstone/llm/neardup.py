@@ -448,7 +448,8 @@ def linked(docs: DataFrame, classes: DataFrame, n: int, threshold: float, recall
     if members.isEmpty():
         return None
     wanted = cut(members.select("key").distinct().join(classes.select("key", "rep"), "key"), "wanted")
-    sets = cut(sets_of(docs, wanted, n, text, doc_id), "sets")
+    # Four joins on the key follow: in buckets, sets don't move to them.
+    sets = cut(sets_of(docs, wanted, n, text, doc_id), "sets", "key")
     free(wanted)
     found: list[DataFrame] = []
     roots: DataFrame | None = None

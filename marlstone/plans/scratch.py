@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 OWN_DIR = "spark.marlstone.scratch"
 #: Attribute of a frame that :func:`cut` returns: where its files lie.
 PATH = "_marlstone_scratch"
+#: Begins the names of tables that :func:`cut` makes of frames with a key.
+TABLE = "marlstone_scratch_"
 _written: dict[str, SparkSession] = {}
 
 
@@ -29,18 +31,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` as Parquet below :func:`shared_dir` and read it back. Files go with :func:`free`, :func:`clear` or the driver."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def cut(df: DataFrame, name: str = "cut", key: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet below :func:`shared_dir` and read it back. Files go with :func:`free`, :func:`clear` or the driver.
+
+    With ``key`` it is a table in buckets by that column: joins on it move the other side alone.
+    """
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/{name}-{mark}"
+    if key is None:
+        df.write.parquet(path)
+        frame = spark.read.schema(df.schema).parquet(path)
+    else:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(TABLE + mark)
+        frame = spark.table(TABLE + mark)
     _written[path] = spark
-    frame = spark.read.schema(df.schema).parquet(path)
     setattr(frame, PATH, path)
     return frame
 
 
 def delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        spark.sql(f"DROP TABLE IF EXISTS {TABLE}{path.rsplit('-', 1)[1]}")
     with contextlib.suppress(Exception):
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -415,3 +415,14 @@ def test_components(spark):
         groups.join(a, b)
     got = {bytes(r["key"]): bytes(r["root"]) for r in neardup.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
     assert all(got.get(x, x) == groups.top(x) for x in names)
+
+
+def test_joins_on_a_key_leave_its_table_where_it_is(spark):
+    rows = spark.range(300).select(F.col("id").cast("string").cast("binary").alias("key"), "id")
+    sets = neardup.cut(rows, "sets", "key")
+    joined = rows.hint("merge").join(sets.withColumnRenamed("id", "n"), "key")
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert joined.filter("id = n").count() == 300
+    table = next(t.name for t in spark.catalog.listTables() if t.name.startswith("marlstone_scratch_"))
+    neardup.free(sets)
+    assert not spark.catalog.tableExists(table)
