@@ -58,6 +58,11 @@ class Vocabulary:
     total: np.ndarray | None = None
     sent: dict[bytes, float] = field(default_factory=dict)
 
+    @property
+    def kind(self) -> type[np.integer]:
+        """Numbers that hold a slot: 16 bits where they suffice."""
+        return np.uint16 if len(self.class_of) < 1 << 16 else np.int32
+
     @cached_property
     def order(self) -> np.ndarray:
         """Slots by class."""
@@ -77,7 +82,7 @@ class Vocabulary:
 
     def slots(self, words: list[bytes]) -> np.ndarray:
         get, shared = self.own.get, len(self.class_of) - OWN
-        return np.fromiter((s if (s := get(w)) is not None else shared_slot(w, shared) for w in words), np.int32, count=len(words))
+        return np.fromiter((s if (s := get(w)) is not None else shared_slot(w, shared) for w in words), self.kind, count=len(words))
 
     def shares(self, words: list[bytes], slots: np.ndarray) -> tuple[float, list[bytes]]:
         """Sum of the logs of the words' shares of their shared slots, still without the counts of the words that are returned."""
@@ -269,7 +274,7 @@ def sums(v: Vocabulary, net: Network, texts: list[np.ndarray], block: int = 32_7
 
 
 def tokens(docs: DataFrame, v: Vocabulary, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(row, doc_id, slots, known, rare): the slots of all words of each row as 32-bit numbers, and what ``shares`` gives."""
+    """(row, doc_id, slots, known, rare): the slots of all words of each row as numbers of ``v.kind``, and what ``shares`` gives."""
     kind = docs.schema[doc_id].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(v)
 
@@ -290,10 +295,10 @@ def tokens(docs: DataFrame, v: Vocabulary, text: str = "text", doc_id: str = "do
     return rows.mapInArrow(task, f"row long, doc_id {kind}, slots binary, known double, rare array<binary>")
 
 
-def slots_in(batch: pa.RecordBatch, most: int = 512) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def slots_in(batch: pa.RecordBatch, kind: type[np.integer], most: int = 512) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for i in range(0, batch.num_rows, most):
         part = batch.slice(i, most)
-        yield part, [np.frombuffer(x, np.int32) for x in part.column("slots").to_pylist()]
+        yield part, [np.frombuffer(x, kind) for x in part.column("slots").to_pylist()]
 
 
 def targets(texts: list[np.ndarray], round_: int, rounds: int) -> np.ndarray:
@@ -356,7 +361,7 @@ def train(rows: DataFrame, v: Vocabulary, all_tokens: int, rounds: int = ROUNDS)
         def task(batches: Iterator[pa.RecordBatch], sent=sent, round_=round_) -> Iterator[pa.RecordBatch]:
             flat, v = sent.value
             total, seen = np.zeros(len(flat), np.int64), 0
-            lines = ((s, np.frombuffer(x, np.int32)) for b in batches for k in range(0, b.num_rows, 256) for s, x in zip(b.column("shard")[k : k + 256].to_pylist(), b.column("slots")[k : k + 256].to_pylist(), strict=True))
+            lines = ((s, np.frombuffer(x, v.kind)) for b in batches for k in range(0, b.num_rows, 256) for s, x in zip(b.column("shard")[k : k + 256].to_pylist(), b.column("slots")[k : k + 256].to_pylist(), strict=True))
             for _, own in groupby(lines, lambda line: line[0]):
                 n, change = shard_change(flat, v, (x for _, x in own), round_, rounds)
                 total += np.rint(np.clip(change, -1e9, 1e9) * UNIT / SHARD_TOKENS).astype(np.int64)
@@ -399,7 +404,7 @@ def score(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, held: int =
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, net = sent.value
         for batch in batches:
-            for part, texts in slots_in(batch):
+            for part, texts in slots_in(batch, v.kind):
                 found = sums(v, net, texts) + part.column("known").to_numpy()
                 yield pa.record_batch({"row": part.column("row"), "doc_id": part.column("doc_id"), "n_tokens": pa.array([len(t) for t in texts], pa.int64()), "part": pa.array(found)})
 

@@ -315,3 +315,12 @@ def test_fitting_leaves_the_driver_alone(spark, monkeypatch):
     assert where != os.getpid()
     known = labels.filter("toxic in (0, 1) and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").join(d, "doc_id").orderBy("doc_id").collect()
     assert sample == [(r["text"] or "", r["toxic"]) for r in known]
+
+
+def test_slots_take_two_bytes_where_they_fit():
+    lm = pseudolikelihood
+    share = np.full(lm.PAD, 1 / lm.PAD)
+    v = lm.Vocabulary({}, np.zeros(lm.PAD, np.uint16), np.log(share).astype(np.float32), np.ones(1, np.float32))
+    assert v.slots([b"a", b"b"]).dtype.itemsize == 2
+    wide = lm.Vocabulary({}, np.zeros(1 << 16, np.uint16), np.zeros(1 << 16, np.float32), np.ones(1, np.float32))
+    assert wide.slots([b"a", b"b"]).dtype.itemsize == 4
