@@ -2,8 +2,9 @@
 
 The vocabulary is counted over all documents: the commonest words have a slot of their own, all others share hashed slots,
 whose number grows as the root of the distinct words. Slots are cut into classes of near equal mass. The network maps the
-words on both sides of a token to a distribution over classes and to one over the slots of each class (a softmax of two
-levels); within a shared slot each word has its own share of the slot's count. The sum of log-probabilities of a document's
+words on both sides of a token to a distribution over classes (a softmax) and to the turns that lead to a slot within its
+class, in a tree of halves: their number grows as the log of the slots, so a token costs little more in a larger vocabulary.
+Both depend on the context; within a shared slot each word has its own share of the slot's count. The sum of log-probabilities of a document's
 tokens, each with all others given, is its pseudo-log-likelihood.
 
 Training is data-parallel over shards of documents: a document's shard and its place in it follow from its words and id, so they
@@ -23,6 +24,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,37 +66,28 @@ class Vocabulary:
         return np.uint16 if len(self.class_of) < 1 << 16 else np.int32
 
     @cached_property
-    def order(self) -> np.ndarray:
-        """Slots by class."""
-        return np.argsort(self.class_of, kind="stable")
-
-    @cached_property
-    def place(self) -> np.ndarray:
-        """Place of each slot in ``order``."""
-        place = np.empty(len(self.order), np.int64)
-        place[self.order] = np.arange(len(self.order))
-        return place
-
-    @cached_property
-    def begin(self) -> np.ndarray:
-        """Where each class begins in ``order``, and the end."""
-        return np.searchsorted(self.class_of[self.order], np.arange(len(self.class_share) + 1))
+    def tree(self) -> Tree:
+        return Tree.of(self)
 
     def slots(self, words: list[bytes]) -> np.ndarray:
         get, shared = self.own.get, len(self.class_of) - OWN
         return np.fromiter((s if (s := get(w)) is not None else shared_slot(w, shared) for w in words), self.kind, count=len(words))
 
-    def shares(self, words: list[bytes], slots: np.ndarray) -> tuple[float, list[bytes]]:
-        """Sum of the logs of the words' shares of their shared slots, still without the counts of the words that are returned."""
-        at = np.flatnonzero(slots >= OWN)
-        known, rare = -float(self.total[slots[at]].sum()), []
-        for i in at.tolist():
-            n = self.sent.get(words[i])
-            if n is None:
-                rare.append(words[i])
-            else:
-                known += n
-        return known, rare
+    @cached_property
+    def listed(self) -> tuple[pa.Array, np.ndarray]:
+        """Words with a slot of their own, by slot, and those that are sent; logs of the counts of the latter."""
+        return pa.array([*sorted(self.own, key=self.own.get), *self.sent], pa.large_binary()), np.array([0.0] * len(self.own) + list(self.sent.values()))
+
+    def coded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slots of different words, logs of their shares of shared slots (0 for others), and which of these still lack the count of the word."""
+        listed, log = self.listed
+        at = pc.index_in(words, value_set=listed).fill_null(-1).to_numpy().astype(np.int64)
+        others = np.flatnonzero((at < 0) | (at >= len(self.own)))
+        slots, known = at.copy(), np.zeros(len(at))
+        slots[others] = self.slots(words.take(pa.array(others)).to_pylist())
+        if len(others):
+            known[others] = np.where(at[others] < 0, 0.0, log[at[others]]) - self.total[slots[others]]
+        return slots.astype(self.kind), known, at < 0
 
 
 def word_hash(word: bytes) -> int:
@@ -105,6 +98,17 @@ def shared_slot(word: bytes, shared: int = SHARED) -> int:
     return OWN + word_hash(word) % shared
 
 
+def split(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Different words of some texts, the word at each place (as its number), and the number of words of each text."""
+    parts = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+    coded = parts.values.dictionary_encode()
+    words, codes, ends = coded.dictionary.view(pa.large_binary()), coded.indices.to_numpy(), parts.offsets.to_numpy()
+    full = np.ones(len(codes), bool)
+    if (empty := pc.index(words, pa.scalar(b"", pa.large_binary())).as_py()) >= 0:  # beside spaces at the ends of a text
+        full = codes != empty
+    return words, codes[full], np.diff(np.r_[0, np.cumsum(full)][ends])
+
+
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, hash, n) over all documents; tasks send partial counts of bounded size."""
 
@@ -116,9 +120,11 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
             return pa.record_batch({"word": pa.array(words, pa.binary()), "hash": pa.array([word_hash(w) for w in words], pa.int64()), "n": pa.array(list(held.values()), pa.int64())})
 
         for batch in batches:
-            for _, texts in chunks(batch, "text", 1_000_000):
-                for t in texts:
-                    held.update(t.split())
+            for _, texts in chunks(batch, "text", 4_000_000):
+                words, codes, _ = split(texts)
+                for w, n in zip(words.to_pylist(), np.bincount(codes, minlength=len(words)).tolist(), strict=True):
+                    if n:
+                        held[w] += n
                 if len(held) > HELD_WORDS:
                     yield lines()
                     held.clear()
@@ -160,9 +166,55 @@ def vocabulary(counts: DataFrame, held: int = SENT_WORDS) -> tuple[Vocabulary, D
     return v, rest.filter((F.col("n") > 1) & (F.col("n") < least)).select("word", F.log(F.col("n").cast("double")).alias("log_n"))
 
 
+@dataclass(frozen=True)
+class Tree:
+    """The slots of each class halved again and again, so that a slot is found by some log2(slots of the class) turns.
+
+    Words of a class lie by spelling, as those that begin alike are more often of one language and told by one context.
+    place: leaf of each slot, those of large classes first; turn: of each level and leaf, twice the node (0 if there is none), and
+    one more where the leaf lies in the second half; ends: leaves of the classes that have the level; prior: of each node, log of
+    the odds of its second half by the counts.
+    """
+
+    place: np.ndarray
+    turn: np.ndarray
+    ends: np.ndarray
+    prior: np.ndarray
+
+    @staticmethod
+    def of(v: Vocabulary) -> Tree:
+        many, spelt = np.bincount(v.class_of, minlength=len(v.class_share))[v.class_of], np.arange(len(v.class_of))
+        spelt[[v.own[w] for w in sorted(v.own)]] = np.arange(len(v.own))
+        order = np.lexsort((spelt, v.class_of, -many))
+        size, kind = len(order), v.kind
+        place = np.empty(size, kind)
+        place[order] = np.arange(size)
+        mass = np.r_[0, np.cumsum(np.exp(v.within[order].astype(np.float64)))]
+        at, classes, held = np.arange(size), v.class_of[order], many[order]
+        lo = np.maximum.accumulate(np.where(np.r_[True, classes[1:] != classes[:-1]], at, 0))
+        hi = lo + held
+        prior, turn, ends = np.full(size, -np.inf), [], []
+        while (inside := hi - lo > 1).any():
+            ends.append(int((held > 1 << len(ends)).sum()))
+            mid = np.where(inside, (lo + hi + 1) // 2, 0)
+            right = inside & (at >= mid)
+            m = mid[inside]
+            prior[m] = np.log(np.maximum(mass[hi[inside]] - mass[m], 1e-300)) - np.log(np.maximum(mass[m] - mass[lo[inside]], 1e-300))
+            turn.append(2 * mid + right)
+            lo, hi = np.where(right, mid, lo), np.where(inside & ~right, mid, hi)
+        return Tree(place, np.array(turn, np.int32).reshape(len(ends), size), np.array(ends, np.int64), prior.astype(np.float32))
+
+    def turns(self, leaves: np.ndarray) -> tuple[list[slice], np.ndarray, np.ndarray]:
+        """Of leaves in order: the part of each level, for the first ones always; nodes and turns by level. Equal nodes are neighbours."""
+        many = np.searchsorted(leaves, self.ends)
+        ends = np.cumsum(many).tolist()
+        turn = np.concatenate([np.zeros(0, np.int32), *(level.take(leaves[:k]) for level, k in zip(self.turn, many.tolist(), strict=True))])
+        return [slice(end - k, end) for k, end in zip(many.tolist(), ends, strict=True)], turn >> 1, (turn & 1).astype(np.float32)
+
+
 @dataclass
 class Network:
-    """embed (slots + pad, EMBED), mix (2 * SIDE * EMBED, HIDDEN), bias, out (HIDDEN, classes), out_bias, inner (slots by class, HIDDEN)."""
+    """embed (slots + pad, EMBED), mix (2 * SIDE * EMBED, HIDDEN), bias, out (HIDDEN, classes), out_bias, inner (nodes of the tree, HIDDEN)."""
 
     embed: np.ndarray
     mix: np.ndarray
@@ -188,88 +240,136 @@ class Network:
         ends = np.cumsum([int(np.prod(s)) for s in shapes])
         return Network(*(part.reshape(s).copy() for part, s in zip(np.split(flat, ends[:-1]), shapes, strict=True)))
 
-    def logits(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = self.embed[context].reshape(len(context), -1)
-        h = np.tanh(x @ self.mix + self.bias)
-        return x, h, h @ self.out + self.out_bias
-
-    def by_class(self, v: Vocabulary, h: np.ndarray, slots: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each class: its part of ``inner``, its rows of h, the places of their slots in the class, the slots' logits."""
-        wanted = v.class_of[slots]
-        order = np.argsort(wanted, kind="stable")
-        cuts = np.searchsorted(wanted[order], np.arange(len(v.class_share) + 1))
-        prior, place = v.within[v.order], v.place[slots]
-        for c in np.flatnonzero(np.diff(cuts)).tolist():
-            rows, part = order[cuts[c] : cuts[c + 1]], slice(v.begin[c], v.begin[c + 1])
-            yield part, rows, place[rows] - part.start, h[rows] @ self.inner[part].T + prior[part]
-
     def learn(self, context: np.ndarray, target: np.ndarray, rate: float, v: Vocabulary | None = None, slots: np.ndarray | None = None) -> None:
-        """One step of gradient descent on the cross-entropy of the class, and of the slot within it where slots are given."""
-        x, h, z = self.logits(context)
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(target)), target] -= 1
-        p /= len(target)
-        dh = p @ self.out.T
-        scale = rate * 10
+        """One step of gradient descent on the cross-entropy of the class, and of the turns to the slot within it where slots are given."""
+        count, scale = len(target), rate * 10
         if slots is not None:
-            for part, rows, at, z in self.by_class(v, h, slots):
-                q = np.exp(z - z.max(axis=1, keepdims=True))
-                q /= q.sum(axis=1, keepdims=True)
-                q[np.arange(len(at)), at] -= 1
-                q /= len(target)
-                dh[rows] += q @ self.inner[part]
-                # The mean over a class of few tokens would be a step too long.
-                self.inner[part] -= scale * len(target) / max(len(rows), len(target) ** 0.5) * (q.T @ h[rows])
+            leaves = v.tree.place.take(slots)
+            order = np.argsort(leaves, kind="stable")
+            context, target, leaves = context.take(order, 0), target.take(order), leaves.take(order)
+        x = self.embed.take(context.ravel(), 0).reshape(count, -1)
+        h = np.tanh(x @ self.mix + self.bias)
+        p = self.out.T @ h.T
+        p += self.out_bias[:, None]
+        p -= p.max(axis=0)
+        np.exp(p, out=p)
+        p *= 1 / (count * p.sum(axis=0))
+        p[target, np.arange(count)] -= 1 / count
+        dh = p.T @ self.out.T
+        if slots is not None:
+            levels, node, right = v.tree.turns(leaves)
+            if len(node):
+                w = self.inner.take(node, 0)
+                part = by_level(w, h, levels)
+                g = part @ np.ones(HIDDEN, np.float32)
+                g += v.tree.prior.take(node)
+                g = 1 / (1 + np.exp(-g)) - right
+                for level in levels:
+                    np.multiply(h[: level.stop - level.start], g[level, None], out=part[level])
+                begin, rows, change = run_sums(part, node)
+                # The mean over a node of few tokens would be a step too long.
+                change *= (-scale / np.maximum(rows, count**0.5)).astype(np.float32)[:, None]
+                added(self.inner, node.take(begin), change)
+                w *= (g / count)[:, None]
+                for level in levels:
+                    dh[: level.stop - level.start] += w[level]
         dh *= 1 - h * h
         dx = (dh @ self.mix.T).reshape(-1, EMBED)
-        self.out -= scale * (h.T @ p)
-        self.out_bias -= scale * p.sum(axis=0)
+        self.out -= scale * (h.T @ p.T)
+        self.out_bias -= scale * p.sum(axis=1)
         self.mix -= scale * (x.T @ dh)
         self.bias -= scale * dh.sum(axis=0)
         order = np.argsort(context, axis=None, kind="stable")
-        at = context.ravel()[order]
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        self.embed[at[starts]] -= scale * len(target) ** 0.5 * np.add.reduceat(dx[order], starts)
-
-    def log_slots(self, v: Vocabulary, context: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        """Log-probabilities of the slots: of the class, and of the slot within it."""
-        _, h, z = self.logits(context)
-        found = picked(z, v.class_of[slots])
-        for _, rows, at, z in self.by_class(v, h, slots):
-            found[rows] += picked(z, at)
+        at = context.ravel().take(order)
+        begin, _, change = run_sums(dx.take(order, 0), at)
+        change *= np.float32(-scale * count**0.5)
+        added(self.embed, at.take(begin), change)
+
+    def sides(self) -> list[np.ndarray]:
+        """What each slot adds to the hidden sums at each place of the context."""
+        return [self.embed @ part for part in np.split(self.mix, 2 * SIDE)]
+
+    def log_slots(self, v: Vocabulary, context: np.ndarray, slots: np.ndarray, sides: list[np.ndarray]) -> np.ndarray:
+        """Log-probabilities of the slots: of the class, and of the turns to the slot within it."""
+        leaves = v.tree.place.take(slots)
+        order = np.argsort(leaves, kind="stable")
+        h = np.tanh(sum(side.take(context[:, d].take(order), 0) for d, side in enumerate(sides)) + self.bias)
+        part = picked(self.out.T @ h.T + self.out_bias[:, None], v.class_of.take(slots.take(order)))
+        levels, node, right = v.tree.turns(leaves.take(order))
+        if len(node):
+            z = by_level(self.inner.take(node, 0), h, levels) @ np.ones(HIDDEN, np.float32)
+            z += v.tree.prior.take(node)
+            z *= 1 - 2 * right  # log-odds of the other turn
+            z = np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z)))
+            for level in levels:
+                part[: level.stop - level.start] -= z[level]
+        found = np.empty_like(part)
+        found[order] = part
         return found
 
 
+def by_level(w: np.ndarray, h: np.ndarray, levels: list[slice]) -> np.ndarray:
+    """Products of the rows of each level and the first rows of h."""
+    out = np.empty_like(w)
+    for level in levels:
+        np.multiply(w[level], h[: level.stop - level.start], out=out[level])
+    return out
+
+
+def added(x: np.ndarray, at: np.ndarray, change: np.ndarray) -> None:
+    """Adds to rows of x, each named once. A row is written as one value."""
+    change += x.take(at, 0)
+    row = np.dtype((np.void, x.itemsize * x.shape[1]))
+    x.view(row)[:, 0][at] = change.view(row)[:, 0]
+
+
+def run_sums(x: np.ndarray, key: np.ndarray, most: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, rows and sum of each run of rows whose keys are equal, long runs first.
+
+    Short runs are summed one row of each at a time. In long ones two columns are added as one complex number, which takes half the steps.
+    """
+    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    rows = np.diff(np.r_[begin, len(key)])
+    rank = (most + 1 - np.minimum(rows, most + 1)).astype(np.uint8)
+    order, many = np.argsort(rank, kind="stable"), np.cumsum(np.bincount(rank, minlength=most + 1)).tolist()
+    begin, rows, long = begin.take(order), rows.take(order), many[0]
+    total = x.take(begin, 0)
+    for i in range(1, most):
+        short = slice(long, many[most - i])
+        total[short] += x.take(begin[short] + i, 0)
+    if long:
+        ends = np.stack([begin[:long], begin[:long] + rows[:long]], 1).ravel()
+        total[:long] = np.add.reduceat(x.view(np.complex64), ends[:-1] if ends[-1] == len(x) else ends, axis=0)[::2].view(np.float32)
+    return begin, rows, total
+
+
 def picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-softmax of each row at one place."""
-    top = z.max(axis=1)
-    return z[np.arange(len(z)), at] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+    """Log-softmax of each column at one place."""
+    z -= z.max(axis=0)
+    return z[at, np.arange(len(at))] - np.log(np.exp(z).sum(axis=0))
 
 
-def padded(slots: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts one after the other with SIDE pads (-1, the last row of embed) around each, and the place of each token; starts: of the texts, in tokens."""
+def padded(slots: np.ndarray, starts: np.ndarray, pad: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Texts one after the other with SIDE pads (the last row of embed) around each, and the place of each token; starts: of the texts, in tokens."""
     lengths = np.diff(np.r_[starts, len(slots)])
-    text = np.repeat(np.arange(len(starts)), lengths)
-    at = np.arange(len(slots)) + SIDE * (text + 1)
-    line = np.full(len(slots) + SIDE * (len(starts) + 1), -1, np.int32)
+    at = np.arange(len(slots)) + np.repeat(SIDE * np.arange(1, len(starts) + 1), lengths)
+    line = np.full(len(slots) + SIDE * (len(starts) + 1), pad, np.int32 if pad < 0 else slots.dtype)
     line[at] = slots
     return line, at
 
 
 def contexts(line: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.stack([line[at + d] for d in range(-SIDE, SIDE + 1) if d], 1).astype(np.int64)
+    return np.stack([line.take(at + d) for d in range(-SIDE, SIDE + 1) if d], 1)
 
 
-def sums(v: Vocabulary, net: Network, texts: list[np.ndarray], block: int = 32_768) -> np.ndarray:
+def sums(v: Vocabulary, net: Network, texts: list[np.ndarray], block: int = 8192) -> np.ndarray:
     """The pseudo-log-likelihood of each text, given as slots."""
     lengths = np.array([len(t) for t in texts])
-    slots = np.concatenate([*texts, np.zeros(0, np.int32)]).astype(np.int32)
-    line, at = padded(slots, np.cumsum(lengths) - lengths)
-    score = np.zeros(len(slots), np.float64)
+    slots = np.concatenate([*texts, np.zeros(0, v.kind)]).astype(v.kind)
+    line, at = padded(slots, np.cumsum(lengths) - lengths, len(v.class_of))
+    score, sides = np.zeros(len(slots), np.float64), net.sides()
     for i in range(0, len(slots), block):
-        own = slots[i : i + block]
-        score[i : i + block] = net.log_slots(v, contexts(line, at[i : i + block]), own)
+        score[i : i + block] = net.log_slots(v, contexts(line, at[i : i + block]), slots[i : i + block], sides)
     return np.bincount(np.repeat(np.arange(len(texts)), lengths), score, len(texts))
 
 
@@ -281,15 +381,13 @@ def tokens(docs: DataFrame, v: Vocabulary, text: str = "text", doc_id: str = "do
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = sent.value
         for batch in batches:
-            for part, texts in chunks(batch, "text", 2_000_000):
-                slots, known, rare = [], [], []
-                for t in texts:
-                    words = t.split()
-                    slots.append(v.slots(words))
-                    share, others = v.shares(words, slots[-1])
-                    known.append(share)
-                    rare.append(others)
-                yield pa.record_batch({"row": part.column("row"), "doc_id": part.column("doc_id"), "slots": pa.array([x.tobytes() for x in slots], pa.binary()), "known": pa.array(known, pa.float64()), "rare": pa.array(rare, pa.list_(pa.binary()))})
+            for part, texts in chunks(batch, "text", 8_000_000):
+                words, codes, lengths = split(texts)
+                slots, known, rare = v.coded(words)
+                text, ends, lacking = np.repeat(np.arange(len(texts)), lengths), np.r_[0, np.cumsum(lengths)], np.r_[0, np.cumsum(rare[codes])]
+                others = pa.ListArray.from_arrays(pa.array(lacking[ends], pa.int32()), words.take(pa.array(codes[rare[codes]])).cast(pa.binary()))
+                inside = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((ends * slots.itemsize).astype(np.int32)), pa.py_buffer(slots[codes])])
+                yield pa.record_batch({"row": part.column("row"), "doc_id": part.column("doc_id"), "slots": inside, "known": pa.array(np.bincount(text, known[codes], len(texts))), "rare": others})
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(task, f"row long, doc_id {kind}, slots binary, known double, rare array<binary>")
@@ -316,8 +414,8 @@ def run(own: Network, v: Vocabulary, waiting: list[tuple[np.ndarray, np.ndarray]
     x, y = np.concatenate([c for c, _ in waiting]), np.concatenate([t for _, t in waiting])
     order = np.random.default_rng(len(y)).permutation(len(y))
     for i in range(0, len(y), BATCH):
-        slots = y[order[i : i + BATCH]]
-        own.learn(x[order[i : i + BATCH]], v.class_of[slots].astype(np.int64), RATE, v, slots)
+        slots = y.take(order[i : i + BATCH])
+        own.learn(x.take(order[i : i + BATCH], 0), v.class_of.take(slots), RATE, v, slots)
     return len(y)
 
 
@@ -329,7 +427,7 @@ def shard_change(start: np.ndarray, v: Vocabulary, texts: Iterator[np.ndarray],
         nonlocal many
         lengths = np.array([len(t) for t in held])
         slots = np.concatenate(held)
-        line, at = padded(slots, np.cumsum(lengths) - lengths)
+        line, at = padded(slots, np.cumsum(lengths) - lengths, len(v.class_of))
         use = targets(held, round_, rounds)
         if len(use):
             waiting.append((contexts(line, at[use]), slots[use]))
@@ -409,6 +507,6 @@ def score(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, held: int =
                 yield pa.record_batch({"row": part.column("row"), "doc_id": part.column("doc_id"), "n_tokens": pa.array([len(t) for t in texts], pa.int64()), "part": pa.array(found)})
 
     scored = rows.select("row", "doc_id", "slots", "known").mapInArrow(task, f"row long, doc_id {kind}, n_tokens long, part double")
-    rare = rows.select("row", F.explode("rare").alias("word")).join(others, "word").groupBy("row").agg(F.sum(F.col("log_n").cast("decimal(30,12)")).cast("double").alias("rare"))
+    rare = rows.select("row", F.explode("rare").alias("word")).join(others.hint("shuffle_hash"), "word").groupBy("row").agg(F.sum(F.col("log_n").cast("decimal(30,12)")).cast("double").alias("rare"))
     total = F.col("part") + F.coalesce("rare", F.lit(0.0))
     return scored.join(rare, "row", "left").select("doc_id", "n_tokens", total.alias("logprob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_logprob"))

@@ -324,3 +324,68 @@ def test_slots_take_two_bytes_where_they_fit():
     assert v.slots([b"a", b"b"]).dtype.itemsize == 2
     wide = lm.Vocabulary({}, np.zeros(1 << 16, np.uint16), np.zeros(1 << 16, np.float32), np.ones(1, np.float32))
     assert wide.slots([b"a", b"b"]).dtype.itemsize == 4
+
+
+def split_evenly(slots, classes=57):
+    lm = pseudolikelihood
+    draw = np.random.default_rng(4)
+    share, class_of = draw.random(slots) + 0.1, np.arange(slots) * classes // slots
+    mass = np.bincount(class_of, share)
+    return lm.Vocabulary({}, class_of.astype(np.uint16), np.log(share / mass[class_of]).astype(np.float32), (mass / mass.sum()).astype(np.float32))
+
+
+def test_steps_grow_with_the_log_of_the_slots(monkeypatch):
+    """Exponentials of training and of scores: one for each class and a few for each halving, not one for each slot of a class."""
+    lm, exp, seen = pseudolikelihood, np.exp, []
+    for size in (16_000, 64_000):
+        v = split_evenly(size)
+        slots = np.random.default_rng(5).integers(0, size, 4096).astype(np.uint16)
+        net = lm.Network.start(v)
+        line, at = lm.padded(slots, np.array([0]))
+        lm.sums(v, net, [slots])
+        monkeypatch.setattr(np, "exp", lambda x, *a, **b: seen.append(np.size(x)) or exp(x, *a, **b))
+        for work in (lambda: net.learn(lm.contexts(line, at), v.class_of[slots].astype(np.int64), lm.RATE, v, slots), lambda: lm.sums(v, net, [slots])):
+            seen.clear()
+            work()
+            assert sum(seen) <= len(slots) * (57 + 2 * np.log2(size))
+        monkeypatch.setattr(np, "exp", exp)
+
+
+def test_probabilities_sum_to_one():
+    """Over all slots in one context, after training; classes of one slot and of odd numbers of slots among them."""
+    lm = pseudolikelihood
+    sizes = [1, 1, 2, 3, 5, 7, 100, 333]
+    class_of = np.repeat(np.arange(len(sizes)), sizes)
+    share = np.random.default_rng(4).random(len(class_of)) + 0.01
+    mass = np.bincount(class_of, share)
+    v = lm.Vocabulary({b"b": 0, b"a": 1}, class_of.astype(np.uint16), np.log(share / mass[class_of]).astype(np.float32), (mass / mass.sum()).astype(np.float32))
+    net, slots = lm.Network.start(v), np.random.default_rng(5).integers(0, len(class_of), 8192).astype(np.uint16)
+    line, at = lm.padded(slots, np.array([0]))
+    for i in range(0, 8192, 1024):
+        net.learn(lm.contexts(line, at[i : i + 1024]), v.class_of[slots[i : i + 1024]].astype(np.int64), lm.RATE, v, slots[i : i + 1024])
+    every = np.arange(len(class_of), dtype=np.uint16)
+    for context in lm.contexts(line, at[:5]):
+        found = net.log_slots(v, np.tile(context, (len(every), 1)), every, net.sides())
+        assert np.exp(found.astype(float)).sum() == pytest.approx(1, rel=1e-4)
+
+
+def test_sums_of_runs():
+    draw = np.random.default_rng(6)
+    for high in (1, 3, 40, 400):
+        key = np.sort(draw.integers(0, high, 300))
+        x = draw.integers(-9, 9, (300, 4)).astype(np.float32)
+        begin, rows, total = pseudolikelihood.run_sums(x, key)
+        assert sorted(key[begin].tolist()) == sorted(set(key.tolist()))
+        for b, n, got in zip(begin.tolist(), rows.tolist(), total, strict=True):
+            assert (key == key[b]).sum() == n and got.tolist() == x[key == key[b]].sum(axis=0).tolist()
+
+
+def test_words_as_python_splits_them():
+    draw = np.random.default_rng(7)
+    parts = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"\x1c", b"\x00", b"a", b"B", "é".encode(), "\u00a0".encode(), "\u2003".encode()]
+    for n in range(50):
+        texts = [b"".join(parts[i] for i in draw.integers(0, len(parts), draw.integers(0, 30))) for _ in range(n % 5)]
+        words, codes, lengths = pseudolikelihood.split(texts)
+        ends = np.cumsum(lengths).astype(int)
+        found = [words[int(c)].as_py() for c in codes]
+        assert [found[e - k : e] for e, k in zip(ends, lengths, strict=True)] == [t.split() for t in texts]
