@@ -16,7 +16,6 @@ target in one of the rounds, which take turns.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -70,8 +69,9 @@ class Vocabulary:
         return Tree.of(self)
 
     def slots(self, words: list[bytes]) -> np.ndarray:
-        get, shared = self.own.get, len(self.class_of) - OWN
-        return np.fromiter((s if (s := get(w)) is not None else shared_slot(w, shared) for w in words), self.kind, count=len(words))
+        found = OWN + word_hashes(words) % (len(self.class_of) - OWN)
+        own = np.fromiter((self.own.get(w, -1) for w in words), np.int64, count=len(words))
+        return np.where(own < 0, found, own).astype(self.kind)
 
     @cached_property
     def listed(self) -> tuple[pa.Array, np.ndarray]:
@@ -84,7 +84,7 @@ class Vocabulary:
         at = pc.index_in(words, value_set=listed).fill_null(-1).to_numpy().astype(np.int64)
         others = np.flatnonzero((at < 0) | (at >= len(self.own)))
         slots, known = at.copy(), np.zeros(len(at))
-        slots[others] = self.slots(words.take(pa.array(others)).to_pylist())
+        slots[others] = OWN + word_hashes(words.take(pa.array(others)).to_pylist()) % (len(self.class_of) - OWN)
         if len(others):
             known[others] = np.where(at[others] < 0, 0.0, log[at[others]]) - self.total[slots[others]]
         return slots.astype(self.kind), known, at < 0
@@ -94,6 +94,10 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) >> 1
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, count=len(words)) >> np.uint64(1)).astype(np.int64)
+
+
 def shared_slot(word: bytes, shared: int = SHARED) -> int:
     return OWN + word_hash(word) % shared
 
@@ -113,22 +117,26 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, hash, n) over all documents; tasks send partial counts of bounded size."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Counter[bytes]()
+        held: list[pa.Table] = []
+
+        def joined() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
 
-        def lines() -> pa.RecordBatch:
-            words = list(held)
-            return pa.record_batch({"word": pa.array(words, pa.binary()), "hash": pa.array([word_hash(w) for w in words], pa.int64()), "n": pa.array(list(held.values()), pa.int64())})
+        def lines(counted: pa.Table) -> Iterator[pa.RecordBatch]:
+            words = counted.column("word").combine_chunks()
+            yield pa.record_batch({"word": words.cast(pa.binary()), "hash": pa.array(word_hashes(words.to_pylist())), "n": counted.column("n").combine_chunks()})
 
         for batch in batches:
             for _, texts in chunks(batch, "text", 4_000_000):
                 words, codes, _ = split(texts)
-                for w, n in zip(words.to_pylist(), np.bincount(codes, minlength=len(words)).tolist(), strict=True):
-                    if n:
-                        held[w] += n
-                if len(held) > HELD_WORDS:
-                    yield lines()
-                    held.clear()
-        yield lines()
+                n = np.bincount(codes, minlength=len(words))
+                held.append(pa.table({"word": words, "n": pa.array(n)}).filter(pa.array(n > 0)))
+                if sum(len(t) for t in held) > 2 * HELD_WORDS:
+                    held = [joined()]
+                    if len(held[0]) > HELD_WORDS:
+                        yield from lines(held.pop())
+        if held:
+            yield from lines(joined())
 
     return docs.select(F.col(text).alias("text")).mapInArrow(task, "word binary, hash long, n long").groupBy("word", "hash").agg(F.sum("n").alias("n"))
 
