@@ -16,6 +16,7 @@ target in one of the rounds, which take turns.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -117,26 +118,22 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, hash, n) over all documents; tasks send partial counts of bounded size."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        held = Counter[bytes]()
 
-        def joined() -> pa.Table:
-            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
-
-        def lines(counted: pa.Table) -> Iterator[pa.RecordBatch]:
-            words = counted.column("word").combine_chunks()
-            yield pa.record_batch({"word": words.cast(pa.binary()), "hash": pa.array(word_hashes(words.to_pylist())), "n": counted.column("n").combine_chunks()})
+        def lines() -> pa.RecordBatch:
+            words = list(held)
+            return pa.record_batch({"word": pa.array(words, pa.binary()), "hash": pa.array([word_hash(w) for w in words], pa.int64()), "n": pa.array(list(held.values()), pa.int64())})
 
         for batch in batches:
             for _, texts in chunks(batch, "text", 4_000_000):
                 words, codes, _ = split(texts)
-                n = np.bincount(codes, minlength=len(words))
-                held.append(pa.table({"word": words, "n": pa.array(n)}).filter(pa.array(n > 0)))
-                if sum(len(t) for t in held) > 2 * HELD_WORDS:
-                    held = [joined()]
-                    if len(held[0]) > HELD_WORDS:
-                        yield from lines(held.pop())
-        if held:
-            yield from lines(joined())
+                for w, n in zip(words.to_pylist(), np.bincount(codes, minlength=len(words)).tolist(), strict=True):
+                    if n:
+                        held[w] += n
+                if len(held) > HELD_WORDS:
+                    yield lines()
+                    held.clear()
+        yield lines()
 
     return docs.select(F.col(text).alias("text")).mapInArrow(task, "word binary, hash long, n long").groupBy("word", "hash").agg(F.sum("n").alias("n"))
 
